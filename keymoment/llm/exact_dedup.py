@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from keymoment.llm.common import Scratch
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Settings of the stream's session while it starts: state on disk, small write buffers as there may be many partitions.
+#: Settings of the stream's session while it starts: state on disk, with small write buffers and no space allotted ahead,
+#: as there may be many partitions.
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": _ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
