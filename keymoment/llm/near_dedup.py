@@ -1,16 +1,17 @@
 """Near-duplicate groups by b-bit MinHash, with exact confirmation.
 
 1. One pass over the texts makes the shingle set, its minima under HASHES hash functions, BANDS band keys of ROWS minima
-   each, and the minima's low BITS bits, packed into four longs. Texts with equal word sequences are one class.
+   each, and the low BITS bits of SIGNED minima, packed into longs. Texts with equal word sequences are one class (node).
 2. Band buckets with two or more classes are kept. In each, the class that meets the most others over all its buckets
    (of a family of edited copies, the one nearest to all) is the bucket's hub; the others are compared with the hub only.
 3. A compared pair goes on if the similarity estimated from the packed bits, corrected for chance agreement, is not far
    below the threshold; full shingle sets then confirm it.
 4. Buckets whose classes are still in several components are compared across components, but only where a bound allows
-   a link: a shingle that no other remaining class has can't be shared, which caps the intersection. Pairs that pass it
-   and the estimate are confirmed on full sets too.
+   a link: a shingle that no other class of any bucket has can't be shared, which caps the intersection. Pairs that
+   pass it and the estimate are confirmed on full sets too.
 
-A link can only be missed when no band agrees: at similarity 0.85, (1 - 0.85**4)**32, 6e-11. No bucket is capped.
+A link is only missed when no band agrees, at similarity 0.85 with a chance of (1 - 0.85**5)**28 = 7e-8, or when the
+estimate is SLACK too low, five standard deviations. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ from keymoment.llm.common import Scratch, map_text
 from keymoment.llm.components import connected_components
 
 WORDS = 5
-BANDS, ROWS, BITS = 32, 4, 2
+BANDS, ROWS, BITS = 28, 5, 2
 HASHES = BANDS * ROWS
+SIGNED = 128
+SLACK = 0.18
+#: Texts whose shingle sets a task remembers while it confirms pairs.
+REMEMBERED = 64
 _rng = np.random.default_rng(20)
 _TIMES = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -78,8 +83,8 @@ def signature(s: np.ndarray) -> tuple[list[int], list[int]]:
         key = (key ^ low[r * BANDS : (r + 1) * BANDS]) * _BAND[r]
         key ^= key >> np.uint64(31)
     mixed = low * np.uint32(0x85EBCA6B)
-    bits = (mixed ^ (mixed >> np.uint32(16))) & np.uint32((1 << BITS) - 1)
-    packed = np.zeros(HASHES * BITS // 64, np.uint64)
+    bits = (mixed ^ (mixed >> np.uint32(16)))[:SIGNED] & np.uint32((1 << BITS) - 1)
+    packed = np.zeros(SIGNED * BITS // 64, np.uint64)
     for i, part in enumerate(bits.reshape(len(packed), -1).astype(np.uint64)):
         packed[i] = np.bitwise_or.reduce(part << (np.arange(len(part), dtype=np.uint64) * np.uint64(BITS)))
     return key.astype(np.int64).tolist(), packed.astype(np.int64).tolist()
@@ -108,23 +113,35 @@ def _describe():
     return run
 
 
-def _sets():
-    hashes = _Hashes()
-    return lambda texts: [[shingles(words_of(t), hashes).tobytes() for t in texts]]
-
-
 def _classes():
     return lambda texts: [[class_of(words_of(t)) for t in texts]]
 
 
+def full_set(text: bytes) -> frozenset[bytes]:
+    """The shingles themselves."""
+    words = words_of(text)
+    n = min(WORDS, len(words))
+    return frozenset(b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)) if n else frozenset()
+
+
 def _confirm(percent: int):
     def run(batches):
+        known: dict[int, frozenset[bytes]] = {}
+
+        def of(node: int, text) -> frozenset[bytes]:
+            if node not in known:
+                while len(known) >= REMEMBERED:
+                    known.pop(next(iter(known)))
+                known[node] = full_set(text.as_buffer().to_pybytes())
+            return known[node]
+
         for batch in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both >= percent * (len(a) + len(b) - both):
+            columns = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())]
+            for i, (a, b, x, y) in enumerate(zip(*columns, strict=True)):
+                s, t = of(a, x), of(b, y)
+                both = len(s & t)
+                if 100 * both >= percent * (len(s) + len(t) - both):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int32())) for k in (0, 1)], ["a", "b"])
 
@@ -139,87 +156,85 @@ def estimate(x: list, y: list) -> F.Column:
         d = a.bitwiseXOR(b)
         differ = differ + F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(ones)))
     chance = 2.0**-BITS
-    return ((F.lit(1.0) - differ / F.lit(float(HASHES))) - chance) / (1 - chance)
+    return ((F.lit(1.0) - differ / F.lit(float(SIGNED))) - chance) / (1 - chance)
 
 
-def near_duplicate_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, slack: float = 0.25) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(described, groups): described has (id, n_shingles, class) for each row of docs; groups has (class, component_id)
     for each class, component_id being the smallest id of the class's component."""
     described = scratch.keep(map_text(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", _describe, FIELDS, keep=["id"]), "described")
-    some = described.where("class IS NOT NULL")
-    classes = scratch.keep(some.groupBy("class").agg(F.min("id").alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
-    about = classes.select(F.col("class").alias("node"), "n", *[F.col("bits")[i].alias(f"s{i}") for i in range(HASHES * BITS // 64)])
-    signs = [c for c in about.columns if c not in ("node", "n")]
+    classes = described.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    # A short number for each class; written once, it stays the same whatever is run again.
+    classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    signs = [f"s{i}" for i in range(SIGNED * BITS // 64)]
+    about = classes.select("node", "n", *[F.col("bits")[i].alias(c) for i, c in enumerate(signs)])
 
     # Buckets that hold two classes or more.
-    member = classes.select(F.col("class").alias("node"), F.explode("bands").alias("band"))
+    member = classes.select("node", F.explode("bands").alias("band"))
     shared = scratch.keep(member.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "shared")
     member = scratch.keep(member.join(shared, "band").select("band", "node", "members"), "members")
     met = scratch.keep(member.groupBy("node").agg(F.sum("members").alias("met")), "met")
-    sets = _texts_of(docs, text_col, met, scratch)
+    wanted = scratch.keep(classes.select("node", "class").join(met, "node").select("node", "class"), "wanted")
+    texts = _texts_of(docs, text_col, wanted, scratch)
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        full = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        full = full.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-        return scratch.keep(full.mapInArrow(_confirm(percent), "a binary, b binary"), name)
+        full = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+        full = full.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+        return scratch.keep(full.mapInArrow(_confirm(percent), "a bigint, b bigint"), name)
 
     def may_link(most) -> F.Column:
         return F.lit(100) * most >= F.lit(percent) * (F.col("na") + F.col("nb") - most)
 
     def near_enough() -> F.Column:
-        return estimate([F.col(f"a_{c}") for c in signs], [F.col(f"b_{c}") for c in signs]) >= percent / 100 - slack
+        return estimate([F.col(f"a_{c}") for c in signs], [F.col(f"b_{c}") for c in signs]) >= percent / 100 - SLACK
 
-    a_side = about.select(F.col("node").alias("a"), F.col("n").alias("na"), *[F.col(c).alias(f"a_{c}") for c in signs])
-    b_side = about.select(F.col("node").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(f"b_{c}") for c in signs])
+    def side(df: DataFrame, x: str, *more: str) -> DataFrame:
+        return df.select(*[m for m in more if m == "band"], F.col("node").alias(x), F.col("n").alias(f"n{x}"), *[F.col(m).alias(f"{m}_{x}") for m in more if m != "band"], *[F.col(c).alias(f"{x}_{c}") for c in signs])
 
     # Each bucket's members against its hub.
-    ranked = member.join(met, "node").groupBy("band").agg(F.max(F.struct("met", "node")).alias("hub")).select("band", F.col("hub.node").alias("b"))
-    hubs = scratch.keep(ranked, "hubs")
+    hubs = member.join(met, "node").groupBy("band").agg(F.max(F.struct("met", "node")).alias("hub")).select("band", F.col("hub.node").alias("b"))
+    hubs = scratch.keep(hubs, "hubs")
     star = scratch.keep(member.join(hubs, "band").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "star")
-    star = scratch.keep(star.join(a_side, "a").select("a", "b", "na", *[f"a_{c}" for c in signs]), "star-a").join(b_side, "b")
+    star = scratch.keep(star.join(side(about, "a"), "a"), "star-a").join(side(about, "b"), "b")
     star = scratch.keep(star.where(may_link(F.least("na", "nb")) & near_enough()).select("a", "b"), "star-near")
     links = confirmed(star, "star-links")
     roots = connected_components(links, scratch, "first")
 
     # What is left between components.
-    placed = member.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    placed = scratch.keep(placed, "placed")
+    placed = scratch.keep(member.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "placed")
     mixed = scratch.keep(placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band"), "mixed")
-    placed = scratch.keep(placed.join(mixed, "band").select("band", "node", "root"), "placed-mixed")
-    left = scratch.keep(placed.select("node").distinct(), "left")
-    for turn in (1, 2):
-        rows = sets.join(left, "node").select("node", "shingles").mapInArrow(_spread, "node binary, shingle bigint")
-        alone = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
-        left = left.select("node").join(alone, "node", "left").join(about, "node").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"), *signs)
-        left = scratch.keep(left.where(F.lit(100) * (F.col("n") - F.col("own")) >= percent * F.col("n")), f"left-{turn}")
-    rest = scratch.keep(placed.join(left, "node").select("band", "node", "root", "n", "own", *signs), "rest")
-    one = rest.select("band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("own").alias("oa"), *[F.col(c).alias(f"a_{c}") for c in signs])
-    two = rest.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("own").alias("ob"), *[F.col(c).alias(f"b_{c}") for c in signs])
-    most = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
-    pairs = one.join(two, "band").where((F.col("ra") < F.col("rb")) & may_link(most) & near_enough()).select("a", "b").distinct()
-    more = confirmed(scratch.keep(pairs, "rest-near"), "rest-links")
-    roots = connected_components(links.union(more), scratch, "all")
-
-    grouped = scratch.keep(classes.select(F.col("class").alias("node"), "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "grouped")
+    own = map_text(texts, "text", _shingle_keys, [("keys", "array<int>")], keep=["node"]).select("node", F.explode("keys").alias("key"))
+    own = own.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
+    own = scratch.keep(own, "own")
+    able = about.join(met.select("node"), "node").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    able = scratch.keep(able.where(F.lit(100) * (F.col("n") - F.col("own")) >= percent * F.col("n")), "able")
+    able = scratch.keep(able.join(classes.select("node", F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("all")), "node"), "able-bands")
+    rest = scratch.keep(placed.join(mixed, "band").select("band", "node", "root"), "placed-mixed")
+    rest = scratch.keep(rest.join(able, "node"), "rest")
+    most = F.least(F.col("na") - F.col("own_a"), F.col("nb") - F.col("own_b"))
+    # A pair is compared in the first bucket only that it shares.
+    first = F.element_at(F.filter(F.zip_with("all_a", "all_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1) == F.col("band").bitwiseAND(F.lit(0x7FFFFFFF))
+    pairs = side(rest, "a", "band", "root", "own", "all").join(side(rest, "b", "band", "root", "own", "all"), "band").where((F.col("root_a") < F.col("root_b")) & may_link(most) & near_enough() & first)
+    pairs = scratch.keep(pairs.select("a", "b").distinct(), "rest-near")
+    roots = connected_components(links.union(confirmed(pairs, "rest-links")), scratch, "all")
+
+    grouped = scratch.keep(classes.select("node", "class", "first").join(roots, "node", "left").select("class", "first", F.coalesce("root", "node").alias("root")), "grouped")
     least = scratch.keep(grouped.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    groups = scratch.keep(grouped.join(least, "root").select(F.col("node").alias("class"), "component_id"), "groups")
+    groups = scratch.keep(grouped.join(least, "root").select("class", "component_id"), "groups")
     return described.select("id", "n_shingles", "class"), groups
 
 
 def _texts_of(docs: DataFrame, text_col: str, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, shingles) of the wanted classes, from one text of each."""
-    keyed = map_text(docs.select(F.col(text_col).alias("text")), "text", _classes, [("node", "binary")])
-    one = keyed.where("node IS NOT NULL").groupBy("node").agg(F.first("text").alias("text"))
-    found = one.join(wanted.select("node"), "node", "left_semi")
-    return scratch.keep(map_text(found, "text", _sets, [("shingles", "binary")], keep=["node"]), "sets")
-
-
-def _spread(batches):
-    for batch in batches:
-        for i in range(batch.num_rows):
-            s = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
-            node = batch.column(0)[i].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array([node] * len(s), pa.binary()), pa.array(s)], ["node", "shingle"])
+    """(node, text) of the wanted classes, from one text of each; equal ones are combined before the shuffle."""
+    keyed = map_text(docs.select(F.col(text_col).alias("text")), "text", _classes, [("class", "binary")])
+    one = keyed.where("class IS NOT NULL").groupBy("class").agg(F.first("text").alias("text"))
+    return scratch.keep(one.join(wanted, "class").select("node", "text"), "texts")
+
+
+def _shingle_keys():
+    """32 bits of each shingle's hash. Shingles that share them count as shared, which only loosens the bound."""
+    hashes = _Hashes()
+    return lambda texts: [[np.unique((shingles(words_of(t), hashes) & np.uint64(0x7FFFFFFF)).astype(np.int32)).tolist() for t in texts]]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
