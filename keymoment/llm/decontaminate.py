@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from keymoment.llm.common import map_text
 
-WALKS, SAMPLES, SYMBOLS = 4, 4, 5
+WALKS, SAMPLES, SYMBOLS = 5, 4, 5
 #: Items of fewer words are no passages that could be told from chance; they are not searched for.
 MIN_WORDS = 5
 #: An item is found within so many edits for each of its words.
@@ -52,10 +52,10 @@ class _Hashes(dict):
         return h
 
 
-def _bit(h: np.ndarray, walk: int, step: int) -> np.ndarray:
-    """The random bit of a word at a step: 0 or 1."""
-    times = np.uint64(((2 * (walk * 1024 + step) + 1) * int(_MULTIPLY) | 1) & (2**64 - 1))
-    return ((h * times) >> np.uint64(63)).astype(np.int32)
+def _bits(h: np.ndarray, walk: int, eight: int) -> np.ndarray:
+    """A word's random bits at steps 8 * eight to 8 * eight + 7 of a walk, as bytes."""
+    times = np.uint64(((2 * (walk * 64 + eight // 4) + 1) * int(_MULTIPLY) | 1) & (2**64 - 1))
+    return ((h * times) >> np.uint64(32 + 8 * (eight % 4))).astype(np.uint8)
 
 
 @dataclass
@@ -119,7 +119,7 @@ class Index:
             now = h[at] if at < len(h) else np.uint64(0)
             if j in steps:
                 out.append(int(now))
-            at += int(_bit(np.array([now], np.uint64), walk, j)[0]) if at < len(h) else 0
+            at += int(_bits(np.array([now], np.uint64), walk, j // 8)[0] >> j % 8) & 1 if at < len(h) else 0
         return out
 
     def candidates(self, h: np.ndarray) -> set[tuple[int, int]]:
@@ -137,7 +137,9 @@ class Index:
             at = np.arange(n, dtype=np.int32)
             places = [at]
             for j in range(self.first):
-                at = at + _bit(padded, walk, j)[at]
+                if j % 8 == 0:
+                    bits = _bits(padded, walk, j // 8)
+                at = at + ((bits[at] >> np.uint8(j % 8)) & np.uint8(1))
                 places.append(at)
             may = [known[x] for x in places]
             for s in own:
@@ -153,7 +155,7 @@ class Index:
                 where, j = places[two][here], two
                 for k in range(2, len(s.steps)):
                     while j < s.steps[k]:
-                        where = where + _bit(padded[where], walk, j)
+                        where = where + ((_bits(padded[where], walk, j // 8) >> np.uint8(j % 8)) & np.uint8(1))
                         j += 1
                     key = (key ^ padded[where]) * _MULTIPLY + np.uint64(1)
                     hit = _among(key, s.keys[k])
