@@ -1,11 +1,15 @@
-"""Queries over the standard tables, one for each operator."""
+"""All queries over the standard tables, one or more for each operator, and their SQL."""
 
 from __future__ import annotations
 
+from keymoment.plans import lexical_queries, rank_queries, registry, vector_queries
+
+MODULES = (vector_queries, lexical_queries, rank_queries)
+
 
 def queries():
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(registry.SQL)
