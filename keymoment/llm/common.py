@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of one Arrow batch that are turned into Python objects at a time.
@@ -65,6 +66,15 @@ def clean_up(spark: SparkSession) -> None:
     delete(spark, f"{shared_dir(spark).rstrip('/')}/keymoment/{spark.sparkContext.applicationId}")
 
 
+def bounded_sample(df: DataFrame, rows: int, keys: list[str], seed: int = 0) -> DataFrame:
+    """At most `rows` rows, those of least hash of keys. Rows are counted first and thinned by the hash to about one and a
+    half times as many, so that what tasks hand on to be ordered doesn't grow with their number."""
+    n = df.count()
+    mixed = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30))
+    share = min(1.0, (1.5 * rows + 64) / max(1, n))
+    return df.where(mixed < int(share * (1 << 30))).orderBy(mixed, *keys).limit(rows)
+
+
 def map_text(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[bytes]], list[list]]], fields: list[tuple[str, str]], keep: list[str] | None = None) -> DataFrame:
     """Append columns that a Python function computes from whole texts (UTF-8 bytes, null as empty).
 
@@ -92,8 +102,6 @@ def map_text(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[byt
                 out = [pa.array(x, k) for x, k in zip(f(texts), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(kept))] + out, names)
 
-    from pyspark.sql import functions as F
-
     source = df.select(*[F.col(f"`{c}`") for c in kept], *([] if at >= 0 else [F.col(f"`{text_col}`")]))
     if source.schema[-1 if at < 0 else at].dataType != T.StringType():
         raise TypeError(f"{text_col} must be a string column")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keymoment.llm.common import map_text
+from keymoment.llm.common import bounded_sample, map_text
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -281,7 +281,7 @@ def scan_text(text: str, field: Field) -> tuple:
 def train_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Field:
     """Train on at most `rows` texts of at most `chars` characters with an @ or many digits, chosen by a hash."""
     t = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").rlike("@|[0-9]{3}") & (F.char_length("t") <= chars))
-    got = t.orderBy(F.xxhash64("i", "t"), "i").limit(rows).collect()
+    got = bounded_sample(t, rows, ["i", "t"]).collect()
     return train([r["t"] for r in sorted(got, key=lambda r: (r["i"] is None, r["i"], r["t"]))])
 
 

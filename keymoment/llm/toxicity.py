@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keymoment.llm.common import map_text
+from keymoment.llm.common import bounded_sample, map_text
 
 GRAMS = (3, 4, 5, 6)
 _MULTIPLY = np.uint32(0x01000193)
@@ -167,11 +167,10 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     s = settings
     marked = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y")).where(F.col("__id").isNotNull() & F.col("__y").isNotNull()).where(~held_out("__id"))
     marked = marked.groupBy("__id").agg(F.max("__y").cast("int").alias("__y"))
-    mixed = F.xxhash64(F.col("__id"), F.lit(s.seed))
     fits = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.char_length(F.coalesce("__text", F.lit(""))) <= s.sample_chars)
     chosen = None
     for y in (0, 1):
-        part = marked.where((F.col("__y") == 1) if y else (F.col("__y") != 1)).orderBy(mixed, "__id").limit(s.sample_rows)
+        part = bounded_sample(marked.where((F.col("__y") == 1) if y else (F.col("__y") != 1)), s.sample_rows, ["__id"], s.seed)
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * sample_rows ids: the bound of this broadcast.
     rows = fits.join(F.broadcast(chosen), "__id").select("__id", "__text", "__y").collect()
