@@ -8,17 +8,6 @@ from pyspark.sql import functions as F
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(docs: DataFrame, doc: str, tokens, group: list[str] = ()) -> DataFrame:
-    """(group..., doc, dl, token, tf)."""
-    t = docs.select(*group, doc, tokens.alias("toks")).withColumn("dl", F.size("toks"))
-    return t.select(*group, doc, "dl", F.explode("toks").alias("token")).groupBy(*group, doc, "dl", "token").agg(F.count("*").alias("tf"))
-
-
-def lengths(docs: DataFrame, tokens, group: list[str] = ()) -> DataFrame:
-    """Number of documents and mean length, of all or per group; empty documents count."""
-    return docs.select(*group, F.size(tokens).alias("dl")).groupBy(*group).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-
-
 def bm25(docs: DataFrame, doc: str, tokens, query: list[str], group: list[str] = ()) -> DataFrame:
     """(group..., doc, score) of documents with a token of the query; repeated query tokens count again.
 
@@ -26,24 +15,30 @@ def bm25(docs: DataFrame, doc: str, tokens, query: list[str], group: list[str] =
     With `group`, all statistics are those of the group. Only the query's postings are joined and scored.
     """
     group = list(group)
-    post = postings(docs, doc, tokens, group)
-    stats = lengths(docs, tokens, group)
-    df = post.groupBy(*group, "token").agg(F.count("*").alias("df"))
-    df = df.join(F.broadcast(stats)) if not group else df.join(stats, group)
-    df = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.groupBy(*group).agg(F.avg("raw").alias("mean_idf"))
     times: dict[str, int] = {}
     for q in query:
         times[q] = times.get(q, 0) + 1
-    asked = df.where(F.col("token").isin(*times)) if times else df.where(F.lit(False))
-    asked = asked.join(F.broadcast(mean)) if not group else asked.join(mean, group)
-    idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))
-    weight = F.element_at(F.create_map(*[x for q, c in times.items() for x in (F.lit(q), F.lit(c))]), F.col("token")) if times else F.lit(0)
-    asked = asked.select(*group, "token", (idf * weight).alias("idf"), "avgdl")
-    hits = post.where(F.col("token").isin(*times)) if times else post.where(F.lit(False))
-    hits = hits.join(asked, [*group, "token"])
-    tf = F.col("tf")
-    return hits.groupBy(*group, doc).agg(F.round(F.sum(F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))), 9).alias("score"))
+    base = docs.select(*group, doc, tokens.alias("toks")).withColumn("dl", F.size("toks"))
+    stats = base.groupBy(*group).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = base.select(*group, F.explode(F.array_distinct("toks")).alias("token")).groupBy(*group, "token").agg(F.count("*").alias("df"))
+    df = df.join(F.broadcast(stats)) if not group else df.join(stats, group)  # one row, or one a group
+    df = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    own = [F.sum("raw").alias("all"), F.count("*").alias("words"), F.first("avgdl").alias("avgdl"), F.map_from_entries(F.collect_list(F.when(F.col("token").isin(*times), F.struct("token", "raw")))).alias("asked")]
+    idf = df.groupBy(*group).agg(*own)  # asked: the query's tokens at most
+    # The query's postings come from each row's tokens; no other token is exploded or shuffled.
+    def count_of(q: str):
+        return F.size(F.filter("toks", lambda x: x == q))
+
+    tf = F.array(*[F.struct(F.lit(q).alias("token"), F.lit(c).alias("c"), count_of(q).alias("tf")) for q, c in times.items()])
+    hits = base.select(*group, doc, "dl", F.filter(tf, lambda x: x["tf"] > 0).alias("tf")).where(F.size("tf") > 0)
+    hits = hits.join(F.broadcast(idf)) if not group else hits.join(idf, group)
+    mean = F.col("all") / F.col("words")
+
+    def part(x):
+        raw = F.element_at("asked", x["token"])
+        return F.when(raw < 0, EPSILON * mean).otherwise(raw) * x["c"] * x["tf"] * (K1 + 1) / (x["tf"] + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+    return hits.select(*group, doc, F.round(F.aggregate(F.transform("tf", part), F.lit(0.0), lambda s, x: s + x), 9).alias("score"))
 
 
 def top_hits(scored: DataFrame, doc: str, k: int) -> DataFrame:

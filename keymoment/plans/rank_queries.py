@@ -372,3 +372,57 @@ def object_person_match(t):
     persons = F.col("event_id") % 7
     bonus = F.when(persons == said, 0.5).when(F.abs(persons - said) == 1, 0.2).otherwise(0.0)
     return t.read("events").select(persons.alias("persons"), said.alias("said"), bonus.alias("bonus")).groupBy("persons", "said", "bonus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT file FROM (SELECT 'f' || (o_orderkey // 64) AS file, o_orderkey // 64 % 5 = 0 AS bad FROM orders) WHERE NOT bad")
+def validate_directory(t):
+    """Files without a fault in the submissions of validate_submission that have none by construction."""
+    k = F.col("o_orderkey")
+    lines = t.read("orders").where("o_orderkey div 64 % 5 <> 0").select(F.concat(F.lit("f"), F.expr("o_orderkey div 64").cast("string")).alias("file"), k.alias("row_no"), F.lit("kis").alias("task"), F.concat(F.lit("V001,"), (k % 1000).cast("string")).alias("line"))
+    return quality.validate(lines).where("valid").select("file")
+
+
+@query(f"WITH {FRAMES} SELECT global_id, pts_time FROM frames WHERE pts_time BETWEEN 100 AND 300")
+def time_window_filter(t):
+    return t.features.select("global_id", (F.col("pts_ms") / 1000.0).alias("pts_time")).where(F.col("pts_time").between(100, 300))
+
+
+@query(f"WITH {FRAMES} SELECT global_id, video_id FROM frames WHERE contains(lower(video_id), 'v00')")
+def video_filter_contains(t):
+    return t.features.select("global_id", "video_id").where(F.lower("video_id").contains("v00"))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE length(trim(text)) > 2")
+def asr_min_len(t):
+    return t.read("conversations").where(F.length(F.trim("text")) > 2).select("conv_id", "turn")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 40 >= 14 AND event_id % 30 >= 12 AND length(event_type) >= 2")
+def min_box_filter(t):
+    return t.read("events").where("event_id % 40 >= 14 AND event_id % 30 >= 12 AND length(event_type) >= 2").select("event_id")
+
+
+@query("SELECT item_id, CASE WHEN len(regexp_split_to_array(trim(text), '\\s+')) > 35 THEN 'scene' ELSE 'text' END AS used FROM benchmark")
+def long_query_switch(t):
+    return t.read("benchmark").select("item_id", F.when(F.size(F.split(F.trim("text"), r"\s+")) > 35, "scene").otherwise("text").alias("used"))
+
+
+@query(f"WITH {FRAMES}, {sim()} SELECT global_id, row_number() OVER (PARTITION BY video_id ORDER BY s DESC, global_id) AS rank FROM sim")
+def rank_assign(t):
+    w = Window.partitionBy("video_id").orderBy(F.desc("s"), "global_id")
+    return search.with_similarity(t.features, t.vector(7)).select("global_id", F.row_number().over(w).cast("long").alias("rank"))
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def stream_upsert(t):
+    """upsert_keep_last as a stream over the events table, in two versions of a table in the shared folder."""
+    import uuid
+
+    from keymoment.streaming import upsert
+
+    events = t.read("events").select("user_id", "event_type", "ts", "event_id")
+    base = f"{t.shared}/{t.spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    events.repartition(4).write.parquet(f"{base}/log")
+    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/log")
+    upsert.keep_last_stream(stream, ["user_id", "event_type"], ["ts", "event_id"], f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return upsert.latest(t.spark, f"{base}/table").select("user_id", "event_type", "event_id")

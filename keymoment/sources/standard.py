@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +24,19 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def shared(self) -> str:
+        """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one of a local session."""
+        sc = self.spark.sparkContext
+        conf = sc.getConf().get("spark.checkpoint.dir")
+        if not conf:
+            if not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            if not sc._jsc.sc().getCheckpointDir().isDefined():
+                sc.setCheckpointDir(tempfile.mkdtemp(prefix="keymoment-"))
+            conf = sc._jsc.sc().getCheckpointDir().get()
+        return f"{conf.rstrip('/')}/keymoment-streams"
+
     def vector(self, vec_id: int) -> list[float]:
         return list(self.read("embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0])
 
