@@ -18,7 +18,8 @@ def bm25(docs: DataFrame, doc: str, tokens, query: list[str], group: list[str] =
     times: dict[str, int] = {}
     for q in query:
         times[q] = times.get(q, 0) + 1
-    base = docs.select(*group, doc, tokens.alias("toks")).withColumn("dl", F.size("toks"))
+    # Exploding an array of one keeps the optimizer from copying the tokens' expression to wherever they are used.
+    base = docs.select(*group, doc, F.explode(F.array(tokens)).alias("toks")).withColumn("dl", F.size("toks"))
     stats = base.groupBy(*group).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = base.select(*group, F.explode(F.array_distinct("toks")).alias("token")).groupBy(*group, "token").agg(F.count("*").alias("df"))
     df = df.join(F.broadcast(stats)) if not group else df.join(stats, group)  # one row, or one a group

@@ -24,6 +24,12 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """df over all cores, if its scan has fewer tasks than there are: a file of one row group is one task. A table of
+        many files is left as it is and not shuffled."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     @property
     def shared(self) -> str:
         """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one of a local session."""
@@ -61,7 +67,7 @@ class Tables:
 
     @property
     def ocr(self) -> DataFrame:
-        return self.read("documents").select("doc_id", (F.col("doc_id") % self.n).alias("global_id"), F.col("text").alias("ocr_text"))
+        return self.spread(self.read("documents").select("doc_id", "text")).select("doc_id", (F.col("doc_id") % self.n).alias("global_id"), F.col("text").alias("ocr_text"))
 
     @property
     def transcripts(self) -> DataFrame:
