@@ -33,7 +33,7 @@ EDITS = 0.2
 #: Items of a length class differ in length by this factor at most.
 CLASS_RATIO = 2
 #: Words of a chunk of texts that is walked at once, and benchmark items that one pass over the texts looks for.
-CHUNK_WORDS, BLOCK_ITEMS = 1 << 16, 20_000
+CHUNK_WORDS, BLOCK_ITEMS = 1 << 17, 20_000
 _SEPARATE = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 FIELDS = [("leaks", "array<struct<item_id:bigint,first_word:int,last_word:int,start:int,end:int,edits:int>>")]
@@ -68,9 +68,14 @@ class _Sample:
     items: dict[int, list[int]]
 
     def __post_init__(self):
-        """early: by 16 bits of the key of the first two steps, whether an item may have it."""
-        self.early = np.zeros(1 << 16, bool)
-        self.early[(self.keys[min(1, len(self.steps) - 1)] >> np.uint64(48)).astype(np.int64)] = True
+        """begins, early: by 16 bits of the key of the first step, and of the first two, whether an item may have it."""
+        self.begins, self.early = np.zeros((2, 1 << 16), bool)
+        self.begins[_top(self.keys[0])] = True
+        self.early[_top(self.keys[min(1, len(self.steps) - 1)])] = True
+
+    def __reduce__(self):
+        """The tables are made again where an index is sent to."""
+        return _Sample, (self.walk, self.steps, self.keys, self.items)
 
 
 class Index:
@@ -84,42 +89,38 @@ class Index:
         classes: dict[int, list[int]] = {}
         for n, (_, w) in enumerate(self.items):
             classes.setdefault(int(math.log(len(w) / MIN_WORDS, CLASS_RATIO)), []).append(n)
-        vocabulary = sorted({hashes[w] for _, words in self.items for w in words})
-        self.vocabulary = np.array(vocabulary, np.uint64)
         self.samples: list[_Sample] = []
         for _, members in sorted(classes.items()):
             least = min(len(self.items[n][1]) for n in members)
             span = max(SYMBOLS, int(1.6 * least))
+            lengths = np.array([len(self.items[n][1]) for n in members])
+            padded = np.zeros((len(members), lengths.max() + 1), np.uint64)
+            for i, n in enumerate(members):
+                padded[i, : lengths[i]] = [hashes[w] for w in self.items[n][1]]
             for walk in range(WALKS):
+                walked = self._walked(padded, lengths, walk, span + SYMBOLS)
                 for _ in range(SAMPLES):
                     # The first two steps come early, so that most windows are given up after a few steps.
                     cuts = [0, min(3, span // SYMBOLS + 1), min(8, 2 * span // SYMBOLS + 2)]
                     cuts += [round(cuts[2] + (span - cuts[2]) * k / (SYMBOLS - 2)) for k in range(1, SYMBOLS - 1)]
                     steps = sorted({int(rng.integers(a, max(a + 1, b))) for a, b in zip(cuts, cuts[1:], strict=False)})
-                    keys: list[list[int]] = [[] for _ in steps]
+                    keys = [np.zeros(len(members), np.uint64)]
+                    for step in steps:
+                        keys.append((keys[-1] ^ walked[step]) * _MULTIPLY + np.uint64(1))
                     found: dict[int, list[int]] = {}
-                    for n in members:
-                        key = 0
-                        for k, h in enumerate(self._walked(n, walk, steps, hashes)):
-                            key = self._join(key, h)
-                            keys[k].append(key)
+                    for n, key in zip(members, keys[-1].tolist(), strict=True):
                         found.setdefault(key, []).append(n)
-                    self.samples.append(_Sample(walk, steps, [np.unique(np.array(k, np.uint64)) for k in keys], found))
+                    self.samples.append(_Sample(walk, steps, [np.unique(k) for k in keys[1:]], found))
         self.first = max((s.steps[1] if len(s.steps) > 1 else s.steps[0] for s in self.samples), default=0)
         self.reach = max((s.steps[-1] for s in self.samples), default=0) + 1
 
     @staticmethod
-    def _join(key: int, h: int) -> int:
-        return ((key ^ h) * int(_MULTIPLY) + 1) & (2**64 - 1)
-
-    def _walked(self, n: int, walk: int, steps: list[int], hashes: _Hashes) -> list[int]:
-        h = np.array([hashes[w] for w in self.items[n][1]], np.uint64)
-        out, at = [], 0
-        for j in range(steps[-1] + 1):
-            now = h[at] if at < len(h) else np.uint64(0)
-            if j in steps:
-                out.append(int(now))
-            at += int(_bits(np.array([now], np.uint64), walk, j // 8)[0] >> j % 8) & 1 if at < len(h) else 0
+    def _walked(padded: np.ndarray, lengths: np.ndarray, walk: int, steps: int) -> list[np.ndarray]:
+        """The symbols that the walks of the items of a class write down at each step; 0 past an item's end."""
+        out, at, rows = [], np.zeros(len(padded), np.intp), np.arange(len(padded))
+        for j in range(steps):
+            out.append(padded[rows, at])
+            at = at + (((_bits(out[-1], walk, j // 8) >> np.uint8(j % 8)) & np.uint8(1)) & (at < lengths))
         return out
 
     def candidates(self, h: np.ndarray) -> set[tuple[int, int]]:
@@ -129,43 +130,56 @@ class Index:
             return out
         n = len(h)
         padded = np.concatenate([h, np.zeros(self.reach + 1, np.uint64)])
-        known = _known(padded, self.vocabulary)
+        top = _top(padded * _MULTIPLY + np.uint64(1))
         for walk in range(WALKS):
             own = [s for s in self.samples if s.walk == walk]
             if not own:
                 continue
-            at = np.arange(n, dtype=np.int32)
-            places = [at]
-            for j in range(self.first):
-                if j % 8 == 0:
-                    bits = _bits(padded, walk, j // 8)
-                at = at + ((bits[at] >> np.uint8(j % 8)) & np.uint8(1))
-                places.append(at)
-            may = [known[x] for x in places]
-            for s in own:
-                two = s.steps[1] if len(s.steps) > 1 else s.steps[0]
-                here = np.flatnonzero(may[s.steps[0]] & may[two])
-                if not len(here):
-                    continue
-                key = (padded[places[s.steps[0]][here]]) * _MULTIPLY + np.uint64(1)
+            opened = max(s.steps[0] for s in own)
+            places = [np.arange(n)]
+            self._walk_on(places, padded, walk, opened)
+            # Only windows that begin like an item in some sample are walked further.
+            begins = [s.begins.take(top.take(places[s.steps[0]])) for s in own]
+            open_ = np.flatnonzero(np.logical_or.reduce(begins))
+            places = [x.take(open_) for x in places]
+            self._walk_on(places, padded, walk, self.first)
+            left, last = [], []
+            for s, begun in zip(own, begins, strict=True):
+                at = np.flatnonzero(begun.take(open_))
+                key = padded.take(places[s.steps[0]].take(at)) * _MULTIPLY + np.uint64(1)
                 if len(s.steps) > 1:
-                    key = (key ^ padded[places[two][here]]) * _MULTIPLY + np.uint64(1)
-                hit = np.flatnonzero(s.early[(key >> np.uint64(48)).astype(np.int64)])
-                here, key = here[hit], key[hit]
-                where, j = places[two][here], two
-                for k in range(2, len(s.steps)):
-                    while j < s.steps[k]:
-                        where = where + ((_bits(padded[where], walk, j // 8) >> np.uint8(j % 8)) & np.uint8(1))
-                        j += 1
-                    key = (key ^ padded[where]) * _MULTIPLY + np.uint64(1)
-                    hit = _among(key, s.keys[k])
-                    here, key, where = here[hit], key[hit], where[hit]
-                    if not len(here):
-                        break
-                for p, x in zip(here.tolist(), key.tolist(), strict=True):
+                    key = (key ^ padded.take(places[s.steps[1]].take(at))) * _MULTIPLY + np.uint64(1)
+                hit = np.flatnonzero(s.early.take(_top(key)))
+                at, key = at.take(hit), key.take(hit)
+                left.append((np.arange(len(at)) + sum(map(len, last)), at, key))
+                last.append(places[self.first].take(at))
+            # What is left of all samples walks on together; each sample's steps thin its own part.
+            where, j = np.concatenate(last), self.first
+            for step, no, k in sorted((step, no, k) for no, s in enumerate(own) for k, step in enumerate(s.steps) if k > 1):
+                part, at, key = left[no]
+                if not len(part):
+                    continue
+                while j < step:
+                    where += (_bits(padded.take(where), walk, j // 8) >> np.uint8(j % 8)) & np.uint8(1)
+                    j += 1
+                here = where.take(part) if step == j else places[step].take(at)
+                key = (key ^ padded.take(here)) * _MULTIPLY + np.uint64(1)
+                hit = np.flatnonzero(_among(key, own[no].keys[k]))
+                left[no] = part.take(hit), at.take(hit), key.take(hit)
+            for s, (_, at, key) in zip(own, left, strict=True):
+                for p, x in zip(open_.take(at).tolist(), key.tolist(), strict=True):
                     out.update((p, item) for item in s.items.get(x, ()))
         return out
 
+    @staticmethod
+    def _walk_on(places: list[np.ndarray], padded: np.ndarray, walk: int, step: int) -> None:
+        """Go on with a walk of many windows, from the last of their places to those at a step."""
+        bits = None
+        for j in range(len(places) - 1, step):
+            if bits is None or j % 8 == 0:
+                bits = _bits(padded, walk, j // 8)
+            places.append(places[-1] + ((bits.take(places[-1]) >> np.uint8(j % 8)) & np.uint8(1)))
+
     def verify(self, words: list[bytes], p: int, item: int) -> tuple[int, int, int] | None:
         """(first word, last word, edits) of the best alignment of an item near a place, if its edits are few enough."""
         pattern = self.items[item][1]
@@ -182,11 +196,9 @@ class Index:
         return a + end - back, a + end - 1, edits
 
 
-def _known(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Whether each hash may be of the vocabulary: a table by 20 of its bits, as agreement is checked again by key."""
-    seen = np.zeros(1 << 20, bool)
-    seen[(vocabulary >> np.uint64(44)).astype(np.int64)] = True
-    return seen[(h >> np.uint64(44)).astype(np.int64)]
+def _top(h: np.ndarray) -> np.ndarray:
+    """The top 16 bits of hashes."""
+    return (h >> np.uint64(48)).astype(np.intp)
 
 
 def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -229,7 +241,10 @@ def find_leaks(texts: list[bytes], index: Index, hashes: _Hashes) -> list[list[d
         if group and (total >= CHUNK_WORDS or n == len(texts)):
             flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(split[k] for k in group)), np.uint64, total)
             starts = np.concatenate([[0], np.cumsum([len(split[k]) for k in group])])
-            near = sorted(index.candidates(flat))
+            places = set()
+            for a in range(0, total, 2 * CHUNK_WORDS):  # a text of more words is walked in pieces
+                places.update((p + a, item) for p, item in index.candidates(flat[a : a + 2 * CHUNK_WORDS + index.reach]) if p < 2 * CHUNK_WORDS)
+            near = sorted(places)
             owners = (np.searchsorted(starts, [p for p, _ in near], side="right") - 1).tolist()
             for (p, item), k in zip(near, owners, strict=True):
                 if hit := index.verify(split[group[k]], p - int(starts[k]), item):
@@ -267,10 +282,11 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     out = docs
     for n, block in enumerate(blocks):
         name = "leaks" if n == 0 else f"__leaks_{n}"
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        # Made once here, unpacked once a worker: an index is of at most BLOCK_ITEMS items.
+        shared = docs.sparkSession.sparkContext.broadcast(Index(block))
 
         def make(shared=shared):
-            index, hashes = Index(shared.value), _Hashes()
+            index, hashes = shared.value, _Hashes()
             return lambda texts: [find_leaks(texts, index, hashes)]
 
         out = map_text(out, text_col, make, [(name, FIELDS[0][1])], keep if len(blocks) == 1 else None)
