@@ -75,3 +75,10 @@ def summary(per_query: DataFrame, task: str = "task_type") -> DataFrame:
     seen = [F.avg((F.coalesce(F.col("video_rank"), F.lit(1 << 30)) <= k).cast("double")).alias(f"video_r_{k}") for k in (1, 5, 20, 100)]
     out = per_query.rollup(task).agg(F.count("*").alias("n"), F.avg("final").alias("final"), *[F.avg(f"r_{k}").alias(f"r_{k}") for k in DEPTHS], F.avg("mrr").alias("mrr"), *seen)
     return out.withColumn(task, F.coalesce(task, F.lit("all")))
+
+
+def run_report(per_query: DataFrame, task: str = "task_type") -> DataFrame:
+    """What a run is reported by, per task and over all ('all'): mean score, recall of the right video, mean latency."""
+    seen = [F.avg((F.coalesce(F.col("video_rank"), F.lit(1 << 30)) <= k).cast("double")).alias(f"video_r_{k}") for k in (1, 5, 20, 100)]
+    out = per_query.rollup(task).agg(F.avg("final").alias("score"), *seen, F.avg("latency_ms").alias("latency_ms"))
+    return out.withColumn(task, F.coalesce(task, F.lit("all")))
