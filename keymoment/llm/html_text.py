@@ -28,14 +28,34 @@ ASIDE = frozenset("nav footer aside form menu dialog".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 # Words in a class or id that mark what is not the article.
 ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice popup modal newsletter subscribe signup share sharing social related recommended comment comments disqus reply replies widget pagination pager toolbar skip search login".split()
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice popup modal newsletter subscribe signup share sharing social related recommended comment comments commentlist respond disqus reply replies widget pagination pager toolbar skip search login adsbygoogle taboola outbrain paywall subscription cookiebar cookieconsent sitemap".split()
 )
+# Words that begin a class which tells a page's layout (no-sidebar), not what the element is; words that,
+# beside "header", mark the header of a site rather than that of an article.
+LAYOUT_WORDS = frozenset("no not has have with without layout is js".split())
+SITE_WORDS = frozenset("site global top main".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Width of the Gaussian, in lines.
 SIGMA = 1.0
 FIELDS = [("content", "string"), ("n_chars", "bigint")]
 
 
+def _marked(attrs: dict[str, str | None], inside: bool) -> bool:
+    """Whether an element's attributes say that it is boilerplate or hidden; inside: within an article."""
+    style = (attrs.get("style") or "").lower().replace(" ", "")
+    if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
+        return True
+    if (attrs.get("role") or "").lower() in ASIDE_ROLES:
+        return True
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", name).lower()) if w]
+        if not words or words[0] in LAYOUT_WORDS:
+            continue
+        if not ASIDE_WORDS.isdisjoint(words) or (not inside and "header" in words and (len(words) == 1 or not SITE_WORDS.isdisjoint(words))):
+            return True
+    return False
+
+
 class _Lines(HTMLParser):
     """Collects lines: (text, tags, path of open element numbers, whether in boilerplate)."""
 
@@ -88,9 +108,9 @@ class _Lines(HTMLParser):
         if not boiler:
             boiler = tag in ASIDE or (tag == "header" and not any(e[0] in ("article", "main") for e in self.stack))
             if not boiler and attrs and tag not in ("html", "body", "main", "article"):
-                found = dict(attrs)
-                words = re.split(r"[^a-z0-9]+", f"{found.get('class') or ''} {found.get('id') or ''}".lower())
-                boiler = (found.get("role") or "").lower() in ASIDE_ROLES or not ASIDE_WORDS.isdisjoint(words) or "hidden" in found or (found.get("aria-hidden") or "").lower() == "true"
+                boiler = _marked(dict(attrs), any(e[0] in ("article", "main") for e in self.stack))
+        elif tag == "main" and not any(e[0] in ASIDE for e in self.stack):
+            boiler = False  # whatever the classes of elements around it say
         # Within a block, what an inline element marks as boilerplate is left out of the block's line.
         out = boiler and not block and not (self.stack and self.stack[-1][2])
         self.stack.append((tag, self.number, boiler, silent or out or tag in SILENT))

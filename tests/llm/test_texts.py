@@ -171,6 +171,18 @@ def test_html_keeps_the_article_alone():
     assert html_text.extract(deep.encode()) == "deep"
 
 
+def test_html_reads_class_names_of_layout_apart():
+    long = "A long sentence of the article with many words in it, so that it counts as content. " * 3
+    kept = long.strip()
+    for page, text in (
+        (f'<body class="has-sidebar"><div id="header">Site</div><div class="content no-sidebar"><h1>T</h1><p>{long}<p>{long}<div class="commentList"><p>{long}</div></div><div id="footer">f</div>', f"T\n{kept}\n{kept}"),
+        (f'<div class="page-sidebar-wrap"><main><h1>T</h1><p>{long}</main></div>', f"T\n{kept}"),
+        (f'<div id="header">Site</div><p>{long}</p><p style="display: none">{long}</p><p>{long}</p>', f"{kept}\n{kept}"),
+        (f'<article><div class="post-header"><h1>T</h1></div><p>{long}</p></article><section class="comments"><article class="comment-body"><p>{long}</p></article></section>', f"T\n{kept}"),
+    ):
+        assert html_text.extract(page.encode()) == text
+
+
 def test_html_rows(spark):
     rows = [(1, None, "u"), (2, "<p>hi</p>", None), (2, "<p>hi</p>", None), (None, "<article><p>" + "long " * 50_000 + "</p></article>", "u")]
     out = html_text.main_texts(spark.createDataFrame(rows, "page_id bigint, html string, url string")).collect()
