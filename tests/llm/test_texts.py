@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -114,6 +115,20 @@ def test_leaks_are_found_and_clean_texts_left_alone():
     assert all(any(h["item_id"] == i for h in hits) for (i, _), hits in zip(items, decontaminate.find_leaks(whole, index, hashes), strict=True))
 
 
+def test_leaks_of_long_texts_do_not_depend_on_pieces(monkeypatch):
+    rng = random.Random(8)
+    voc = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choices(voc, k=20)).encode()) for i in range(8)]
+    long = " ".join(" ".join(rng.choices(voc, k=37)) + f" {t.decode()}" for _, t in items * 3).encode()
+    texts = [long, b"", items[0][1], long[:2000]]
+    index, hashes = decontaminate.Index(items), decontaminate._Hashes()
+    whole = decontaminate.find_leaks(texts, index, hashes)
+    assert len(whole[0]) == 24 and len(whole[2]) == 1
+    for words in (1, 7, 64):
+        monkeypatch.setattr(decontaminate, "CHUNK_WORDS", words)
+        assert decontaminate.find_leaks(texts, pickle.loads(pickle.dumps(index)), hashes) == whole
+
+
 def test_leak_rows(spark, monkeypatch):
     item = "one two three four five six seven eight nine ten"
     bench = spark.createDataFrame([(7, item), (8, None), (9, ""), (10, "MIT License"), (11, item)], "item_id bigint, text string")
