@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from keymoment.llm.common import map_text
 
-WALKS, SAMPLES, SYMBOLS = 6, 5, 5
+WALKS, SAMPLES, SYMBOLS = 5, 6, 5
 #: Items of fewer words are no passages that could be told from chance; they are not searched for.
 MIN_WORDS = 5
 #: An item is found within so many edits for each of its words.
