@@ -7,8 +7,11 @@ text, the window that starts there is walked and its key compared with those of
 SAMPLES samples of each of WALKS walks. Steps are sampled one from each of SYMBOLS equal spans of a walk, and a window is
 followed only as long as its samples so far agree with some item's.
 
-Windows that share a key with an item are verified: the item is aligned with the text around by edit distance over words
-(bit-parallel), the start and end being free.
+What the samples miss is found by pieces: an item of which k words may be edited is cut into k + 1 pieces, one of which
+stands in the text unchanged, whatever the edits (pigeonhole). So no passage within EDITS edits a word is lost.
+
+Windows that share a key or a piece with an item are verified: the item is aligned with the text around by edit distance
+over words (bit-parallel), the start and end being free.
 """
 
 from __future__ import annotations
@@ -78,8 +81,21 @@ class _Sample:
         return _Sample, (self.walk, self.steps, self.keys, self.items)
 
 
+@dataclass
+class _Pieces:
+    """The pieces of one number of words: their keys in order, and for each key the items and the places in them.
+    begins, early: by the top bits of the key of a piece's first two words (or one), and of all, whether a piece may have it."""
+
+    size: int
+    keys: np.ndarray
+    uses: list[list[tuple[int, int]]]
+    begins: np.ndarray
+    early: np.ndarray
+    shift: int
+
+
 class Index:
-    """The items of a benchmark by length class, walk and sample."""
+    """The items of a benchmark by length class, walk and sample, and by pieces."""
 
     def __init__(self, items: list[tuple[int, bytes]], seed: int = 5):
         self.items = [(i, w) for i, t in items if len(w := words_of(t)) >= MIN_WORDS]
@@ -111,6 +127,7 @@ class Index:
                     for n, key in zip(members, keys[-1].tolist(), strict=True):
                         found.setdefault(key, []).append(n)
                     self.samples.append(_Sample(walk, steps, [np.unique(k) for k in keys[1:]], found))
+        self.pieces = self._cut(hashes)
         self.first = max((s.steps[1] if len(s.steps) > 1 else s.steps[0] for s in self.samples), default=0)
         self.reach = max((s.steps[-1] for s in self.samples), default=0) + 1
 
@@ -123,6 +140,48 @@ class Index:
             at = at + (((_bits(out[-1], walk, j // 8) >> np.uint8(j % 8)) & np.uint8(1)) & (at < lengths))
         return out
 
+    def _cut(self, hashes: _Hashes) -> list[_Pieces]:
+        """Pieces of all items, by their number of words: of each item one more than it may have edits."""
+        found: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        begins: dict[int, set[int]] = {}
+        for n, (_, words) in enumerate(self.items):
+            h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+            cuts = [round(len(words) * i / (k + 1)) for k in (int(EDITS * len(words)),) for i in range(k + 2)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                keys = _rolled(h[a:b], b - a)
+                begins.setdefault(b - a, set()).add(int(keys[min(2, b - a) - 1][0]))
+                found.setdefault(b - a, {}).setdefault(int(keys[-1][0]), []).append((n, a))
+        out = []
+        for size, uses in sorted(found.items()):
+            keys = np.array(sorted(uses), np.uint64)
+            shift = 64 - min(24, max(16, len(keys).bit_length() + 5))
+            tables = np.zeros((2, 1 << (64 - shift)), bool)
+            tables[0, (np.array(list(begins[size]), np.uint64) >> np.uint64(shift)).astype(np.intp)] = True
+            tables[1, (keys >> np.uint64(shift)).astype(np.intp)] = True
+            out.append(_Pieces(size, keys, [uses[k] for k in keys.tolist()], *tables, shift))
+        return out
+
+    def piece_hits(self, h: np.ndarray) -> list[tuple[int, int, int]]:
+        """(position, item, place in the item) of the pieces in a word-hash sequence."""
+        out = []
+        for part in self.pieces:
+            if len(h) < part.size:
+                continue
+            # Only places where two words begin a piece are read further.
+            few = min(2, part.size)
+            key = _rolled(h, few)[-1]
+            at = np.flatnonzero(part.begins.take((key >> np.uint64(part.shift)).astype(np.intp)))
+            at = at[at <= len(h) - part.size]
+            key = key.take(at)
+            for j in range(few, part.size):
+                key = (key ^ h.take(at + j)) * _MULTIPLY + np.uint64(1)
+            hit = np.flatnonzero(part.early.take((key >> np.uint64(part.shift)).astype(np.intp)))
+            at, key = at.take(hit), key.take(hit)
+            place = np.minimum(np.searchsorted(part.keys, key), len(part.keys) - 1)
+            for q, k in zip(*(x[part.keys[place] == key].tolist() for x in (at, place)), strict=True):
+                out += [(q, n, a) for n, a in part.uses[k]]
+        return out
+
     def candidates(self, h: np.ndarray) -> set[tuple[int, int]]:
         """(position, item) of the windows of a word-hash sequence that share a key with an item."""
         out: set[tuple[int, int]] = set()
@@ -201,6 +260,14 @@ def _top(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(48)).astype(np.intp)
 
 
+def _rolled(h: np.ndarray, size: int) -> list[np.ndarray]:
+    """The keys of the sequences of 1 to size words, by where they begin."""
+    keys = [h * _MULTIPLY + np.uint64(1)]
+    for j in range(1, size):
+        keys.append((keys[-1][:-1] ^ h[j:]) * _MULTIPLY + np.uint64(1))
+    return keys
+
+
 def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Whether each of x is in an ordered array."""
     return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
@@ -246,8 +313,13 @@ def find_leaks(texts: list[bytes], index: Index, hashes: _Hashes) -> list[list[d
                 places.update((p + a, item) for p, item in index.candidates(flat[a : a + 2 * CHUNK_WORDS + index.reach]) if p < 2 * CHUNK_WORDS)
             near = sorted(places)
             owners = (np.searchsorted(starts, [p for p, _ in near], side="right") - 1).tolist()
-            for (p, item), k in zip(near, owners, strict=True):
-                if hit := index.verify(split[group[k]], p - int(starts[k]), item):
+            tries = {(k, p - int(starts[k]), item) for (p, item), k in zip(near, owners, strict=True)}
+            # A piece is of the text that it stands in, though the item's window may begin before that text.
+            hits = index.piece_hits(flat)
+            owners = (np.searchsorted(starts, [q for q, _, _ in hits], side="right") - 1).tolist()
+            tries.update((k, q - int(starts[k]) - a, item) for (q, item, a), k in zip(hits, owners, strict=True))
+            for k, p, item in sorted(tries):
+                if hit := index.verify(split[group[k]], p, item):
                     out[group[k]].append({"item_id": index.items[item][0], "first_word": hit[0], "last_word": hit[1], "edits": hit[2]})
             group, total = [], 0
     for n, hits in enumerate(out):

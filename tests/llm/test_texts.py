@@ -115,6 +115,26 @@ def test_leaks_are_found_and_clean_texts_left_alone():
     assert all(any(h["item_id"] == i for h in hits) for (i, _), hits in zip(items, decontaminate.find_leaks(whole, index, hashes), strict=True))
 
 
+def planted(rng, edit):
+    """(index, texts, items that brute force finds in each): items edited and put between other words."""
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(800)]
+    index = decontaminate.Index([(i, " ".join(rng.choices(words, k=rng.randint(15, 60))).encode()) for i in range(60)])
+    texts = []
+    for _, item in index.items:
+        w = edit([x.decode() for x in item], words)
+        texts.append(" ".join(rng.choices(words, k=rng.choice([0, 30])) + w + rng.choices(words, k=rng.choice([0, 30]))).encode())
+    true = [{i for i, x in index.items if edits(x, decontaminate.words_of(t)) <= int(decontaminate.EDITS * len(x))} for t in texts]
+    assert sum(map(bool, true)) > 50
+    return index, texts, true
+
+
+def test_leaks_with_edits_at_the_beginning_are_all_found():
+    rng = random.Random(3)
+    for edit in (lambda w, _: w[3:], lambda w, voc: rng.choices(voc, k=3) + w[3:], lambda w, _: w[:-3]):
+        index, texts, true = planted(rng, edit)
+        assert [{h["item_id"] for h in hits} for hits in decontaminate.find_leaks(texts, index, decontaminate._Hashes())] == true
+
+
 def test_leaks_of_long_texts_do_not_depend_on_pieces(monkeypatch):
     rng = random.Random(8)
     voc = [f"w{i}" for i in range(500)]
