@@ -32,7 +32,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("whole"))
-    return decontaminate.mark_leaks(packed, table(spark, sf_dir, "benchmark"), "whole", keep=["row"]).where(F.size("leaks") == 0).select("row.*")
+    return decontaminate.mark_leaks(packed, table(spark, sf_dir, "benchmark"), "whole", keep=["row"], min_words=1).where(F.size("leaks") == 0).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

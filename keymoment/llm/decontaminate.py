@@ -1,6 +1,6 @@
 """Benchmark decontamination: CGK random walks, bit-sampling LSH over item-sized windows, exact edit verification.
 
-The symbols are words. A CGK walk reads a word sequence with a pointer that moves on at step j if a random bit of (j, the
+The symbols are words, or characters in scripts that are written without blanks. A CGK walk reads a word sequence with a pointer that moves on at step j if a random bit of (j, the
 word under it) says so, and writes down the word at each step; few edits between two sequences leave most of the written
 steps equal, so edit distance becomes Hamming distance. A sample of SYMBOLS steps is one LSH key. At every word of a
 text, the window that starts there is walked and its key compared with those of the benchmark items of like length, for
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect
 from dataclasses import dataclass
 from itertools import chain
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from keymoment.llm.common import map_text
 
 WALKS, SAMPLES, SYMBOLS = 5, 6, 5
-#: Items of fewer words are no passages that could be told from chance; they are not searched for.
+#: Items of fewer words may have no edit. They can hardly be told from chance, so a caller has to ask for them (min_words).
 MIN_WORDS = 5
 #: An item is found within so many edits for each of its words.
 EDITS = 0.2
@@ -38,13 +39,33 @@ CLASS_RATIO = 2
 #: Words of a chunk of texts that is walked at once, and benchmark items that one pass over the texts looks for.
 CHUNK_WORDS, BLOCK_ITEMS = 1 << 17, 20_000
 _SEPARATE = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+# Characters of scripts without blanks (Thai, Lao, Tibetan, Myanmar, Khmer, Kana, Han, Yi), and their stops.
+_STOP = re.compile("[\u3000-\u3004\u3008-\u3020\u3030\u303d\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65\u0f0b-\u0f14\u104a-\u104f\u17d4-\u17da]")
+_SCRIPT = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3021-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\ua4cf\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_SYMBOL = re.compile(f"[{_SCRIPT}]|[^ {_SCRIPT}]+")
+#: Bytes with which all of those begin.
+_UNBLANKED = re.compile(rb"\xe0[\xb8-\xbf]|\xe1[\x80-\x82\x9e\x9f]|\xe2[\xba-\xbf]|[\xe3-\xe9]|\xea[\x80-\x93]|\xef[\xa4-\xab\xbc-\xbe]|\xf0[\xa0-\xbf]")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 FIELDS = [("leaks", "array<struct<item_id:bigint,first_word:int,last_word:int,start:int,end:int,edits:int>>")]
 
 
 def words_of(text: bytes) -> list[bytes]:
-    """Words of letters and digits, ASCII lower-cased; other ASCII separates them."""
-    return text.lower().translate(_SEPARATE).split()
+    """Words of letters and digits, ASCII lower-cased; other ASCII separates them. In scripts that are written without
+    blanks, each character is a word, and stops separate."""
+    flat = text.lower().translate(_SEPARATE)
+    if flat.isascii() or np.frombuffer(flat, np.uint8).max() < 0xE0 or not _UNBLANKED.search(flat):
+        return flat.split()
+    return [w.encode("utf-8", "surrogateescape") for w in _SYMBOL.findall(_STOP.sub(" ", flat.decode("utf-8", "surrogateescape")))]
+
+
+def places_of(text: bytes, words: list[bytes]) -> list[tuple[int, int]]:
+    """(start, end) in bytes of the words of a text; between two there are none but separators."""
+    flat, out, end = text.lower().translate(_SEPARATE), [], 0
+    for w in words:
+        start = flat.index(w, end)
+        end = start + len(w)
+        out.append((start, end))
+    return out
 
 
 class _Hashes(dict):
@@ -97,14 +118,15 @@ class _Pieces:
 class Index:
     """The items of a benchmark by length class, walk and sample, and by pieces."""
 
-    def __init__(self, items: list[tuple[int, bytes]], seed: int = 5):
-        self.items = [(i, w) for i, t in items if len(w := words_of(t)) >= MIN_WORDS]
+    def __init__(self, items: list[tuple[int, bytes]], seed: int = 5, min_words: int = MIN_WORDS):
+        self.items = [(i, w) for i, t in items if len(w := words_of(t)) >= max(1, min_words)]
         self.sets = [frozenset(w) for _, w in self.items]
         rng = np.random.default_rng(seed)
         hashes = _Hashes()
         classes: dict[int, list[int]] = {}
         for n, (_, w) in enumerate(self.items):
-            classes.setdefault(int(math.log(len(w) / MIN_WORDS, CLASS_RATIO)), []).append(n)
+            if len(w) >= MIN_WORDS:  # a shorter one is a piece as a whole
+                classes.setdefault(int(math.log(len(w) / MIN_WORDS, CLASS_RATIO)), []).append(n)
         self.samples: list[_Sample] = []
         for _, members in sorted(classes.items()):
             least = min(len(self.items[n][1]) for n in members)
@@ -325,24 +347,30 @@ def find_leaks(texts: list[bytes], index: Index, hashes: _Hashes) -> list[list[d
     for n, hits in enumerate(out):
         if not hits:
             continue
-        flat = texts[n].lower().translate(_SEPARATE)
-        at = [m.span() for m in re.finditer(rb"[^ ]+", flat)]
+        at = places_of(texts[n], split[n])
         kept: list[dict] = []
+        taken: dict[int | None, list[tuple[int, int]]] = {}
         for x in sorted(hits, key=lambda x: (x["item_id"] is None, x["item_id"], x["edits"], x["first_word"])):
-            if all(x["item_id"] != y["item_id"] or x["last_word"] < y["first_word"] or x["first_word"] > y["last_word"] for y in kept):
-                a, b = at[x["first_word"]][0], at[x["last_word"]][1]
-                start = len(texts[n][:a].decode("utf-8", "replace"))
-                kept.append(x | {"start": start, "end": start + len(texts[n][a:b].decode("utf-8", "replace"))})
+            own = taken.setdefault(x["item_id"], [])
+            k = bisect(own, (x["first_word"], len(at)))
+            if (k == 0 or own[k - 1][1] < x["first_word"]) and (k == len(own) or own[k][0] > x["last_word"]):
+                own.insert(k, (x["first_word"], x["last_word"]))
+                kept.append(x)
         out[n] = sorted(kept, key=lambda x: (x["first_word"], x["item_id"] is None, x["item_id"]))
+        start = before = 0
+        for x in out[n]:
+            a, b = at[x["first_word"]][0], at[x["last_word"]][1]
+            start, before = start + len(texts[n][before:a].decode("utf-8", "replace")), a
+            x |= {"start": start, "end": start + len(texts[n][a:b].decode("utf-8", "replace"))}
     return out
 
 
-def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """Append leaks to each row: passages within EDITS edits a word of a benchmark item, with words, code points, edits.
 
     The benchmark is a query set: it goes to every task, in blocks of BLOCK_ITEMS items, each block being one pass over
-    the texts, which are searched whole and not shuffled. Null or empty texts and items, and items under MIN_WORDS words,
-    match nothing; items with equal texts are all reported, as are repeated rows of docs. A column of docs named leaks is
+    the texts, which are searched whole and not shuffled. Null or empty texts and items, and items under min_words words,
+    match nothing, items under MIN_WORDS words their exact word sequence only; items with equal texts are all reported, as are repeated rows of docs. A column of docs named leaks is
     replaced. Empty tables give no leaks.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").isNotNull())
@@ -355,7 +383,7 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     for n, block in enumerate(blocks):
         name = "leaks" if n == 0 else f"__leaks_{n}"
         # Made once here, unpacked once a worker: an index is of at most BLOCK_ITEMS items.
-        shared = docs.sparkSession.sparkContext.broadcast(Index(block))
+        shared = docs.sparkSession.sparkContext.broadcast(Index(block, min_words=min_words))
 
         def make(shared=shared):
             index, hashes = shared.value, _Hashes()

@@ -19,7 +19,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each passage of a document that is a benchmark item within few edits."""
-    out = decontaminate.mark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    out = decontaminate.mark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"], min_words=1)
     x = out.select("doc_id", F.explode("leaks").alias("x"))
     return x.select("doc_id", "x.item_id", F.col("x.first_word").cast("long").alias("first_word"), F.col("x.last_word").cast("long").alias("last_word"), F.col("x.start").cast("long").alias("start_char"), F.col("x.end").cast("long").alias("end_char"), F.col("x.edits").cast("long").alias("edits"))
 

@@ -135,6 +135,30 @@ def test_leaks_with_edits_at_the_beginning_are_all_found():
         assert [{h["item_id"] for h in hits} for hits in decontaminate.find_leaks(texts, index, decontaminate._Hashes())] == true
 
 
+def test_leaks_of_short_items_and_of_scripts_without_blanks():
+    han = "水在零度结冰而在一百度沸腾这是为什么呢请说明"
+    items = [(1, "Forty-two"), (2, "E"), (3, han), (4, "น้ำแข็งละลายที่อุณหภูมิใด"), (5, "..."), (6, "a b c d")]
+    index = decontaminate.Index([(i, t.encode()) for i, t in items], min_words=1)
+    texts = ["so forty TWO, é e!", f"他问：「{han[:8]}、{han[9:]}」好。", "ถามว่าน้ำแข็งละลายที่อุณหภูมิใดครับ", "a b c x d", "word e " * 20_000]
+    found = decontaminate.find_leaks([t.encode() for t in texts], index, decontaminate._Hashes())
+    assert [[(x["item_id"], t[x["start"] : x["end"]], x["edits"]) for x in hits] for t, hits in zip(texts[:4], found[:4], strict=True)] == [
+        [(1, "forty TWO", 0), (2, "e", 0)], [(3, f"{han[:8]}、{han[9:]}", 1)], [(4, items[3][1], 0)], []
+    ]
+    assert len(found[4]) == 20_000 and found[4][-1]["end"] == len(texts[4]) - 1
+    assert {i for i, _ in decontaminate.Index([(i, t.encode()) for i, t in items]).items} == {3, 4}
+
+
+def test_query_and_pipeline_look_for_short_items(spark, tmp_path):
+    import corpus_pipeline
+    from keymoment.llm.queries import op2_decontaminate
+
+    rows = docs(spark, [(1, "say Forty-two now", "x", "y"), (2, "none", "x", "y")])
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "forty two")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r["doc_id"], r["item_id"]) for r in op2_decontaminate(spark, str(tmp_path)).collect()] == [(1, 7)]
+    assert [r["doc_id"] for r in corpus_pipeline.drop_leaks(spark, rows, str(tmp_path)).collect()] == [2]
+
+
 def test_leaks_of_long_texts_do_not_depend_on_pieces(monkeypatch):
     rng = random.Random(8)
     voc = [f"w{i}" for i in range(500)]
