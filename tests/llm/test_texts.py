@@ -135,6 +135,19 @@ def test_leaks_with_edits_at_the_beginning_are_all_found():
         assert [{h["item_id"] for h in hits} for hits in decontaminate.find_leaks(texts, index, decontaminate._Hashes())] == true
 
 
+def test_leaks_are_those_of_brute_force_at_any_share_of_edits():
+    def some(w, voc):
+        for _ in range(int(share * len(w))):
+            p = rng.randrange(len(w))
+            w[p : p + rng.randint(0, 1)] = rng.choices(voc, k=rng.randint(0, 1))
+        return w
+
+    rng = random.Random(6)
+    for share in (0.1, 0.15, 0.2):
+        index, texts, true = planted(rng, some)
+        assert [{h["item_id"] for h in hits} for hits in decontaminate.find_leaks(texts, index, decontaminate._Hashes())] == true
+
+
 def test_leaks_of_short_items_and_of_scripts_without_blanks():
     han = "水在零度结冰而在一百度沸腾这是为什么呢请说明"
     items = [(1, "Forty-two"), (2, "E"), (3, han), (4, "น้ำแข็งละลายที่อุณหภูมิใด"), (5, "..."), (6, "a b c d")]
