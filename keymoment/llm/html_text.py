@@ -2,8 +2,8 @@
 
 Parser events stream into lines: a block of text with the number of tags that came with it and the elements it stands in.
 The ratio of text to tags per line is smoothed with a Gaussian, and lines are clustered by a threshold (the smoothed
-ratio's standard deviation over its mean level): the content cluster votes for the container, the innermost element that
-holds most of the cluster's text. All lines of that container are kept but those in boilerplate (menus, headers, footers,
+ratio's standard deviation over its mean level): the content cluster votes for the container: main or
+articles that hold most of its text, else the innermost element that holds all of it. All lines of that container are kept but those in boilerplate (menus, headers, footers,
 asides, forms, adverts, notices, comments), so that short paragraphs of the article aren't lost to the threshold.
 """
 
@@ -34,6 +34,8 @@ ASIDE_WORDS = frozenset(
 # beside "header", mark the header of a site rather than that of an article.
 LAYOUT_WORDS = frozenset("no not has have with without layout is js".split())
 SITE_WORDS = frozenset("site global top main".split())
+#: Elements that are a part of a text, never its container.
+PARTS = frozenset("p li td th tr pre h1 h2 h3 h4 h5 h6 dd dt blockquote ul ol dl".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Width of the Gaussian, in lines.
 SIGMA = 1.0
@@ -151,6 +153,25 @@ def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratio, kernel)[reach:-reach] / np.convolve(np.ones(len(ratio)), kernel)[reach:-reach]
 
 
+def _container(chosen: list[tuple], kind: dict[int, str]) -> set[int]:
+    """The elements whose lines are the main text, by the content cluster's lines: a main, or articles, if they hold over
+    half of the cluster's text; else the innermost element that all its lines stand in. Empty for the whole page."""
+    named = [[e for e in x[2] if kind[e] in ("article", "main")] for x in chosen]
+    sizes = [len(x[0]) for x in chosen]
+    if 2 * sum(n for n, es in zip(sizes, named, strict=True) if es) > sum(sizes):
+        mains = {e for es in named for e in es if kind[e] == "main"}
+        votes = {m: sum(n for n, es in zip(sizes, named, strict=True) if m in es) for m in mains}
+        main = max((m for m in mains if 2 * votes[m] > sum(sizes)), default=None)
+        inside = [es for es in named if es and (main is None or main in es)]
+        articles = [next((e for e in es if kind[e] == "article" and (main is None or e > main)), None) for es in inside]
+        # Articles of a main are all of it, unless content lies in the main beside them.
+        if main is not None and None in articles:
+            return {main}
+        return {e if e is not None else es[0] for e, es in zip(articles, inside, strict=True)}
+    shared = set(chosen[0][2]).intersection(*(x[2] for x in chosen[1:]))
+    return {max(e)} if (e := [e for e in shared if kind[e] not in PARTS]) else set()
+
+
 def extract(html: bytes) -> str:
     parser = _Lines()
     parser.feed(html.decode("utf-8", "replace"))
@@ -163,17 +184,9 @@ def extract(html: bytes) -> str:
     content = level >= level.std() if len(lines) > 2 else np.ones(len(lines), bool)
     if not content.any():
         content[:] = True
-    # The content cluster's text votes for the elements that it stands in.
-    votes: dict[int, float] = {}
-    for x, n, c in zip(lines, sizes, content, strict=True):
-        if c:
-            for e in x[2]:
-                votes[e] = votes.get(e, 0) + n
-    whole = sizes[content].sum()
-    most = [e for e, v in votes.items() if v > 0.5 * whole and parser.kind[e] not in ("p", "li", "td", "th", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt")]
-    article = [e for e in most if parser.kind[e] in ("article", "main")]
-    inner = max(article or most, default=None)
-    return "\n".join(x[0] for x in lines if inner is None or inner in x[2])
+    chosen = [x for x, c in zip(lines, content, strict=True) if c]
+    within = _container(chosen, parser.kind)
+    return "\n".join(x[0] for x in lines if not within or not within.isdisjoint(x[2]))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:

@@ -255,6 +255,20 @@ def test_html_reads_class_names_of_layout_apart():
         assert html_text.extract(page.encode()) == text
 
 
+def test_html_keeps_all_parts_of_the_article():
+    a, b = ("A sentence of the text with many words in it, so that it counts as content. " * n for n in (4, 6))
+    x, y = a.strip(), b.strip()
+    for inner in ("<blockquote><p>{}</blockquote>", "<ul><li>{}</ul>", "<table><tr><td>{}</table>", "<section><p>{}</section>"):
+        page = f'<nav>n</nav><div class="post"><h1>T</h1><p>{a}</p>{inner.format(b)}</div><footer>f</footer>'
+        assert html_text.extract(page.encode()) == f"T\n{x}\n{y}"
+    for page, text in (
+        (f"<main><article><p>{b}</article><article><p>{a}</article></main>", f"{y}\n{x}"),
+        (f"<article><p>{b}</article><article><p>{a}</article><div>menu</div>", f"{y}\n{x}"),
+        (f"<main><article><p>{b}</article><section><p>{a}</section></main><div>menu</div>", f"{y}\n{x}"),
+    ):
+        assert html_text.extract(page.encode()) == text
+
+
 def test_html_rows(spark):
     rows = [(1, None, "u"), (2, "<p>hi</p>", None), (2, "<p>hi</p>", None), (None, "<article><p>" + "long " * 50_000 + "</p></article>", "u")]
     out = html_text.main_texts(spark.createDataFrame(rows, "page_id bigint, html string, url string")).collect()
