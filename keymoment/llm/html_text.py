@@ -36,35 +36,52 @@ LAYOUT_WORDS = frozenset("no not has have with without layout is js".split())
 SITE_WORDS = frozenset("site global top main".split())
 #: Elements that are a part of a text, never its container.
 PARTS = frozenset("p li td th tr pre h1 h2 h3 h4 h5 h6 dd dt blockquote ul ol dl".split())
+# Words that stand beside those of ASIDE_WORDS in names of boilerplate (ad-slot, share-buttons, left-sidebar);
+# with any other word (related-work) a name is that of a topic.
+STRUCTURE_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons center col column container count desktop fixed form group header heading icon icons inner item items left link links list main mobile module outer overlay panel placeholder post posts articles stories right row section site slot sticky thread title toggle top unit wrap wrapper primary secondary global page entry article blog js wp google id policy".split()
+)
+# Words of what has articles of its own, or may be longer than the article.
+OTHER_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo related recommended comment comments commentlist respond disqus reply replies adsbygoogle taboola outbrain".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Width of the Gaussian, in lines.
 SIGMA = 1.0
 FIELDS = [("content", "string"), ("n_chars", "bigint")]
 
 
-def _marked(attrs: dict[str, str | None], inside: bool) -> bool:
-    """Whether an element's attributes say that it is boilerplate or hidden; inside: within an article."""
+def _hidden(attrs: dict[str, str | None]) -> bool:
+    """Whether an element's attributes say for certain that it is boilerplate or hidden."""
     style = (attrs.get("style") or "").lower().replace(" ", "")
     if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
         return True
-    if (attrs.get("role") or "").lower() in ASIDE_ROLES:
-        return True
-    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+    return (attrs.get("role") or "").lower() in ASIDE_ROLES
+
+
+def _marked(attrs: dict[str, str | None], inside: bool) -> frozenset[str] | set[str]:
+    """The words by which an element's class or id says that it is boilerplate; inside: within an article.
+
+    All words of a name have to be those of boilerplate. Outside an article, a class that begins with such a word will do."""
+    classes = (attrs.get("class") or "").split()
+    for k, name in enumerate(classes + (attrs.get("id") or "").split()):
         words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", name).lower()) if w]
         if not words or words[0] in LAYOUT_WORDS:
             continue
-        if not ASIDE_WORDS.isdisjoint(words) or (not inside and "header" in words and (len(words) == 1 or not SITE_WORDS.isdisjoint(words))):
-            return True
-    return False
+        found = ASIDE_WORDS.intersection(words)
+        if found and (all(w in ASIDE_WORDS or w in STRUCTURE_WORDS or w.isdigit() for w in words) or (not inside and k < len(classes) and words[0] in ASIDE_WORDS)):
+            return found
+        if not inside and "header" in words and (len(words) == 1 or not SITE_WORDS.isdisjoint(words)):
+            return {"header"}
+    return frozenset()
 
 
 class _Lines(HTMLParser):
-    """Collects lines: (text, tags, path of open element numbers, whether in boilerplate)."""
+    """Collects lines: (text, tags, path of open element numbers, whether in boilerplate, elements marked by class around)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = []  # name, number, boilerplate, silent
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []  # name, number, boilerplate, silent, marked
+        self.lines: list[tuple[str, int, tuple[int, ...], bool, tuple[int, ...]]] = []
+        self.other: set[int] = set()  # elements marked by OTHER_WORDS
         self.kind: dict[int, str] = {}
         self.text: list[str] = []
         self.tags = self.number = 0
@@ -74,8 +91,8 @@ class _Lines(HTMLParser):
             text = " ".join("".join(self.text).split())
             self.text = []
             if text:
-                top = self.stack[-1] if self.stack else ("", 0, False, False)
-                self.lines.append((text, self.tags, tuple(e[1] for e in self.stack if e[0] in BLOCK), top[2]))
+                top = self.stack[-1] if self.stack else ("", 0, False, False, ())
+                self.lines.append((text, self.tags, tuple(e[1] for e in self.stack if e[0] in BLOCK), top[2], top[4]))
                 self.tags = 0
 
     def _pop(self, depth: int) -> None:
@@ -104,18 +121,25 @@ class _Lines(HTMLParser):
                     break
         if tag in VOID:
             return
-        boiler, silent = (self.stack[-1][2], self.stack[-1][3]) if self.stack else (False, False)
+        boiler, silent, marked = self.stack[-1][2:] if self.stack else (False, False, ())
+        outer = marked
         self.number += 1
         self.kind[self.number] = tag
+        inside = any(e[0] in ("article", "main") for e in self.stack)
+        words = _marked(dict(attrs), inside) if attrs and tag not in ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6") else ()
         if not boiler:
-            boiler = tag in ASIDE or (tag == "header" and not any(e[0] in ("article", "main") for e in self.stack))
-            if not boiler and attrs and tag not in ("html", "body", "main", "article"):
-                boiler = _marked(dict(attrs), any(e[0] in ("article", "main") for e in self.stack))
-        elif tag == "main" and not any(e[0] in ASIDE for e in self.stack):
-            boiler = False  # whatever the classes of elements around it say
+            boiler = tag in ASIDE or (tag == "header" and not inside) or bool(attrs and tag not in ("html", "body", "main", "article") and _hidden(dict(attrs)))
+        if tag == "main" and not any(e[0] in ASIDE for e in self.stack):
+            boiler = False
+        if tag == "main" or (tag == "article" and not words and self.other.isdisjoint(marked)):
+            marked = ()  # whatever the classes of elements around it say
+        elif words and tag != "article":
+            marked += (self.number,)
+            if not OTHER_WORDS.isdisjoint(words):
+                self.other.add(self.number)
         # Within a block, what an inline element marks as boilerplate is left out of the block's line.
-        out = boiler and not block and not (self.stack and self.stack[-1][2])
-        self.stack.append((tag, self.number, boiler, silent or out or tag in SILENT))
+        out = not block and ((boiler and not (self.stack and self.stack[-1][2])) or (bool(words) and not outer and "-" not in tag))
+        self.stack.append((tag, self.number, boiler, silent or out or tag in SILENT, marked))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -177,6 +201,14 @@ def extract(html: bytes) -> str:
     parser.feed(html.decode("utf-8", "replace"))
     parser.close()
     lines = [x for x in parser.lines if not x[3]]
+    # What holds most of the page's text isn't boilerplate by its class alone.
+    held: dict[int, int] = {}
+    for x in lines:
+        for e in x[4]:
+            held[e] = held.get(e, 0) + len(x[0])
+    total = sum(len(x[0]) for x in lines)
+    freed = {e for e, n in held.items() if 2 * n > total and e not in parser.other}
+    lines = [x for x in lines if freed.issuperset(x[4])]
     if not lines:
         return ""
     sizes = np.array([len(x[0]) for x in lines], float)

@@ -269,6 +269,21 @@ def test_html_keeps_all_parts_of_the_article():
         assert html_text.extract(page.encode()) == text
 
 
+def test_html_reads_whole_names_and_frees_layout_wrappers():
+    long = "A long sentence of the article with many words in it, so that it counts as content. " * 3
+    x = long.strip()
+    for name in ('id="content-sidebar-wrap"', 'class="layout sidebar-left"', 'class="sidebar"'):
+        for page in ("<div {}><h1>T</h1><p>{}</div><div class=footer>f</div>", "<div {}><article><h1>T</h1><p>{}</article></div><div>short</div>"):
+            assert html_text.extract(page.format(name, long).encode()) == f"T\n{x}"
+    parts = ("related-work", "social-impact", "search-methods", "reply-times")
+    page = "".join(f'<h2 id="{n}">{n}</h2><section id="{n}-1"><p>{long}</section><section class="{n}"><p>{long}</section>' for n in parts)
+    boiler = "".join(f'<div class="{n}"><p>{long}</div>' for n in ("ad-slot", "share-buttons", "related-posts", "comment-list", "left-sidebar", "newsletter-signup"))
+    for tag in ("article", "main"):
+        assert html_text.extract(f"<{tag}>{page}{boiler}</{tag}>".encode()) == "\n".join(f"{n}\n{x}\n{x}" for n in parts)
+    page = f'<article><p>{long}</article><div id="comments"><article><p>{long * 3}</article></div><div class="sidebar-x"><p>{long}</div>'
+    assert html_text.extract(page.encode()) == x
+
+
 def test_html_rows(spark):
     rows = [(1, None, "u"), (2, "<p>hi</p>", None), (2, "<p>hi</p>", None), (None, "<article><p>" + "long " * 50_000 + "</p></article>", "u")]
     out = html_text.main_texts(spark.createDataFrame(rows, "page_id bigint, html string, url string")).collect()
