@@ -3,7 +3,8 @@
 Patterns find e-mail and IP addresses, card and phone numbers. The field's nodes are the tokens with a digit or an @ (all
 others are clamped to no label, so they cut the chain). Its edges join tokens that stand side by side, and, as skip
 edges, each token with the next one of the document that has the same text, the same last seven digits or the same local
-part. Loopy message passing over both gives each token's label; labelled tokens outside the patterns' spans are added, so
+part, and with the first such token of each kind that the patterns label, however far away it is. Tokens of the patterns'
+spans have those labels for certain. Loopy message passing over both gives each token's label; labelled tokens outside the patterns' spans are added, so
 that a number or address that a pattern knows in one place is found where it is written in another way.
 
 The field's weights are trained in numpy by pseudo-likelihood on a bounded sample of texts that the patterns label.
@@ -33,10 +34,13 @@ _TRIGGER = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
 #: A token's label must have this probability to add a span.
 SURE = 0.9
-ROUNDS = 10
+#: Messages pass until none changes by more than this; the rounds only bound what would swing without end.
+STILL, ROUNDS = 1e-3, 1000
 #: The field is trained on at most so many texts of at most so many characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 1000, 20_000
 SKIP_DIGITS = 7
+#: The log-odds of a label that is certain.
+CERTAIN = 1e6
 # Words before a token that hint at its kind.
 HINTS = (("email", "mail", "e-mail", "contact"), ("ip", "host", "server", "address"), ("card", "credit", "visa", "mastercard"), ("phone", "tel", "telephone", "mobile", "fax", "call"), ("version", "v", "page", "no", "nr"))
 FIELDS = [
@@ -101,9 +105,11 @@ DECISIVE = frozenset(_NAMES[n] for n in ("@", "@.", "luhn", "quad", "+"))
 _BOUNDS = (3, 4, 5, 9, 12, 16, 17, 20)
 
 
-def graph(text: str) -> Graph:
+def graph(text: str, base: list[tuple[int, int, int]] | None = None) -> Graph:
+    """base: the patterns' spans; with them, mentions are joined with those that the patterns label."""
     g = Graph([], [], [], [])
     last: dict[str, int] = {}
+    named: list[set[str]] = []
     before, adjacent = "", False
     for m in _TOKEN.finditer(text):
         raw = m.group()
@@ -135,7 +141,20 @@ def graph(text: str) -> Graph:
         for j in {last[k] for k in keys if k in last}:
             g.skip.append((j, n))
         last.update(dict.fromkeys(keys, n))
+        named.append(keys)
         before, adjacent = raw, True
+    if base:
+        labels = token_labels(g, base)
+        known: dict[str, dict[int, int]] = {}
+        for n in np.flatnonzero(labels).tolist():
+            for k in named[n]:
+                known.setdefault(k, {}).setdefault(int(labels[n]), n)
+        joined_already = set(g.skip)
+        for n in np.flatnonzero(labels == 0).tolist():
+            for j in {j for k in named[n] for j in known.get(k, {}).values()}:
+                pair = (min(j, n), max(j, n))
+                if pair not in joined_already:
+                    g.skip.append(pair)
     return g
 
 
@@ -167,8 +186,9 @@ def train(texts: list[str], steps: int = 300, rate: float = 0.5, seed: int = 3)
     rng = np.random.default_rng(seed)
     rows, labels, left, right, skips = [], [], [], [], []
     for text in texts:
-        g = graph(text)
-        y = token_labels(g, base_spans(text))
+        base = base_spans(text)
+        g = graph(text, base)
+        y = token_labels(g, base)
         near = [np.zeros((len(y), N_LABELS)) for _ in range(3)]
         for a, b in g.chain:
             near[0][b, y[a]] += 1
@@ -211,11 +231,14 @@ def train(texts: list[str], steps: int = 300, rate: float = 0.5, seed: int = 3)
     return Field(unary, chain, (skip + skip.T) / 2)
 
 
-def marginals(g: Graph, field: Field, rounds: int = ROUNDS) -> np.ndarray:
-    """Each token's label probabilities, by sum-product messages over chain and skip edges, damped."""
+def marginals(g: Graph, field: Field, rounds: int = ROUNDS, known: np.ndarray | None = None) -> np.ndarray:
+    """Each token's label probabilities, by sum-product messages over chain and skip edges, damped, until they stay.
+    known: labels that are certain, 0 where none is."""
     node = np.zeros((len(g.spans), N_LABELS))
     for n, f in enumerate(g.features):
         node[n] = field.unary[f].sum(0)
+    if known is not None:
+        node[known > 0] = CERTAIN * np.eye(N_LABELS)[known[known > 0]]
     edges = np.array(g.chain + g.skip, int).reshape(-1, 2)
     if len(edges):
         pair = np.concatenate([np.repeat(field.chain[None], len(g.chain), 0), np.repeat(field.skip[None], len(g.skip), 0)])
@@ -232,7 +255,7 @@ def marginals(g: Graph, field: Field, rounds: int = ROUNDS) -> np.ndarray:
             new -= new.max(1, keepdims=True)
             change = np.abs(new - message).max()
             message = 0.5 * (message + new)
-            if change < 1e-3:
+            if change < STILL:
                 break
         np.add.at(node, to, message)
     p = np.exp(node - node.max(1, keepdims=True))
@@ -241,13 +264,14 @@ def marginals(g: Graph, field: Field, rounds: int = ROUNDS) -> np.ndarray:
 
 def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
     """(kind, start, end) of what the field labels outside the patterns' spans; tokens side by side become one."""
-    g = graph(text)
+    g = graph(text, base)
     if not g.spans:
         return []
-    covered = token_labels(g, base) > 0
+    known = token_labels(g, base)
+    covered = known > 0
     if covered.all():
         return []
-    p = marginals(g, field)
+    p = marginals(g, field, known=known)
     beside = {b for _, b in g.chain}
     out: list[tuple[int, int, int]] = []
     previous = -2
@@ -290,7 +314,8 @@ def scan_pii(docs: DataFrame, field: Field, text_col: str = "text", keep: list[s
 
     A null or empty text has none; its base_sha256 is that of the empty string. Repeated rows each get their result; columns with
     the names of FIELDS are replaced; an empty table gives an empty one. Rows stay in their task, nothing is shuffled;
-    skip edges join each mention with the one before, so they are as many as the tokens, however often a token recurs.
+    skip edges join each mention with the one before and the first known one, so they are in proportion to the tokens,
+    however often a token recurs.
     """
     shared = docs.sparkSession.sparkContext.broadcast((field.unary, field.chain, field.skip))
 

@@ -330,6 +330,20 @@ def test_pii_field_adds_mentions_and_keeps_base():
     assert len(pii.scan_text("7 " * 30_000, field)) == 6
 
 
+def test_pii_labels_reach_all_repetitions():
+    # A bare mention alone is none; with a known one beside it, it is.
+    unary = pii.np.zeros((pii.N_FEATURES, pii.N_LABELS))
+    unary[pii._NAMES["bias"], 0] = 2
+    unary[pii._NAMES["+"], 4] = unary[pii._NAMES["@."], 1] = 9
+    field = pii.Field(unary, pii.np.zeros((pii.N_LABELS, pii.N_LABELS)), 5 * pii.np.eye(pii.N_LABELS))
+    for many in (1, 20, 1000):
+        for full, bare in (("+49301234567", "1234567"), ("ann.lee77@mail.example.com", "ann.lee77")):
+            again = f"and {bare} then " * many
+            for t in (f"{full} was {again}", f"{again} was {full}"):
+                assert sum(not s["base"] for s in pii.scan_text(t, field)[5]) == many
+            assert pii.scan_text(again, field)[5] == []
+
+
 def test_pii_rows(spark):
     rows = [*ODD, (6, "\U0001d54f a.b@c.de +1 234 567 8901", "x", "y")]
     out = {r["doc_id"]: r for r in pii.scan_pii(docs(spark, rows), pii.train_field(docs(spark, rows))).collect()}
