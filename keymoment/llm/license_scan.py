@@ -83,11 +83,13 @@ def find_notices(joined: str) -> list[tuple[str, int, int, int]]:
     found = set()
     for n, spans in near.items():
         _, _, pattern, label = notices[n]
-        for a, b in spans:
-            at = a
-            while m := pattern.search(joined, at, b):
+        # The best match of a window comes first; what lies before it and behind it is searched as well.
+        left = [(a, b) for a, b in spans]
+        while left:
+            a, b = left.pop()
+            if a < b and (m := pattern.search(joined, a, b)):
                 found.add((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-                at = max(m.end(), at + 1)
+                left += [(a, m.start()), (max(m.end(), a + 1), b)] if m.end() > m.start() else [(a + 1, b)]
     return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 

@@ -61,6 +61,11 @@ def test_license_finds_notices_with_edits_and_their_spans():
         assert "bsd" in license_scan.scan_text("".join(t).encode())[5]
 
 
+def test_license_finds_notices_before_a_better_one():
+    hits = license_scan.find_notices(" all rights resrved all rights reserved all rihts reserved ")
+    assert [(label, e) for label, _, _, e in hits] == [("all-rights-reserved", e) for e in (1, 0, 1)]
+
+
 def test_license_rows(spark):
     out = {(r["doc_id"], r["n_words"]): r for r in license_scan.scan_licenses(docs(spark)).collect()}
     assert out[(1, 0)]["labels"] == "" and out[(2, 0)]["score"] == 0 and out[(3, 0)]["first_word"] is None
