@@ -226,10 +226,33 @@ def test_toxicity_learns_subwords_and_uses_no_held_out_label(spark):
     assert len(odd) == len(ODD) and all(0 <= r["score"] <= 1 for r in odd) and odd[0]["score"] == odd[1]["score"] == odd[2]["score"]
     none = toxicity.train(docs(spark, []), spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert toxicity.score_toxicity(docs(spark, []), none).count() == 0 and toxicity.probability(b"x", none) < 0.5
+    # Texts of any length train and are scored in pieces; a text's repetitions train once.
+    far = [(i, "lorem ipsum " * 30_000 + ("zorgak " if i % 2 else "") + "dolor " * 30_000, "", "") for i in range(16)]
+    few = toxicity.train(docs(spark, far + [far[1]] * 20 + [(1, "zorgak", "", "")]), spark.createDataFrame([(i, i % 2) for i in range(16)], "doc_id bigint, toxic int"))
+    said = [toxicity.probability(t.encode(), few) for _, t, _, _ in far]
+    assert min(said[1::2]) > max(said[::2]) and toxicity.probability(b"zorgak", few) > 0.5 > toxicity.probability(b"lorem", few)
     marks = docs(spark, [(1, "", "", ""), (None, "", "", "")]).select("doc_id", toxicity.held_out("doc_id").alias("h")).collect()
     assert [r["h"] for r in marks] == [zlib.crc32(b"1") % 5 == 0, True]
 
 
+def test_toxicity_windows_do_not_depend_on_blocks(monkeypatch):
+    rng = random.Random(3)
+    model = toxicity.Model(toxicity.np.random.default_rng(1).normal(size=1 << 17), 0.0, 6)
+    for text in ("", "a", "one two", " ".join(rng.choices(["ab", "c-d", "é", "x" * 40], k=400)), "y" * 3000):
+        monkeypatch.setattr(toxicity, "BLOCK_BYTES", 1 << 16)
+        whole, best = toxicity.probability(text.encode(), model), toxicity.candidates(text.encode(), model.projected, toxicity.Settings())
+        assert len(best[0]) <= 8 and len(best[1]) <= 4 and bool(best[0]) == bool(text)
+        monkeypatch.setattr(toxicity, "BLOCK_BYTES", 300)
+        assert abs(toxicity.probability(text.encode(), model) - whole) < 1e-9
+
+
+def test_toxicity_sample_is_bounded_before_it_is_collected(spark):
+    rows = spark.range(100_000).selectExpr("id % 2 AS doc_id", "concat('word', id % 7) AS text")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id bigint, toxic int")
+    s = toxicity.Settings(sample_rows=10)
+    assert toxicity.train(rows, labels, s).projected.shape == (s.rows,)
+
+
 # HTML
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>"</script></head><body>
