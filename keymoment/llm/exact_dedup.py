@@ -3,8 +3,8 @@
 Rows become headers: digest of the normalised text, length, stable id and content locator (file and row). Headers stream
 through an aggregation whose state, kept per digest in RocksDB without expiry, is the header of the row that stays and a
 count. A digest that came more than once is a hit: its rows' full bytes are compared (least and largest normalised text
-of the digest, combined in each task before the shuffle). If they differ, which takes a digest collision, the digest's
-rows are grouped by the text itself.
+of the digest, combined in each task before the shuffle). Texts that a sieve of the hits tells apart aren't shuffled. If
+the bytes differ, which takes a digest collision, the digest's rows are grouped by the text itself.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keymoment.llm.common import Scratch
+from keymoment.llm.common import Scratch, Sieve, folders, located, without
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Settings of the stream's session while it starts: state on disk, with small write buffers and no space allotted ahead,
@@ -35,25 +35,24 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """docs with __file and __row: where each row's content lies. Needs a DataFrame that reads files."""
-    return docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-
-
-def headers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
-    text = F.col(text_col)
-    return located(docs).select(digest(normalised(text)).alias("digest"), (-F.char_length(F.coalesce(text, F.lit("")))).alias("less"), F.col(id_col).alias("id"), "__file", "__row")
+def headers(rows: DataFrame, id_col: str, text_col: str, digest=sha256) -> DataFrame:
+    """(digest, sha, less, id, file, row) of each row of a located() table; sha is null where digest is SHA-256 itself."""
+    text = F.col(f"whole.`{text_col}`")
+    plain = normalised(text)
+    sha = F.lit(None).cast("string") if digest is sha256 else sha256(plain)
+    return rows.select(digest(plain).alias("digest"), sha.alias("sha"), (-F.char_length(F.coalesce(text, F.lit("")))).alias("less"), F.col(f"whole.`{id_col}`").alias("id"), "file", "row")
 
 
 def keepers(stream: DataFrame) -> DataFrame:
     """The state: for each digest, the header of the row that stays and how many rows came."""
-    best = F.struct("less", F.col("id").isNull().alias("no_id"), "id", F.col("__file").alias("file"), F.col("__row").alias("row"))
+    best = F.struct("less", F.col("id").isNull().alias("no_id"), "id", "file", "row")
     return stream.groupBy("digest").agg(F.min(best).alias("best"), F.count("*").alias("n"))
 
 
 def run_stream(spark: SparkSession, source: str, schema, scratch: Scratch, files_per_batch: int | None = None) -> DataFrame:
-    """Stream the header files of a folder through the state; (digest, best, n) as of the end. A restart goes on from
-    the last batch that the checkpoint has, and a batch that is written again replaces its own folder."""
+    """Stream the header files of a folder through the state; (digest, best, n) as of the end. A lost executor's state comes
+    back from the checkpoint, and a batch that is written again replaces its own folder. files_per_batch bounds the headers
+    (not the texts) that one batch takes in."""
     updates = f"{scratch.path}/updates"
 
     def put(batch: DataFrame, number: int) -> None:
@@ -75,51 +74,29 @@ def run_stream(spark: SparkSession, source: str, schema, scratch: Scratch, files
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
-    batches = [f"{updates}/{name}" for name in _folders(spark, updates)]
+    batches = [f"{updates}/{name}" for name in folders(spark, updates)]
     said = spark.read.schema(state.schema).parquet(*batches) if batches else spark.createDataFrame([], state.schema)
     return scratch.keep(said.groupBy("digest").agg(F.min("best").alias("best"), F.max("n").alias("n")), "state")
 
 
-def _folders(spark: SparkSession, path: str) -> list[str]:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-
-
-def groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", digest=sha256, files_per_batch: int | None = None) -> tuple[DataFrame, bool]:
-    """(digest, part, keep_id, file, row, n) of each group of equal texts, and whether part, a hash of the text, is
-    needed to tell groups of a digest apart; without collisions it is null."""
-    spark = docs.sparkSession
-    made = scratch.keep(headers(docs, id_col, text_col, digest), "headers")
-    state = run_stream(spark, f"{scratch.path}/headers", made.schema, scratch, files_per_batch)
+def groups(rows: DataFrame, scratch: Scratch, id_col: str, text_col: str, digest=sha256, files_per_batch: int | None = None) -> DataFrame:
+    """(id, keep_id, n, kept, sha, file, row) of each row of a located() table."""
+    made = scratch.keep(headers(rows, id_col, text_col, digest), "headers")
+    state = run_stream(rows.sparkSession, f"{scratch.path}/headers", made.schema, scratch, files_per_batch)
     hits = scratch.keep(state.where("n > 1").select("digest"), "hits")
-    hit_rows = scratch.keep(made.join(hits, "digest", "left_semi").select("digest", "__file", "__row"), "hit-rows")
-    bodies = located(docs).select(normalised(F.col(text_col)).alias("text"), (-F.char_length(F.coalesce(F.col(text_col), F.lit("")))).alias("less"), F.col(id_col).alias("id"), "__file", "__row")
-    members = bodies.select("text", "__file", "__row").join(hit_rows, ["__file", "__row"]).select("digest", "text")
-    odd = members.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high").select("digest")
+    text = normalised(F.col(f"whole.`{text_col}`"))
+    bodies = Sieve(hits, "digest").split(rows.select(text.alias("text"), digest(text).alias("digest"), "file", "row"), "digest", passing=True)
+    odd = bodies.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high").select("digest")
     odd = scratch.keep(odd, "collisions")
-    plain = state.select("digest", F.lit(None).cast("string").alias("part"), F.col("best.id").alias("keep_id"), F.col("best.file").alias("file"), F.col("best.row").alias("row"), "n")
+    kept = (F.col("file") == F.col("best.file")) & (F.col("row") == F.col("best.row"))
+    columns = ["id", F.col("best.id").alias("keep_id"), "n", kept.alias("kept"), F.coalesce("sha", "digest").alias("sha"), "file", "row"]
     if odd.isEmpty():
-        return plain, False
-    again = bodies.withColumn("digest", digest(F.col("text"))).join(odd, "digest", "left_semi")
-    best = F.min(F.struct("less", F.col("id").isNull().alias("no_id"), "id", F.col("__file").alias("file"), F.col("__row").alias("row"))).alias("best")
-    again = again.groupBy("digest", "text").agg(best, F.count("*").alias("n"))
-    again = again.select("digest", F.sha2(F.concat(F.lit("part "), "text"), 256).alias("part"), F.col("best.id").alias("keep_id"), F.col("best.file").alias("file"), F.col("best.row").alias("row"), "n")
-    return scratch.keep(plain.join(odd, "digest", "left_anti").unionByName(again), "groups"), True
-
-
-def _resolved(docs: DataFrame, id_col: str, text_col: str, digest, files_per_batch: int | None, columns: list) -> DataFrame:
-    """Each row of docs with the group of its text."""
-    scratch = Scratch(docs.sparkSession)
-    found, split = groups(docs, scratch, id_col, text_col, digest, files_per_batch)
-    text = normalised(F.col(text_col))
-    rows = located(docs).select(*columns, "__file", "__row", digest(text).alias("__digest"), (F.sha2(F.concat(F.lit("part "), text), 256) if split else F.lit(None).cast("string")).alias("__part"))
-    found = found.select(F.col("digest").alias("__digest"), F.col("part").alias("__group"), F.col("keep_id").alias("__keep_id"), F.col("file").alias("__keep_file"), F.col("row").alias("__keep_row"), F.col("n").alias("__n"))
-    same = rows["__digest"] == found["__digest"]
-    if split:
-        same = same & (found["__group"].isNull() | (found["__group"] == rows["__part"]))
-    kept = (F.col("__file") == F.col("__keep_file")) & (F.col("__row") == F.col("__keep_row"))
-    return rows.join(found, same).withColumn("__kept", kept)
+        return made.join(state, "digest").select(*columns)
+    split = bodies.join(odd, "digest", "left_semi").select("file", "row", sha256(F.concat(F.lit("part "), "text")).alias("part"))
+    split = scratch.keep(made.join(split, ["file", "row"]), "split")
+    best = keepers(split.withColumn("digest", F.concat("digest", "part"))).withColumnRenamed("digest", "part")
+    plain = made.join(odd, "digest", "left_anti").join(state, "digest").select(*columns)
+    return plain.unionAll(split.withColumn("part", F.concat("digest", "part")).join(best, "part").select(*columns))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, files_per_batch: int | None = None) -> DataFrame:
@@ -127,15 +104,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts are equal when identical without white space; null counts as empty, so null, empty and blank texts are one
     group. The row with the most code points stays, then the smallest id (null ids last); of rows that tie in both, the
-    first by locator, so exactly one row of a group is kept. docs must read files, which give the locator. Its other
-    columns are ignored. An empty table gives an empty one. digest may be any Column function; a weak one only costs
-    the rows whose digests collide another grouping.
+    first by locator, so exactly one row of a group is kept. docs that don't read files are written first, which gives the
+    locator. Its other columns are ignored, whatever their names. An empty table gives an empty one. digest may be any
+    Column function of the normalised text; a weak one only costs the rows whose digests collide another grouping.
     """
-    text = normalised(F.col(text_col))
-    rows = _resolved(docs, id_col, text_col, digest, files_per_batch, [F.col(id_col).alias("__id"), F.sha2(text, 256).alias("__sha")])
-    return rows.select(F.col("__id").alias(id_col), F.col("__keep_id").alias("keep_id"), F.col("__n").alias("group_size"), F.col("__kept").alias("kept"), F.col("__sha").alias("text_sha256"))
+    scratch = Scratch(docs.sparkSession)
+    out = groups(located(docs, scratch), scratch, id_col, text_col, digest, files_per_batch)
+    return out.select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, files_per_batch: int | None = None) -> DataFrame:
-    """The rows of docs that exact_duplicates keeps, with all their columns."""
-    return _resolved(docs, id_col, text_col, digest, files_per_batch, [F.col(f"`{c}`") for c in docs.columns]).where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that exact_duplicates keeps, with all their columns, whatever their names. Only rows to be dropped
+    (and the few others that a sieve lets pass) are shuffled with their texts."""
+    scratch = Scratch(docs.sparkSession)
+    rows = located(docs, scratch)
+    gone = groups(rows, scratch, id_col, text_col, digest, files_per_batch).where("NOT kept").select("file", "row")
+    return without(rows, scratch.keep(gone, "gone"))

@@ -225,3 +225,17 @@ def test_pipeline_is_its_stages_done_plainly(spark):
 
 def test_held_out_labels_are_told_by_the_id():
     assert [i for i in range(30) if zlib.crc32(str(i).encode()) % 5 == 0]
+
+
+def test_internal_names_may_be_columns(spark, tmp_path):
+    names = ["file", "row", "whole", "digest", "part", "class", "__class", "__file", "__row", "__kept", "_metadata", "best", "n", "id", "u", "copies_", "at", "bits", "slot", "__sieve_slot", "node", "root"]
+    rows = [(i, f"one two three four five six {i // 2 * 2}", "s", *["x"] * len(names)) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    docs.write.parquet(f"file://{tmp_path}/t")
+    for d in (docs, spark.read.parquet(f"file://{tmp_path}/t")):
+        assert sorted(r["doc_id"] for r in exact_dedup.exact_duplicates(d).where("kept").collect()) == [0, 2, 4, 6]
+        for f in (exact_dedup.drop_exact_duplicates, near_dedup.drop_near_duplicates):
+            left = f(d)
+            assert left.columns == docs.columns
+            assert sorted(tuple(r) for r in left.collect()) == [r for r in rows if r[0] % 2 == 0]
+        assert mixing.mix(d).count() == near_dedup.near_duplicates(d).count() == 8
