@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keymoment.llm.common import Scratch, map_text
+from keymoment.llm.common import Scratch, Sieve, located, map_text, without
 from keymoment.llm.components import connected_components
 
 WORDS = 5
@@ -159,11 +159,13 @@ def estimate(x: list, y: list) -> F.Column:
     return ((F.lit(1.0) - differ / F.lit(float(SIGNED))) - chance) / (1 - chance)
 
 
-def near_duplicate_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """(described, groups): described has (id, n_shingles, class) for each row of docs; groups has (class, component_id)
-    for each class, component_id being the smallest id of the class's component."""
-    described = scratch.keep(map_text(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", _describe, FIELDS, keep=["id"]), "described")
-    classes = described.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+def near_duplicate_rows(rows: DataFrame, scratch: Scratch, id_col: str, text_col: str, percent: int = 85) -> DataFrame:
+    """(id, file, row, n_shingles, class, best) of each row of a located() table; best is the first row, by id (null last)
+    and place, of all that links reach: a struct of no_id, id, file and row. Rows without words have none."""
+    texts_in = rows.select(F.col(f"whole.`{id_col}`").alias("id"), "file", "row", F.col(f"whole.`{text_col}`").alias("text"))
+    described = scratch.keep(map_text(texts_in, "text", _describe, FIELDS, keep=["id", "file", "row"]), "described")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "file", "row")
+    classes = described.where("class IS NOT NULL").groupBy("class").agg(F.min(place).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     # A short number for each class; written once, it stays the same whatever is run again.
     classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     signs = [f"s{i}" for i in range(SIGNED * BITS // 64)]
@@ -175,7 +177,7 @@ def near_duplicate_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc
     member = scratch.keep(member.join(shared, "band").select("band", "node", "members"), "members")
     met = scratch.keep(member.groupBy("node").agg(F.sum("members").alias("met")), "met")
     wanted = scratch.keep(classes.select("node", "class").join(met, "node").select("node", "class"), "wanted")
-    texts = _texts_of(docs, text_col, wanted, scratch)
+    texts = _texts_of(texts_in.select("text"), wanted, scratch)
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         full = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
@@ -219,15 +221,17 @@ def near_duplicate_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc
     roots = connected_components(links.union(confirmed(pairs, "rest-links")), scratch, "all")
 
     grouped = scratch.keep(classes.select("node", "class", "first").join(roots, "node", "left").select("class", "first", F.coalesce("root", "node").alias("root")), "grouped")
-    least = scratch.keep(grouped.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    groups = scratch.keep(grouped.join(least, "root").select("class", "component_id"), "groups")
-    return described.select("id", "n_shingles", "class"), groups
+    least = scratch.keep(grouped.groupBy("root").agg(F.min("first").alias("best")), "least")
+    groups = scratch.keep(grouped.join(least, "root").select("class", "best"), "groups")
+    scratch.drop_but("located", "described", "groups")
+    return described.select("id", "file", "row", "n_shingles", "class").join(groups, "class", "left")
 
 
-def _texts_of(docs: DataFrame, text_col: str, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, text) of the wanted classes, from one text of each; equal ones are combined before the shuffle."""
-    keyed = map_text(docs.select(F.col(text_col).alias("text")), "text", _classes, [("class", "binary")])
-    one = keyed.where("class IS NOT NULL").groupBy("class").agg(F.first("text").alias("text"))
+def _texts_of(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, text) of the wanted classes, from one text of each. Texts that a sieve of the classes tells apart aren't
+    shuffled, and equal ones are combined before the shuffle."""
+    keyed = Sieve(wanted, "class").split(map_text(docs, "text", _classes, [("class", "binary")]), "class", passing=True)
+    one = keyed.groupBy("class").agg(F.first("text").alias("text"))
     return scratch.keep(one.join(wanted, "class").select("node", "text"), "texts")
 
 
@@ -246,14 +250,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     than the two are ignored, so their names may clash with the result's. An empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession)
-    described, groups = near_duplicate_classes(docs, scratch, id_col, text_col, percent)
-    out = described.join(groups, "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")))
+    out = near_duplicate_rows(located(docs, scratch), scratch, id_col, text_col, percent)
+    out = out.withColumn("component_id", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("best.id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all their columns; rows without words stay."""
+    """One row of docs for each group of near-duplicates, with all its columns, whatever their names: that of the smallest
+    id, null ids last, and of rows that share an id the first by locator. Rows without words all stay. Only rows to be
+    dropped (and the few others that a sieve lets pass) are shuffled with their texts."""
     scratch = Scratch(docs.sparkSession)
-    _, groups = near_duplicate_classes(docs, scratch, id_col, text_col, percent)
-    keyed = map_text(docs, text_col, _classes, [("__class", "binary")]).join(groups.select(F.col("class").alias("__class"), F.col("component_id").alias("__component")), "__class", "left")
-    return keyed.where(F.col("__class").isNull() | F.col(id_col).eqNullSafe(F.col("__component"))).select(*docs.columns)
+    rows = located(docs, scratch)
+    out = near_duplicate_rows(rows, scratch, id_col, text_col, percent)
+    gone = out.where(F.col("class").isNotNull() & ~(F.col("file").eqNullSafe(F.col("best.file")) & F.col("row").eqNullSafe(F.col("best.row"))))
+    return without(rows, scratch.keep(gone.select("file", "row"), "gone"))

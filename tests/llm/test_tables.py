@@ -72,7 +72,10 @@ def test_near_duplicates_are_the_components_of_all_pairs(spark, tmp_path):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
     left = near_dedup.drop_near_duplicates(docs)
     assert left.columns == docs.columns
-    assert sorted(r["doc_id"] for r in left.collect()) == sorted(r["doc_id"] for r in out if r["kept"])
+    # One row of each group, also where rows share the group's id; rows without words stay.
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted([*{r["doc_id"] for r in out if r["kept"] and r["n_shingles"]}, *(r["doc_id"] for r in out if not r["n_shingles"])])
+    twins = spark.createDataFrame([(None, "one two three four five six"), (None, "one two three four  five six"), (None, "x y")], "doc_id bigint, text string")
+    assert sorted(len(r["text"].split()) for r in near_dedup.drop_near_duplicates(twins).collect()) == [2, 6]
     assert near_dedup.near_duplicates(docs.where("false")).count() == 0
 
 
