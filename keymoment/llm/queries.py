@@ -105,21 +105,24 @@ SELECT conv_id, CAST(0 AS BIGINT) AS part, CAST(n AS BIGINT) AS n_turns, said AS
 WHERE NOT EXISTS (SELECT 1 FROM c JOIN f USING (conv_id) WHERE c.pos = k.n AND f.n > c.pos AND c.said = k.said)
 """,
     "op7_mixing": r"""
-WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    (CAST(CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM documents
-), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+WITH e AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents
+), d AS (
+  SELECT *, CAST(floor(1000 * size / (size + 200)) AS BIGINT) AS height,
+    (CAST(CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM e
+), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size * height) AS DOUBLE) AS heights FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
 l AS (
   SELECT *, 1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0.0) AS rest,
     sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS open FROM w
   WINDOW b AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), v AS (SELECT max(CASE WHEN (rest / open) * weight > cap THEN cap / weight END) AS filled, arg_min(rest / open, cap / weight) FILTER (WHERE (rest / open) * weight <= cap) AS level FROM l),
-t AS (SELECT source, source_size, coalesce(least(weight * level, cap), cap) AS target FROM w, v),
-g AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 2.0::DOUBLE) ELSE 0.0 END AS copies FROM t),
-j AS (SELECT d.*, g.source_size, g.target, CAST(floor(copies) AS BIGINT) AS whole, copies - floor(copies) AS p FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source),
-r AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM j),
-m AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0 AS middle FROM r)
+t AS (SELECT source, source_size, heights, coalesce(least(weight * level, cap), cap) AS target FROM w, v),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 2.0::DOUBLE) ELSE 0.0::DOUBLE END AS copies, CASE WHEN source_size > 0 THEN heights / (1000.0::DOUBLE * source_size) ELSE 0.0::DOUBLE END AS mean FROM t),
+j AS (SELECT d.*, g.source_size, g.target, g.mean, CAST(floor(copies) AS BIGINT) AS whole, copies - floor(copies) AS p FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source),
+o AS (SELECT *, p + 0.5::DOUBLE * least(p, 1 - p) * (CAST(height AS DOUBLE) / 1000.0::DOUBLE - mean) AS own FROM j),
+r AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (own / (1 - own)) END AS q FROM o),
+m AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id NULLS LAST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0 AS middle FROM r)
 SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN p > 0 AND middle <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM m
 """,
     "op8_exact_dedup": r"""

@@ -172,6 +172,32 @@ def test_mix_meets_its_targets(spark, tmp_path):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def test_mix_decides_each_of_equal_rows(spark, tmp_path):
+    rng = random.Random(3)
+    # Rows without ids, rows that share an id with texts of other sizes, and many equal rows: no row decides for another.
+    rows = [(None, "w " * rng.randint(1, 9), "en", "a", 0) for _ in range(4000)] + [(1, "v " * (i % 5 + 1), "en", "b", 0) for i in range(3000)]
+    rows += [(None, "same text here", "en", "c", 0)] * 5000 + [(2, None, "en", "c", 0)] * 50 + [(i, "x", "en", "d", 0) for i in range(20_000)]
+    docs = stored(spark, rows, tmp_path)
+    got = [sorted((str(r["doc_id"]), r["size"], r["taken"], r["target"], r["source_size"]) for r in mixing.mix(d).collect()) for d in (docs, docs.repartition(5))]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    _, goal = plain_mix(rows)
+    copies = mixing.take_mix(docs).groupBy("source").agg({"copies": "max"}, ).collect()
+    words = {r["source"]: r["w"] for r in mixing.take_mix(docs).selectExpr("source", "size(split(trim(text), ' ')) * copies AS w").groupBy("source").sum("w").withColumnRenamed("sum(w)", "w").collect()}
+    assert {r[1] for r in copies} <= {1, 2}
+    for s, largest in (("a", 9), ("b", 5), ("c", 3), ("d", 1)):
+        assert abs(words.get(s, 0) - goal[s]) <= largest
+
+
+def test_longer_documents_are_likelier(spark):
+    rows = spark.range(40_000).selectExpr("id AS doc_id", "repeat('w ', CAST(IF(id % 2 = 0, 1000, 10) AS INT)) AS text", "IF(id % 4 < 2, 'a', 'b') AS source")
+    taken = {(r["source"], r["size"]): r["share"] for r in mixing.mix(rows, weights=(1, 3), share=0.8, most=1.0).selectExpr("IF(doc_id % 4 < 2, 'a', 'b') AS source", "size", "taken / size AS part").groupBy("source", "size").agg({"part": "avg"}).withColumnRenamed("avg(part)", "share").collect()}
+    # Source b is taken whole, source a at 0.6: p + 0.5 * 0.4 * (height - mean height).
+    assert taken[("b", 10)] == taken[("b", 1000)] == 1
+    mean = (1000 * 0.833 + 10 * 0.047) / 1010
+    for size, height in ((1000, 0.833), (10, 0.047)):
+        assert abs(taken[("a", size)] - (0.6 + 0.2 * (height - mean))) < 0.02
+
+
 def test_archives_come_back_whole(spark):
     odd = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 9
     rows = [(1, "u", "x" * 100), (2, None, "x" * 100), (3, "a\r\nb", "y" * 99), (4, "u", "y" * 99), (5, "u", None), (6, "u", ""), (7, "u", odd), (8, "u", odd), (9, "u", "é" * 50), (0, "u", "é" * 50), (10, "u", "z" * 400_000), (None, "u", "x" * 100), (11, "u", odd + "\n"), (7, "u", odd)]
