@@ -97,12 +97,14 @@ FROM q LEFT JOIN f ON f.d = q.payload_digest
 """,
     "op6_chat": """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos FROM t),
-c AS (SELECT conv_id, pos, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY pos) OVER (PARTITION BY conv_id ORDER BY pos) AS said FROM o),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role), md5(text)) AS pos FROM t),
+c AS (SELECT conv_id, pos, string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY pos) OVER (PARTITION BY conv_id ORDER BY pos) AS said FROM o),
 f AS (SELECT conv_id, max(pos) AS n, max_by(said, pos) AS said FROM c GROUP BY conv_id),
-k AS (SELECT min(conv_id) AS conv_id, n, said FROM f GROUP BY n, said)
-SELECT conv_id, CAST(0 AS BIGINT) AS part, CAST(n AS BIGINT) AS n_turns, said AS text FROM k
-WHERE NOT EXISTS (SELECT 1 FROM c JOIN f USING (conv_id) WHERE c.pos = k.n AND f.n > c.pos AND c.said = k.said)
+k AS (SELECT min(conv_id) AS conv_id, n, said FROM f GROUP BY n, said),
+m AS (SELECT conv_id FROM k WHERE NOT EXISTS (SELECT 1 FROM c JOIN f USING (conv_id) WHERE c.pos = k.n AND f.n > c.pos AND c.said = k.said))
+SELECT conv_id, CAST((pos - 1) // 1024 AS BIGINT) AS part, count(*) AS n_turns,
+  string_agg('<|im_start|>' || translate(replace(role, '<|', '< |'), chr(13) || chr(10), '  ') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
+FROM o JOIN m USING (conv_id) GROUP BY ALL
 """,
     "op7_mixing": r"""
 WITH e AS (
