@@ -212,6 +212,26 @@ def test_archives_come_back_whole(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_archives_have_a_member_a_record_and_files_of_like_size(spark, tmp_path, monkeypatch):
+    rows = spark.range(4000).selectExpr("IF(id % 2 = 0, null, id) AS page_id", "'u' AS url", "IF(id % 2 = 0, '', repeat(CAST(id AS STRING), 300)) AS html")
+    warc.write_archives(rows, f"file://{tmp_path}/a", Scratch(spark), file_mb=1)
+    per_file, ids = [], set()
+    for f in sorted(tmp_path.glob("a/part*")):
+        data, n = f.read_bytes(), 0
+        while data:
+            z = zlib.decompressobj(31)
+            (head, block), = warc.parse(iter([z.decompress(data)]))
+            data, n = z.unused_data, n + 1
+            ids.add(head["warc-record-id"])
+        per_file.append(n)
+    assert sum(per_file) == len(ids) == 4000 and len(per_file) > 1 and max(per_file) < 1.3 * min(per_file)
+    # Records of several members, and pieces that end anywhere.
+    record = b"WARC/1.1\r\nContent-Length: 100000\r\n\r\n" + random.Random(1).randbytes(100_000) + b"\r\n\r\n"
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 7777)
+    for piece in (1000, 33_333):
+        assert [block for _, block in warc.parse(warc.inflated((warc.members(record) + b"\0") * 3, piece))] == [record[record.index(b"\r\n\r\n") + 4 : -4]] * 3
+
+
 def test_conversations_that_prefix_longer_ones_go(spark):
     talk = [("user", f"t{i}") if i % 2 == 0 else ("assistant", f"t{i}") for i in range(10)]
     logs = {1: talk[:2], 2: talk[:5], 3: talk, 4: talk, 5: [*talk[:4], ("user", "other")], 6: talk[1:3], 7: [("user", None)], 8: [("user", "")], 9: [(None, "t0")], 10: [("user", "t0"), ("assistant", "t1"), ("user", "t")]}
