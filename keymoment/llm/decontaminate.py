@@ -20,7 +20,7 @@ import math
 import re
 from bisect import bisect
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import xxhash
@@ -46,7 +46,8 @@ _SYMBOL = re.compile(f"[{_SCRIPT}]|[^ {_SCRIPT}]+")
 #: Bytes with which all of those begin.
 _UNBLANKED = re.compile(rb"\xe0[\xb8-\xbf]|\xe1[\x80-\x82\x9e\x9f]|\xe2[\xba-\xbf]|[\xe3-\xe9]|\xea[\x80-\x93]|\xef[\xa4-\xab\xbc-\xbe]|\xf0[\xa0-\xbf]")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
-FIELDS = [("leaks", "array<struct<item_id:bigint,first_word:int,last_word:int,start:int,end:int,edits:int>>")]
+#: What is said of a leak, beside the item's id.
+LEAK = "first_word:int,last_word:int,start:int,end:int,edits:int"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -369,19 +370,15 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """Append leaks to each row: passages within EDITS edits a word of a benchmark item, with words, code points, edits.
 
     The benchmark is a query set: it goes to every task, in blocks of BLOCK_ITEMS items, each block being one pass over
-    the texts, which are searched whole and not shuffled. Null or empty texts and items, and items under min_words words,
+    the texts, which are searched whole and not shuffled. Items' ids may be of any type that can be ordered. Null or empty texts and items, and items under min_words words,
     match nothing, items under MIN_WORDS words their exact word sequence only; items with equal texts are all reported, as are repeated rows of docs. A column of docs named leaks is
     replaced. Empty tables give no leaks.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").isNotNull())
-    blocks: list[list[tuple[int, bytes]]] = [[]]
-    for r in items.orderBy("i", "t").toLocalIterator():
-        if len(blocks[-1]) >= BLOCK_ITEMS:
-            blocks.append([])
-        blocks[-1].append((r["i"], r["t"].encode()))
-    out = docs
-    for n, block in enumerate(blocks):
-        name = "leaks" if n == 0 else f"__leaks_{n}"
+    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").isNotNull()).orderBy("i", "t")
+    kind = f"array<struct<item_id:{benchmark.schema[item_col].dataType.simpleString()},{LEAK}>>"
+    rows = ((r["i"], r["t"].encode()) for r in items.toLocalIterator())
+    out, names = docs, []
+    while (block := list(islice(rows, BLOCK_ITEMS))) or not names:
         # Made once here, unpacked once a worker: an index is of at most BLOCK_ITEMS items.
         shared = docs.sparkSession.sparkContext.broadcast(Index(block, min_words=min_words))
 
@@ -389,10 +386,11 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
             index, hashes = shared.value, _Hashes()
             return lambda texts: [find_leaks(texts, index, hashes)]
 
-        out = map_text(out, text_col, make, [(name, FIELDS[0][1])], keep if len(blocks) == 1 else None)
-    if len(blocks) > 1:
-        names = ["leaks"] + [f"__leaks_{n}" for n in range(1, len(blocks))]
-        out = out.withColumn("leaks", F.flatten(F.array(*names))).drop(*names[1:])
-        if keep is not None:
-            out = out.select(*keep, "leaks")
-    return out
+        names.append(f"__leaks_{len(names)}")
+        # The texts go on to the next pass only.
+        also = [text_col] if len(block) == BLOCK_ITEMS else []
+        out = map_text(out, text_col, make, [(names[-1], kind)], None if keep is None else [*dict.fromkeys([*keep, *also]), *names[:-1]])
+        if len(block) < BLOCK_ITEMS:
+            break
+    kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c.lower() != "leaks"]
+    return out.select(*kept, (F.col(names[0]) if len(names) == 1 else F.flatten(F.array(*names))).alias("leaks"))

@@ -2,15 +2,21 @@
 
 A notice of length n that may hold k edits is cut into k + 1 pieces: whatever the edits, one piece stands in the text
 unchanged (pigeonhole). One automaton finds all pieces of all notices in a single pass over the text; around each hit
-the regex library's bounded-error matching confirms the notice and counts its edits.
+the regex library's bounded-error matching confirms the notice and counts its edits. A window around a hit is as long as
+the notice and its edits, so the work is in proportion to the hits, however many stand next to each other. Of matches of
+one notice that overlap, those with fewer edits count.
+
+Words are matched as bytes, so a change of a character outside ASCII counts as one edit for each of its bytes.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -69,27 +75,31 @@ def _notices() -> tuple[list, ahocorasick.Automaton]:
 def find_notices(joined: str) -> list[tuple[str, int, int, int]]:
     """(label, start, end, edits) of the notices in words joined by blanks."""
     notices, seeds = _notices()
-    near: dict[int, list[list[int]]] = {}
+    # Hits that agree on where a notice may begin, give or take its edits, have one window.
+    windows: dict[int, dict[int, int]] = {}
     for end, (size, uses) in seeds.iter(joined):
         for n, offset in uses:
-            length, k, _, _ = notices[n]
             start = end + 1 - size - offset
-            a, b = max(0, start - k), min(len(joined), start + length + k)
-            spans = near.setdefault(n, [])
-            if spans and a <= spans[-1][1] and spans[-1][0] <= a:
-                spans[-1][1] = max(b, spans[-1][1])
-            else:
-                spans.append([a, b])
-    found = set()
-    for n, spans in near.items():
-        _, _, pattern, label = notices[n]
-        # The best match of a window comes first; what lies before it and behind it is searched as well.
-        left = [(a, b) for a, b in spans]
-        while left:
-            a, b = left.pop()
-            if a < b and (m := pattern.search(joined, a, b)):
-                found.add((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-                left += [(a, m.start()), (max(m.end(), a + 1), b)] if m.end() > m.start() else [(a + 1, b)]
+            own, step = windows.setdefault(n, {}), notices[n][1] + 1
+            own[start // step] = start
+    found = []
+    for n, own in windows.items():
+        length, k, pattern, label = notices[n]
+        hits = set()
+        for start in own.values():
+            # Beside the best match of a window, what lies before it and behind it is searched.
+            left = [(max(0, start - 2 * k), min(len(joined), start + length + 2 * k))]
+            while left:
+                a, b = left.pop()
+                if b - a >= length - k and (m := pattern.search(joined, a, b)):
+                    hits.add((sum(m.fuzzy_counts), m.start(), m.end()))
+                    left += [(a, m.start()), (m.end(), b)]
+        kept: list[tuple[int, int]] = []
+        for edits, a, b in sorted(hits):
+            at = bisect(kept, (a, b))
+            if (at == 0 or kept[at - 1][1] <= a) and (at == len(kept) or kept[at][0] >= b):
+                kept.insert(at, (a, b))
+                found.append((label, a, b, edits))
     return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
@@ -101,22 +111,27 @@ def scan_text(text: bytes) -> tuple:
     for phrase, label in PHRASES:
         key, at = b" %b " % phrase.encode(), -1
         while (at := joined.find(key, at + 1)) >= 0:
-            places.append(joined.count(b" ", 0, at))
+            places.append(at)
             base.add(label)
     if not words:
         return 0, 0, None, None, "", "", 0.0, 0, []
+    first, last = (joined.count(b" ", 0, f(places)) for f in (min, max)) if places else (None, None)
     plain = joined.decode("latin-1")
     hits = find_notices(plain)
     score = 1.0 if base else max((1 - e / (b - a) for _, a, b, e in hits), default=0.0)
     spans = []
     if hits:
-        begun = [m.span() for m in re.finditer(rb"[^ ]+", flat)]
+        # Where each word begins in joined, and where it lies in the text, in code points.
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        begins = np.cumsum(sizes + 1) - sizes
+        solid = np.frombuffer(flat, np.uint8) != 32
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8)))
+        points = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
         for label, a, b, e in hits:
-            i, j = plain.count(" ", 0, a + (plain[a] == " ")) - 1, plain.count(" ", 0, b - (plain[b - 1] == " ")) - 1
-            i, j = max(i, 0), min(max(j, i, 0), len(begun) - 1)
-            start = len(text[: begun[i][0]].decode("utf-8", "replace"))
-            spans.append({"label": label, "start": start, "end": start + len(text[begun[i][0] : begun[j][1]].decode("utf-8", "replace")), "edits": e})
-    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | {h[0] for h in hits})), score, len(hits), spans
+            i = max(0, int(np.searchsorted(begins, a + (plain[a] == " "), side="right")) - 1)
+            j = max(i, int(np.searchsorted(begins, b - 1 - (plain[b - 1] == " "), side="right")) - 1)
+            spans.append({"label": label, "start": int(points[edge[2 * i]]), "end": int(points[edge[2 * j + 1]]), "edits": e})
+    return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | {h[0] for h in hits})), score, len(hits), spans
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

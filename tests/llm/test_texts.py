@@ -6,6 +6,7 @@ import hashlib
 import pickle
 import random
 import re
+import time
 import zlib
 
 from hypothesis import given, settings
@@ -66,6 +67,31 @@ def test_license_finds_notices_before_a_better_one():
     assert [(label, e) for label, _, _, e in hits] == [("all-rights-reserved", e) for e in (1, 0, 1)]
 
 
+def test_license_notices_are_those_of_a_search_without_seeds():
+    rng = random.Random(7)
+    notices, _ = license_scan._notices()
+    texts = ["".join(p for p, _ in parts) for parts, _ in license_scan.NOTICES]
+    for _ in range(400):
+        said = []
+        for n in rng.choices(range(len(texts)), k=rng.randint(0, 3)):
+            t = list(texts[n])
+            for _ in range(rng.randint(0, notices[n][1] + 1)):
+                k = rng.randrange(len(t))
+                t[k : k + rng.randint(0, 1)] = rng.choices("aeilrst u", k=rng.randint(0, 1))
+            said += ["".join(t), " ".join(rng.choices(["the", "license", "rights", "public", "x"], k=rng.randint(0, 4)))]
+        joined = " " + " ".join(" ".join(said).split()) + " "
+        assert {label for label, *_ in license_scan.find_notices(joined)} == {label for _, _, pattern, label in notices if pattern.search(joined)}
+
+
+def test_license_counts_notices_side_by_side_in_linear_time():
+    text = "MPL é: Mozilla Public License, mozila public license; mozilla pblic license. " * 300
+    out = license_scan.scan_text(text.encode())
+    assert out[7] == 900 and {text[s["start"] : s["end"]] for s in out[8]} == {"Mozilla Public License", "mozila public license", "mozilla pblic license"}
+    began = time.perf_counter()
+    license_scan.scan_text(b"all rights reserved " * 20_000 + b"mit license " * 20_000)
+    assert time.perf_counter() - began < 20
+
+
 def test_license_rows(spark):
     out = {(r["doc_id"], r["n_words"]): r for r in license_scan.scan_licenses(docs(spark)).collect()}
     assert out[(1, 0)]["labels"] == "" and out[(2, 0)]["score"] == 0 and out[(3, 0)]["first_word"] is None
@@ -199,6 +225,8 @@ def test_leak_rows(spark, monkeypatch):
     assert len(out) == len(rows) and sum(len(r["leaks"]) for r in out) == 4
     assert {x["item_id"] for r in out for x in r["leaks"]} == {7, 11}
     assert sum(len(r["leaks"]) for r in decontaminate.mark_leaks(docs(spark, rows), bench.where("false")).collect()) == 0
+    named = spark.createDataFrame([("b", item), (None, item), ("a", item)], "item_id string, text string")
+    assert [[x["item_id"] for x in r["leaks"]] for r in decontaminate.mark_leaks(docs(spark, rows[-1:]), named).collect()] == [["a", "b", None, "a", "b", None]]
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 1)
     blocks = decontaminate.mark_leaks(docs(spark, rows), bench)
     assert blocks.columns == out[0].__fields__ and sum(len(r["leaks"]) for r in blocks.collect()) == 4
