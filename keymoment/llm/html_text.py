@@ -1,16 +1,25 @@
 """Main text of HTML pages by text-to-tag ratio.
 
-Parser events stream into lines: a block of text with the number of tags that came with it and the elements it stands in.
-The ratio of text to tags per line is smoothed with a Gaussian, and lines are clustered by a threshold (the smoothed
-ratio's standard deviation over its mean level): the content cluster votes for the container: main or
-articles that hold most of its text, else the innermost element that holds all of it. All lines of that container are kept but those in boilerplate (menus, headers, footers,
-asides, forms, adverts, notices, comments), so that short paragraphs of the article aren't lost to the threshold.
+Parser events stream into lines: a block of text with the number of tags that came with it, the share of it in links, the
+element it stands in and, if any, the element around it that its class or id marks as boilerplate. The ratio of text to
+tags per line is smoothed with a Gaussian, and lines are clustered by a threshold, the smoothed ratio's standard deviation.
+The content cluster selects the region:
+
+* an element that holds most of the cluster's text is content, whatever its class or id says;
+* the region is the main or articles that hold most of the cluster, else the innermost element that holds all of it;
+* in the region, runs of lines that are links for the most part, and most of them under the threshold, are menus and go. Other lines under it
+  stay, as short paragraphs of an article are under it too.
+
+What HTML itself calls navigation, footer, sidebar, hidden and so on never counts. A line holds numbers of elements, not
+paths, so memory and time are in proportion to the page, however deep its elements nest.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,7 +33,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist map".split())
-ASIDE = frozenset("nav footer aside form menu dialog".split())
+ASIDE = frozenset("nav footer aside menu dialog".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 # Words in a class or id that mark what is not the article.
 ASIDE_WORDS = frozenset(
@@ -46,6 +55,8 @@ OTHER_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Width of the Gaussian, in lines.
 SIGMA = 1.0
+#: So many lines of links in a row, most of them under the threshold, are a menu.
+MENU_LINES = 3
 FIELDS = [("content", "string"), ("n_chars", "bigint")]
 
 
@@ -74,29 +85,58 @@ def _marked(attrs: dict[str, str | None], inside: bool) -> frozenset[str] | set[
     return frozenset()
 
 
+@dataclass(slots=True)
+class _Open:
+    """An open element. block: the depth of the innermost block at or above it; mark: the outermost marked element around."""
+
+    tag: str
+    number: int
+    boiler: bool
+    silent: bool
+    mark: int
+    inside: bool
+    aside: bool
+    linked: bool
+    block: int
+
+
+@dataclass(slots=True)
+class Line:
+    text: str
+    tags: int
+    links: float
+    element: int
+    mark: int
+
+
 class _Lines(HTMLParser):
-    """Collects lines: (text, tags, path of open element numbers, whether in boilerplate, elements marked by class around)."""
+    """Collects the lines outside boilerplate, and of all elements the parent and the tag."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []  # name, number, boilerplate, silent, marked
-        self.lines: list[tuple[str, int, tuple[int, ...], bool, tuple[int, ...]]] = []
+        self.parent, self.kind = [0], [""]
+        root = _Open("", 0, False, False, 0, False, False, False, 0)
+        self.stack = [root]
+        self.opened: dict[str, int] = {}
+        self.lines: list[Line] = []
         self.other: set[int] = set()  # elements marked by OTHER_WORDS
-        self.kind: dict[int, str] = {}
         self.text: list[str] = []
-        self.tags = self.number = 0
+        self.linked = self.tags = 0
 
     def end_line(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
-            self.text = []
             if text:
-                top = self.stack[-1] if self.stack else ("", 0, False, False, ())
-                self.lines.append((text, self.tags, tuple(e[1] for e in self.stack if e[0] in BLOCK), top[2], top[4]))
+                top = self.stack[-1]
+                if not top.boiler:
+                    self.lines.append(Line(text, max(1, self.tags), min(1.0, self.linked / len(text)), self.stack[top.block].number, top.mark))
                 self.tags = 0
+            self.text, self.linked = [], 0
 
     def _pop(self, depth: int) -> None:
         self.end_line()
+        for e in self.stack[depth:]:
+            self.opened[e.tag] -= 1
         del self.stack[depth:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -108,62 +148,66 @@ class _Lines(HTMLParser):
         if block:
             self.end_line()
         if block and tag not in ("html", "body"):
-            names = CLOSES.get(tag)
-            for depth in range(len(self.stack) - 1, -1, -1):
-                name = self.stack[depth][0]
-                if name == "p" and tag not in ("option", "optgroup"):
-                    self._pop(depth)
-                    break
-                if names and name in names:
-                    self._pop(depth)
-                    break
-                if name in BLOCK:
-                    break
+            at = self.stack[-1].block
+            name = self.stack[at].tag
+            if at and ((name == "p" and tag not in ("option", "optgroup")) or name in CLOSES.get(tag, ())):
+                self._pop(at)
         if tag in VOID:
             return
-        boiler, silent, marked = self.stack[-1][2:] if self.stack else (False, False, ())
-        outer = marked
-        self.number += 1
-        self.kind[self.number] = tag
-        inside = any(e[0] in ("article", "main") for e in self.stack)
-        words = _marked(dict(attrs), inside) if attrs and tag not in ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6") else ()
-        if not boiler:
-            boiler = tag in ASIDE or (tag == "header" and not inside) or bool(attrs and tag not in ("html", "body", "main", "article") and _hidden(dict(attrs)))
-        if tag == "main" and not any(e[0] in ASIDE for e in self.stack):
+        up = self.stack[-1]
+        number = len(self.parent)
+        self.parent.append(self.stack[up.block].number)
+        self.kind.append(tag)
+        words = frozenset()
+        hidden = False
+        if attrs and tag not in ("html", "body"):
+            given = dict(attrs)
+            if tag not in ("main", "h1", "h2", "h3", "h4", "h5", "h6"):
+                words = _marked(given, up.inside)
+            hidden = tag not in ("main", "article") and _hidden(given)
+        if tag == "form":  # a form is boilerplate, unless it is put around the page
+            words = words or {"form"}
+        boiler = up.boiler or tag in ASIDE or (tag == "header" and not up.inside) or hidden
+        if tag == "main" and not up.aside:
             boiler = False
-        if tag == "main" or (tag == "article" and not words and self.other.isdisjoint(marked)):
-            marked = ()  # whatever the classes of elements around it say
-        elif words and tag != "article":
-            marked += (self.number,)
+        mark = up.mark
+        if tag == "main" or (tag == "article" and not words and up.mark not in self.other):
+            mark = 0  # whatever the classes of elements around it say
+        elif words and tag != "article" and not mark:
+            mark = number
             if not OTHER_WORDS.isdisjoint(words):
-                self.other.add(self.number)
+                self.other.add(number)
         # Within a block, what an inline element marks as boilerplate is left out of the block's line.
-        out = not block and ((boiler and not (self.stack and self.stack[-1][2])) or (bool(words) and not outer and "-" not in tag))
-        self.stack.append((tag, self.number, boiler, silent or out or tag in SILENT, marked))
+        out = not block and ((boiler and not up.boiler) or (bool(words) and not up.mark and "-" not in tag))
+        self.opened[tag] = self.opened.get(tag, 0) + 1
+        self.stack.append(_Open(tag, number, boiler, up.silent or out or tag in SILENT, mark, up.inside or tag in ("article", "main"), up.aside or tag in ASIDE, up.linked or tag == "a", len(self.stack) if block else up.block))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.stack and self.stack[-1][0] == tag:
+        if tag not in VOID and self.stack[-1].tag == tag:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag == "br":
             self.text.append(" ")
-            return
-        for depth in range(len(self.stack) - 1, -1, -1):
-            if self.stack[depth][0] == tag:
-                if any(e[0] in BLOCK for e in self.stack[depth:]):
+        elif self.opened.get(tag):
+            depth, least = len(self.stack) - 1, 0 if tag in BLOCK else self.stack[-1].block
+            while depth > least and self.stack[depth].tag != tag:
+                depth -= 1
+            if depth > least or (tag in BLOCK and depth):
+                if self.stack[-1].block >= depth:
                     self._pop(depth)
                 else:
-                    del self.stack[depth]
-                return
-            if tag not in BLOCK and self.stack[depth][0] in BLOCK:
-                return  # an inline end tag doesn't close blocks
+                    self.opened[tag] -= 1
+                    del self.stack[depth]  # the inline elements behind it stay open
 
     def handle_data(self, data: str) -> None:
-        if not (self.stack and self.stack[-1][3]):
+        top = self.stack[-1]
+        if not top.silent:
             self.text.append(data)
+            if top.linked:
+                self.linked += len(data)
 
     def close(self) -> None:
         super().close()
@@ -177,48 +221,80 @@ def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratio, kernel)[reach:-reach] / np.convolve(np.ones(len(ratio)), kernel)[reach:-reach]
 
 
-def _container(chosen: list[tuple], kind: dict[int, str]) -> set[int]:
-    """The elements whose lines are the main text, by the content cluster's lines: a main, or articles, if they hold over
-    half of the cluster's text; else the innermost element that all its lines stand in. Empty for the whole page."""
-    named = [[e for e in x[2] if kind[e] in ("article", "main")] for x in chosen]
-    sizes = [len(x[0]) for x in chosen]
-    if 2 * sum(n for n, es in zip(sizes, named, strict=True) if es) > sum(sizes):
-        mains = {e for es in named for e in es if kind[e] == "main"}
-        votes = {m: sum(n for n, es in zip(sizes, named, strict=True) if m in es) for m in mains}
-        main = max((m for m in mains if 2 * votes[m] > sum(sizes)), default=None)
-        inside = [es for es in named if es and (main is None or main in es)]
-        articles = [next((e for e in es if kind[e] == "article" and (main is None or e > main)), None) for es in inside]
+def levels(lines: list[Line]) -> np.ndarray:
+    """The smoothed text-to-tag ratio of each line."""
+    return smoothed(np.array([len(x.text) / x.tags for x in lines]))
+
+
+def cluster(level: np.ndarray) -> np.ndarray:
+    """Whether lines are content: their level reaches its standard deviation; of one or two lines, all are."""
+    return level >= level.std() if len(level) > 2 else np.ones(len(level), bool)
+
+
+def _held(chosen: list[Line], parent: list[int]) -> list[int]:
+    """The text of the chosen lines that each element holds; elements come after their parents."""
+    held = [0] * len(parent)
+    for x in chosen:
+        held[x.element] += len(x.text)
+    for e in range(len(parent) - 1, 0, -1):
+        held[parent[e]] += held[e]
+    return held
+
+
+def _region(chosen: list[Line], page: _Lines) -> list[bool]:
+    """For each element, whether its lines are of the region that the content cluster's lines select: a main, or articles,
+    if they hold over half of the cluster's text; else the innermost element that holds all of it."""
+    held, parent, kind = _held(chosen, page.parent), page.parent, page.kind
+    total = held[0]
+    main, article = [0] * len(parent), [0] * len(parent)  # the innermost main, and the outermost article in it, around each
+    for e in range(1, len(parent)):
+        main[e] = e if kind[e] == "main" else main[parent[e]]
+        article[e] = 0 if kind[e] == "main" else article[parent[e]] or (e if kind[e] == "article" else 0)
+    picked = {0}
+    if 2 * sum(len(x.text) for x in chosen if main[x.element] or article[x.element]) > total:
+        most = max((e for e in range(1, len(parent)) if kind[e] == "main" and 2 * held[e] > total), default=0)
+        inside = [x for x in chosen if (main[x.element] == most if most else main[x.element] or article[x.element])]
         # Articles of a main are all of it, unless content lies in the main beside them.
-        if main is not None and None in articles:
-            return {main}
-        return {e if e is not None else es[0] for e, es in zip(articles, inside, strict=True)}
-    shared = set(chosen[0][2]).intersection(*(x[2] for x in chosen[1:]))
-    return {max(e)} if (e := [e for e in shared if kind[e] not in PARTS]) else set()
+        picked = {most} if most and any(not article[x.element] for x in inside) else {article[x.element] or main[x.element] for x in inside}
+    else:
+        picked = {max((e for e in range(1, len(parent)) if held[e] == total and kind[e] not in PARTS), default=0)}
+    within = [0 in picked] + [False] * (len(parent) - 1)
+    for e in range(1, len(parent)):
+        within[e] = within[parent[e]] or e in picked
+    return within
+
+
+def select(page: _Lines) -> list[Line]:
+    """The lines of the main text."""
+    lines = page.lines
+    if not lines:
+        return []
+    chosen = [x for x, c in zip(lines, cluster(levels(lines)), strict=True) if c]
+    held = _held(chosen, page.parent)
+    plain = sum(len(x.text) for x in chosen if not x.mark)
+    # What holds most of the cluster isn't boilerplate by its class alone; comments and the like only if there is hardly
+    # anything else, as they may be longer than the article.
+    free = {0} | {x.mark for x in lines if x.mark and 2 * held[x.mark] > held[0] and (x.mark not in page.other or 10 * plain < held[0])}
+    lines = [x for x in lines if x.mark in free]
+    if not lines:
+        return []
+    content = cluster(levels(lines))
+    within = _region([x for x, c in zip(lines, content, strict=True) if c] or lines, page)
+    out: list[Line] = []
+    region = [(x, c) for x, c in zip(lines, content.tolist(), strict=True) if within[x.element]]
+    for links, group in groupby(region, lambda x: x[0].links > 0.5):
+        run = list(group)
+        # The threshold decides for a run as a whole, as its ends are raised by the lines beside it.
+        if not (links and len(run) >= MENU_LINES and 2 * sum(c for _, c in run) < len(run)):
+            out += [x for x, _ in run]
+    return out
 
 
 def extract(html: bytes) -> str:
-    parser = _Lines()
-    parser.feed(html.decode("utf-8", "replace"))
-    parser.close()
-    lines = [x for x in parser.lines if not x[3]]
-    # What holds most of the page's text isn't boilerplate by its class alone.
-    held: dict[int, int] = {}
-    for x in lines:
-        for e in x[4]:
-            held[e] = held.get(e, 0) + len(x[0])
-    total = sum(len(x[0]) for x in lines)
-    freed = {e for e, n in held.items() if 2 * n > total and e not in parser.other}
-    lines = [x for x in lines if freed.issuperset(x[4])]
-    if not lines:
-        return ""
-    sizes = np.array([len(x[0]) for x in lines], float)
-    level = smoothed(sizes / np.array([max(1, x[1]) for x in lines], float))
-    content = level >= level.std() if len(lines) > 2 else np.ones(len(lines), bool)
-    if not content.any():
-        content[:] = True
-    chosen = [x for x, c in zip(lines, content, strict=True) if c]
-    within = _container(chosen, parser.kind)
-    return "\n".join(x[0] for x in lines if not within or not within.isdisjoint(x[2]))
+    page = _Lines()
+    page.feed(html.decode("utf-8", "replace"))
+    page.close()
+    return "\n".join(x.text for x in select(page))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:

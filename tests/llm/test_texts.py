@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import pickle
 import random
 import re
+import statistics
 import time
 import zlib
 
@@ -340,6 +342,47 @@ def test_html_reads_whole_names_and_frees_layout_wrappers():
     assert html_text.extract(page.encode()) == x
 
 
+def test_html_is_told_by_the_ratio_where_names_mislead():
+    long = "A long sentence of the article with many words in it, so that it counts as content. " * 3
+    x = long.strip()
+    for page, text in (
+        (f'<div class="page-with-sidebar"><nav>n</nav><h1>T</h1><p>{long}</div>', f"T\n{x}"),
+        (f'<form id="aspnetForm"><h1>T</h1><p>{long}<p>{long}</form>', f"T\n{x}\n{x}"),
+        (f'<div class="entry social-share-enabled"><h1>T</h1><p>{long}</div>', f"T\n{x}"),
+        (f'<section class="comment-policy-post"><h1>T</h1><p>{long}</section>', f"T\n{x}"),
+        (f'<article><h1>T</h1><div class="post-menu-item"><p>{long}</div></article>', f"T\n{x}"),
+        (f"<div><p>{long}<p>Of.<p>{long}" + "".join(f"<p><a href=/{i}>More {i}</a>" for i in range(8)) + "</div>", f"{x}\nOf.\n{x}"),
+        (f"<div><p>{long}<p><a href=/>Source</a><p>{long}</div>", f"{x}\nSource\n{x}"),
+    ):
+        assert html_text.extract(page.encode()) == text
+
+
+def test_html_ratio_is_what_the_tags_say():
+    rng = random.Random(5)
+    for _ in range(50):
+        blocks = [(rng.choice(["p", "li", "div"]), rng.randint(1, 60), rng.randint(0, 4)) for _ in range(rng.randint(3, 40))]
+        page = html_text._Lines()
+        page.feed("".join(f"<{t}>" + "<i>" * k + "x" * n + "</i>" * k + f"</{t}>" for t, n, k in blocks))
+        page.close()
+        # A line's tags are its own, and the end tag of the block before it.
+        ratio = [n / (1 + 2 * k + (i > 0)) for i, (_, n, k) in enumerate(blocks)]
+        want = []
+        for i in range(len(ratio)):
+            near = [(math.exp(-0.5 * (i - j) ** 2), r) for j, r in enumerate(ratio) if abs(i - j) <= 3]
+            want.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+        got = html_text.levels(page.lines)
+        assert [len(x.text) for x in page.lines] == [n for _, n, _ in blocks] and all(abs(a - b) < 1e-9 for a, b in zip(got, want, strict=True))
+        deviation = statistics.pstdev(want)
+        assert html_text.cluster(got).tolist() == [v >= deviation for v in want]
+
+
+def test_html_of_any_depth_takes_linear_time():
+    began = time.perf_counter()
+    for page in ("<div>some words here" * 100_000, "<b>" * 50_000 + "<p>x</i></p>" * 50_000, "<p>a</section></b>" * 50_000):
+        assert html_text.extract(page.encode())
+    assert time.perf_counter() - began < 20
+
+
 def test_html_rows(spark):
     rows = [(1, None, "u"), (2, "<p>hi</p>", None), (2, "<p>hi</p>", None), (None, "<article><p>" + "long " * 50_000 + "</p></article>", "u")]
     out = html_text.main_texts(spark.createDataFrame(rows, "page_id bigint, html string, url string")).collect()
