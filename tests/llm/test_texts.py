@@ -364,8 +364,7 @@ def test_html_ratio_is_what_the_tags_say():
         page = html_text._Lines()
         page.feed("".join(f"<{t}>" + "<i>" * k + "x" * n + "</i>" * k + f"</{t}>" for t, n, k in blocks))
         page.close()
-        # A line's tags are its own, and the end tag of the block before it.
-        ratio = [n / (1 + 2 * k + (i > 0)) for i, (_, n, k) in enumerate(blocks)]
+        ratio = [n / (2 + 2 * k) for _, n, k in blocks]
         want = []
         for i in range(len(ratio)):
             near = [(math.exp(-0.5 * (i - j) ** 2), r) for j, r in enumerate(ratio) if abs(i - j) <= 3]
