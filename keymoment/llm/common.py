@@ -146,13 +146,17 @@ def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return stay.unionAll(rest.select(*columns))
 
 
-def bounded_sample(df: DataFrame, rows: int, keys: list[str], seed: int = 0) -> DataFrame:
+def bounded_sample(df: DataFrame, rows: int, keys: list[str], seed: int = 0, pick: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """At most `rows` rows, those of least hash of keys. Rows are counted first and thinned by the hash to about one and a
-    half times as many, so that what tasks hand on to be ordered doesn't grow with their number."""
+    half times as many, so that what tasks hand on to be ordered doesn't grow with their number. pick: what is wanted of
+    the rows, made before they are moved."""
     n = df.count()
     mixed = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30))
     share = min(1.0, (1.5 * rows + 64) / max(1, n))
-    return df.where(mixed < int(share * (1 << 30))).orderBy(mixed, *keys).limit(rows)
+    thin = df.where(mixed < int(share * (1 << 30)))
+    if pick is None:
+        return thin.orderBy(mixed, *keys).limit(rows)
+    return pick(thin.withColumn("__order", mixed)).orderBy("__order").limit(rows).drop("__order")
 
 
 def map_text(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[bytes]], list[list]]], fields: list[tuple[str, str]], keep: list[str] | None = None) -> DataFrame:

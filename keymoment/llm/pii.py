@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +34,16 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
 _TRIGGER = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
+_WANTED = "@|[0-9]{3}"
 #: A token's label must have this probability to add a span.
 SURE = 0.9
 #: Messages pass until none changes by more than this; the rounds only bound what would swing without end.
 STILL, ROUNDS = 1e-3, 1000
-#: The field is trained on at most so many texts of at most so many characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 1000, 20_000
-SKIP_DIGITS = 7
+#: The field is trained on pieces of so many characters, one of each of at most so many texts of any length.
+SAMPLE_ROWS, PIECE_CHARS = 1000, 4000
+SKIP_DIGITS, TEXT_DIGITS = 7, 4
+#: In training, copies of each labelled token as a weak mention, and the share of a copy's features that are left out.
+COPIES, LEFT_OUT = 3, 0.3
 #: The log-odds of a label that is certain.
 CERTAIN = 1e6
 # Words before a token that hint at its kind.
@@ -82,12 +87,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass
 class Graph:
-    """Tokens of a text (start, end), their features, and the edges of both sorts."""
-
-    spans: list[tuple[int, int]]
-    features: list[list[int]]
-    chain: list[tuple[int, int]]
-    skip: list[tuple[int, int]]
+    """Tokens of a text (starts, ends), the features of token n (features[at[n] : at[n + 1]]), and the edges of both sorts,
+    two columns each. Flat arrays, as a text may hold a token in every few characters."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    features: np.ndarray
+    at: np.ndarray
+    chain: np.ndarray
+    skip: np.ndarray
 
 
 _NAMES: dict[str, int] = {}
@@ -105,11 +113,16 @@ DECISIVE = frozenset(_NAMES[n] for n in ("@", "@.", "luhn", "quad", "+"))
 _BOUNDS = (3, 4, 5, 9, 12, 16, 17, 20)
 
 
+def _edges(flat: array) -> np.ndarray:
+    return np.array(flat, np.int32).reshape(-1, 2)
+
+
 def graph(text: str, base: list[tuple[int, int, int]] | None = None) -> Graph:
     """base: the patterns' spans; with them, mentions are joined with those that the patterns label."""
-    g = Graph([], [], [], [])
-    last: dict[str, int] = {}
-    named: list[set[str]] = []
+    starts, ends, features, at, chain, skip = (array("i") for _ in range(6))
+    last: dict[int, int] = {}
+    keyed, key_at = array("q"), array("i", [0])
+    at.append(0)
     before, adjacent = "", False
     for m in _TOKEN.finditer(text):
         raw = m.group()
@@ -126,35 +139,39 @@ def graph(text: str, base: list[tuple[int, int, int]] | None = None) -> Graph:
             f += ["@."] * ("." in core.partition("@")[2])
         f += [c for c in "+(-=" if c in core] + ["dot"] * ("." in core) + ["quote"] * ('"' in raw or "'" in raw)
         f += ["luhn"] * (12 <= len(digits) <= 19 and luhn(digits))
-        f += ["quad"] * bool(_IP.fullmatch(core) and all(int(p[-4:]) <= 255 for p in core.split(".")))
-        letters = [c for c in core if c.isalpha()]
+        f += ["quad"] * bool("." in core and _IP.fullmatch(core) and all(int(p[-4:]) <= 255 for p in core.split(".")))
+        letters = [c for c in core if c.isalpha()] if len(digits) < len(core) else []
         f.append("letters" if letters else "digits only")
         f += ["upper"] * (bool(letters) and core.upper() == core) + ["hex"] * (len(letters) > 3 and len(digits) > 3 and set(core.lower()) <= set("0123456789abcdef"))
-        f += [f"hint{i}" for i, words in enumerate(HINTS) if before.strip(":.,").lower() in words]
-        n = len(g.spans)
-        g.spans.append((a, a + len(core)))
-        g.features.append([_NAMES[x] for x in f])
+        hint = before.strip(":.,").lower()
+        f += [f"hint{i}" for i, words in enumerate(HINTS) if hint in words]
+        n = len(starts)
+        starts.append(a)
+        ends.append(a + len(core))
+        features.extend(_NAMES[x] for x in f)
+        at.append(len(features))
         if adjacent:
-            g.chain.append((n - 1, n))
+            chain.extend((n - 1, n))
         local = core.partition("@")[0].lower()
-        keys = {f"t{core}"} | ({f"d{digits[-SKIP_DIGITS:]}"} if len(digits) >= SKIP_DIGITS else set()) | ({f"l{local}"} if len(local) > 4 and letters else set())
+        # A few digits, as of a number's parts, stand for many things and join nothing.
+        known_by = (f"t{core}" if len(digits) >= TEXT_DIGITS or "@" in core else "", f"d{digits[-SKIP_DIGITS:]}" if len(digits) >= SKIP_DIGITS else "", f"l{local}" if len(local) > 4 and letters else "")
+        keys = {xxhash.xxh3_64_intdigest(k) >> 1 for k in known_by if k}
         for j in {last[k] for k in keys if k in last}:
-            g.skip.append((j, n))
+            skip.extend((j, n))
         last.update(dict.fromkeys(keys, n))
-        named.append(keys)
+        keyed.extend(keys)
+        key_at.append(len(keyed))
         before, adjacent = raw, True
+    g = Graph(*(np.array(x, np.int32) for x in (starts, ends, features, at)), _edges(chain), _edges(skip))
     if base:
         labels = token_labels(g, base)
-        known: dict[str, dict[int, int]] = {}
+        known: dict[int, dict[int, int]] = {}
         for n in np.flatnonzero(labels).tolist():
-            for k in named[n]:
+            for k in keyed[key_at[n] : key_at[n + 1]]:
                 known.setdefault(k, {}).setdefault(int(labels[n]), n)
-        joined_already = set(g.skip)
-        for n in np.flatnonzero(labels == 0).tolist():
-            for j in {j for k in named[n] for j in known.get(k, {}).values()}:
-                pair = (min(j, n), max(j, n))
-                if pair not in joined_already:
-                    g.skip.append(pair)
+        more = {(min(j, n), max(j, n)) for n in np.flatnonzero(labels == 0).tolist() for k in keyed[key_at[n] : key_at[n + 1]] if k in known for j in known[k].values()} if known else ()
+        if more:
+            g.skip = np.unique(np.concatenate([g.skip, np.array(sorted(more), np.int32)]), axis=0)
     return g
 
 
@@ -167,57 +184,51 @@ class Field:
 
 def token_labels(g: Graph, spans: list[tuple[int, int, int]]) -> np.ndarray:
     """The label of each token by the patterns' spans that it overlaps; 0 without one."""
-    out, k = np.zeros(len(g.spans), int), 0
-    for n, (a, b) in enumerate(g.spans):
-        while k < len(spans) and spans[k][2] <= a and all(s[2] <= a for s in spans[k : k + 1]):
-            k += 1
-        for s in spans[k:]:
-            if s[1] >= b:
-                break
-            if s[2] > a:
-                out[n] = s[0] + 1
-                break
+    out = np.zeros(len(g.starts), np.int8)
+    for kind, a, b in spans:
+        n = max(0, int(np.searchsorted(g.ends, a, side="right")))
+        while n < len(out) and g.starts[n] < b:
+            out[n] = out[n] or kind + 1
+            n += 1
     return out
 
 
-def train(texts: list[str], steps: int = 300, rate: float = 0.5, seed: int = 3) -> Field:
-    """Pseudo-likelihood over the texts' tokens, labelled by the patterns. Each labelled token is also a weak mention:
-    without its decisive features, but with a skip edge to itself, so that skip edges carry labels to such mentions."""
+def train(texts: list[str], steps: int = 400, rate: float = 0.5, seed: int = 3) -> Field:
+    """Pseudo-likelihood over the texts' tokens, labelled by the patterns.
+
+    The patterns see no weak mentions, so these are made of tokens that they label: copies without the decisive features
+    and some others, joined by a skip edge to the token that they are another mention of. As many tokens without a label
+    get copies in the same way, so that the skip potential is learnt from repetitions of both sorts."""
     rng = np.random.default_rng(seed)
-    rows, labels, left, right, skips = [], [], [], [], []
+    xs, ys, nears = [], [], []
     for text in texts:
         base = base_spans(text)
         g = graph(text, base)
         y = token_labels(g, base)
-        near = [np.zeros((len(y), N_LABELS)) for _ in range(3)]
-        for a, b in g.chain:
-            near[0][b, y[a]] += 1
-            near[1][a, y[b]] += 1
-        for a, b in g.skip:
-            near[2][a, y[b]] += 1
-            near[2][b, y[a]] += 1
-        x = np.zeros((len(y), N_FEATURES))
-        for n, f in enumerate(g.features):
-            x[n, f] = 1
-        for n in range(len(y)):
-            weak = y[n] > 0
-            for again in (False, True) if weak else (False,):
-                row, skip = x[n].copy(), near[2][n].copy()
-                if again:
-                    row[list(DECISIVE)] = 0
-                    skip[y[n]] += 1
-                    if rng.random() < 0.5:
-                        near[0][n], near[1][n] = 0, 0
-                rows.append(row)
-                labels.append(y[n])
-                left.append(near[0][n].copy())
-                right.append(near[1][n].copy())
-                skips.append(skip)
+        near = np.zeros((len(y), 3, N_LABELS), np.float32)
+        for edges, (back, there) in ((g.chain, (0, 1)), (g.skip, (2, 2))):
+            np.add.at(near, (edges[:, 1], back, y[edges[:, 0]]), 1)
+            np.add.at(near, (edges[:, 0], there, y[edges[:, 1]]), 1)
+        x = np.zeros((len(y), N_FEATURES), np.float32)
+        x[np.repeat(np.arange(len(y)), np.diff(g.at)), g.features] = 1
+        marked = np.flatnonzero(y)
+        plain = np.flatnonzero(y == 0)
+        copied = np.repeat(np.concatenate([marked, rng.choice(plain, min(len(plain), max(1, len(marked))), replace=False)]), COPIES)
+        weak, by = x[copied], near[copied]
+        weak[:, list(DECISIVE)] = 0
+        weak[:, 1:] *= rng.random((len(copied), N_FEATURES - 1)) >= LEFT_OUT
+        by[rng.random(len(copied)) < 0.5, :2] = 0
+        by[np.arange(len(copied)), 2, y[copied]] += 1
+        xs += [x, weak]
+        nears += [near, by]
+        ys += [y, y[copied]]
     unary, chain, skip = np.zeros((N_FEATURES, N_LABELS)), np.zeros((N_LABELS, N_LABELS)), np.zeros((N_LABELS, N_LABELS))
-    if not rows or not any(labels):
+    labels = np.concatenate(ys) if ys else np.zeros(0, np.int8)
+    if not labels.any():
         unary[_NAMES["bias"], 0] = 10
         return Field(unary, chain, skip)
-    x, le, ri, sk = (np.array(v) for v in (rows, left, right, skips))
+    x, near = np.concatenate(xs), np.concatenate(nears)
+    le, ri, sk = (np.ascontiguousarray(near[:, k]) for k in range(3))
     y = np.eye(N_LABELS)[labels]
     moments = [np.full_like(unary, 1e-3), np.full_like(chain, 1e-3), np.full_like(skip, 1e-3)]
     for _ in range(steps):
@@ -231,55 +242,67 @@ def train(texts: list[str], steps: int = 300, rate: float = 0.5, seed: int = 3)
     return Field(unary, chain, (skip + skip.T) / 2)
 
 
+def _passed(v: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Messages of sources with log beliefs v over edges of one potential."""
+    v -= v.max(1, keepdims=True)
+    new = np.log(np.exp(v, out=v) @ pair)
+    return new - new.max(1, keepdims=True)
+
+
 def marginals(g: Graph, field: Field, rounds: int = ROUNDS, known: np.ndarray | None = None) -> np.ndarray:
     """Each token's label probabilities, by sum-product messages over chain and skip edges, damped, until they stay.
-    known: labels that are certain, 0 where none is."""
-    node = np.zeros((len(g.spans), N_LABELS))
-    for n, f in enumerate(g.features):
-        node[n] = field.unary[f].sum(0)
+    known: labels that are certain, 0 where none is. All edges of a sort share one potential, so a message takes a row of
+    five numbers and memory is in proportion to tokens and edges."""
+    node = np.add.reduceat(field.unary[g.features], g.at[:-1]).astype(np.float32) if len(g.starts) else np.zeros((0, N_LABELS), np.float32)
     if known is not None:
-        node[known > 0] = CERTAIN * np.eye(N_LABELS)[known[known > 0]]
-    edges = np.array(g.chain + g.skip, int).reshape(-1, 2)
-    if len(edges):
-        pair = np.concatenate([np.repeat(field.chain[None], len(g.chain), 0), np.repeat(field.skip[None], len(g.skip), 0)])
-        source, to = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        message = np.zeros((len(source), N_LABELS))
-        for _ in range(rounds):
-            belief = node.copy()
-            np.add.at(belief, to, message)
-            v = (belief[source] - message[back])[:, :, None] + pair
-            top = v.max(1)
-            new = top + np.log(np.exp(v - top[:, None, :]).sum(1))
-            new -= new.max(1, keepdims=True)
-            change = np.abs(new - message).max()
-            message = 0.5 * (message + new)
-            if change < STILL:
-                break
-        np.add.at(node, to, message)
-    p = np.exp(node - node.max(1, keepdims=True))
+        node[known > 0] = CERTAIN * np.eye(N_LABELS, dtype=np.float32)[known[known > 0]]
+    sorts = []
+    for edges, potential in ((g.chain, field.chain), (g.skip, field.skip)):
+        if len(edges):
+            pair = np.exp(np.clip(potential, -50, 50)).astype(np.float32)
+            sorts.append((edges[:, 0], edges[:, 1], pair, *(np.zeros((len(edges), N_LABELS), np.float32) for _ in range(2))))
+    awake = np.ones(len(node), bool)
+    for _ in range(rounds):
+        # Only edges of tokens whose beliefs still move are worked on; all messages of a round rest on the same beliefs.
+        before, moved = node.copy(), False
+        for left, right, pair, there, back in sorts:
+            at = np.flatnonzero(awake[left] | awake[right])
+            if not len(at):
+                continue
+            moved = True
+            a, b = left[at], right[at]
+            new = (_passed(before[a] - back[at], pair), _passed(before[b] - there[at], pair.T))
+            for messages, to, x in zip((there, back), (b, a), new, strict=True):
+                x -= messages[at]
+                x *= 0.5
+                messages[at] += x
+                np.add.at(node, to, x)
+        if not moved:
+            break
+        np.subtract(node, before, out=before)
+        awake = np.abs(before, out=before).max(1) > STILL
+    p = np.exp((node - node.max(1, keepdims=True)).astype(np.float64))
     return p / p.sum(1, keepdims=True)
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
     """(kind, start, end) of what the field labels outside the patterns' spans; tokens side by side become one."""
     g = graph(text, base)
-    if not g.spans:
+    if not len(g.starts):
         return []
     known = token_labels(g, base)
     covered = known > 0
     if covered.all():
         return []
     p = marginals(g, field, known=known)
-    beside = {b for _, b in g.chain}
+    beside = set(g.chain[:, 1].tolist())
     out: list[tuple[int, int, int]] = []
     previous = -2
     for n in np.flatnonzero(~covered & (p[:, 0] < 1 - SURE)).tolist():
         label = int(p[n, 1:].argmax())
         if p[n, label + 1] < SURE:
             continue
-        a, b = g.spans[n]
+        a, b = int(g.starts[n]), int(g.ends[n])
         if previous == n - 1 and n in beside and out and out[-1][0] == label:
             out[-1] = (label, out[-1][1], b)
         else:
@@ -302,10 +325,15 @@ def scan_text(text: str, field: Field) -> tuple:
     return *n, hashlib.sha256(joined(base).encode()).hexdigest(), [{"kind": KINDS[k], "start": a, "end": b, "base": own} for k, a, b, own in every]
 
 
-def train_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Field:
-    """Train on at most `rows` texts of at most `chars` characters with an @ or many digits, chosen by a hash."""
-    t = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").rlike("@|[0-9]{3}") & (F.char_length("t") <= chars))
-    got = bounded_sample(t, rows, ["i", "t"]).collect()
+def train_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, chars: int = PIECE_CHARS) -> Field:
+    """Train on at most `rows` texts with an @ or many digits, chosen by a hash, whatever their length: of each, on one
+    piece of `chars` characters with such, chosen by a hash as well."""
+    t = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").rlike(_WANTED))
+    starts = F.sequence(F.lit(0), F.floor((F.char_length("t") - 1) / F.lit(chars)))
+    pieces = F.filter(F.transform(starts, lambda k: F.substring(F.col("t"), (k * chars + 1).cast("int"), F.lit(chars))), lambda x: x.rlike(_WANTED))
+    n = F.size("pieces")
+    some = F.when(n > 0, F.col("pieces")[F.pmod(F.xxhash64("i", F.lit(1)), F.greatest(n, F.lit(1)))]).otherwise("")
+    got = bounded_sample(t, rows, ["i", "t"], pick=lambda df: df.withColumn("pieces", pieces).select("i", some.alias("t"), "__order")).collect()
     return train([r["t"] for r in sorted(got, key=lambda r: (r["i"] is None, r["i"], r["t"]))])
 
 

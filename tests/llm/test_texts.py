@@ -9,6 +9,7 @@ import random
 import re
 import statistics
 import time
+import tracemalloc
 import zlib
 
 from hypothesis import given, settings
@@ -442,6 +443,55 @@ def test_pii_labels_reach_all_repetitions():
             assert pii.scan_text(again, field)[5] == []
 
 
+def planted_mentions(texts, seed):
+    """Texts with a full address or number, and its bare form elsewhere: (text, spans of the bare forms)."""
+    rng, out = random.Random(seed), []
+    for text in texts:
+        words = text.split(" ")
+        digits = "".join(rng.choices("123456789", k=10))
+        name = "".join(rng.choices("abcdefghijk", k=6)) + str(rng.randint(10, 99))
+        full, bare = rng.choice([(f"+49 {digits}", digits), (f"{name}@mail.example.org", name), (f"+1 ({digits[:3]}) {digits[3:6]}-{digits[6:]}", f"{digits[3:6]}-{digits[6:]}")])
+        at = sorted(rng.sample(range(len(words) + 1), min(2, len(words) + 1)))
+        said = [full, bare] if rng.random() < 0.5 else [bare, full]
+        for k, x in zip(reversed(at), reversed(said), strict=False):
+            words.insert(k, f" {x} ")
+        whole = " ".join(words)
+        out.append((whole, [m.span() for m in re.finditer(rf"(?<= ){re.escape(bare)}(?= )", whole)]))
+    return out
+
+
+def test_pii_adds_bare_mentions_of_what_is_written_in_full(spark):
+    from keymoment.llm.common import table
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    field = pii.train_field(docs)
+    texts = [r["text"] for r in docs.where("doc_id % 2 = 0 AND n_chars > 20").select("text").collect()]
+    found = wanted = right = added = 0
+    for text, bare in planted_mentions(texts, 3):
+        spans = pii.scan_text(text, field)[5]
+        plain = {(s["start"], s["end"]) for s in spans if not s["base"]}
+        bare = [(x, y) for x, y in bare if not any(s["base"] and s["start"] < y and x < s["end"] for s in spans)]
+        found += sum(any(a < y and x < b for a, b in plain) for x, y in bare)
+        right += sum(any(a < y and x < b for x, y in bare) for a, b in plain)
+        wanted, added = wanted + len(bare), added + len(plain)
+    print("recall", found / wanted, "precision", right / max(1, added), wanted, added)
+    assert found >= 0.9 * wanted and right >= 0.9 * added
+
+
+def test_pii_memory_is_in_proportion(spark):
+    text = " ".join(str(k * 7919 % 9973) for k in range(50_000))
+    tracemalloc.start()
+    pii.scan_text(text, pii.train(["mail a.b@c.de or +1 234 567 8901 of 12"] * 20))
+    assert tracemalloc.get_traced_memory()[1] < 400 * 50_000 * 2
+    tracemalloc.stop()
+
+
+def test_pii_trains_on_texts_of_any_length(spark):
+    long = [(i, "word " * 40_000 + f"mail ann{i}@mail.example.org or +49 30 12345{i:02}" + " word" * 40_000, "x", "y") for i in range(20)]
+    field = pii.train_field(docs(spark, long))
+    assert (field.unary[pii._NAMES["@."]].argmax(), abs(field.skip).max() > 0) == (1, True)
+
+
 def test_pii_rows(spark):
     rows = [*ODD, (6, "\U0001d54f a.b@c.de +1 234 567 8901", "x", "y")]
     out = {r["doc_id"]: r for r in pii.scan_pii(docs(spark, rows), pii.train_field(docs(spark, rows))).collect()}
