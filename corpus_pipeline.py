@@ -1,6 +1,10 @@
 """A corpus pipeline: toxicity, exact dedup, near-dedup, benchmark decontamination, mixing.
 
-Each stage reads the table that the one before has written.
+Each stage reads the table that the one before has written. A null text counts as an empty one, which no stage but the mix
+rejects: empty texts are one group of exact duplicates, of which one row stays, have no shingles and no passages, and
+the mix takes no rows without words. Rows are told apart by where they lie, so null or repeated ids lose no row, and of
+rows that are equal in all one stays. Columns beside those of documents go through all stages, whatever their names, but
+for `copies`, which the mix sets. An empty table goes through as one.
 """
 
 from __future__ import annotations
@@ -13,30 +17,32 @@ from keymoment.llm.common import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels that aren't held out, doesn't call toxic."""
+    """Documents that the classifier, trained on the labels that aren't held out, doesn't call toxic. Without labels of
+    both sorts it calls none, or all, toxic, as the labels that there are say; without any, none."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("whole"))
     return toxicity.score_toxicity(packed, model, "whole", ["row"]).where("predicted = 0").select("row.*")
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: that with the most code points, then the smallest id (null last), then
+    the first by place."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the smallest id (null last), then the first by place."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark, short items included; null and empty items are passages of none."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("whole"))
     return decontaminate.mark_leaks(packed, table(spark, sf_dir, "benchmark"), "whole", keep=["row"], min_words=1).where(F.size("leaks") == 0).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, with the copies that it takes of each."""
+    """The documents of the mix, with the copies that it takes of each; a null source is a source of its own."""
     return mixing.take_mix(docs)
 
 
@@ -53,8 +59,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage keeps. Of the tables written on the way, the operators' are deleted after their stage, and a
+    stage's own once the next one is written."""
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with scratch.lent(f"{name}-work"):
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
