@@ -30,34 +30,51 @@ def monotonic_dp(events: DataFrame, n: int, free_ms: int = FREE_MS, penalty: flo
         path = F.when(v2.isNull() | (v1 > v2) | ((v1 == v2) & (F.col("near.o") > F.col("far.o"))), F.col("near.p")).otherwise(F.col("far.p"))
         step = step.withColumn("path", F.when(best.isNotNull(), F.concat(path, F.array("frame_idx")))).withColumn("dp", best + F.col(f"e{i}")).drop("near", "far")
     done = step.where(F.col("dp").isNotNull())
-    return done.groupBy("video_id").agg(F.max(F.struct(F.col("dp").alias("v"), (-F.col("pts_ms")).alias("o"), F.col("path").alias("p"))).alias("b")).select("video_id", F.col("b.v").alias("total"), F.col("b.p").alias("path"))
+    best = F.max(F.struct(F.col("dp").alias("v"), (-F.col("pts_ms")).alias("o"), F.col("path").alias("p"))).alias("b")
+    return done.groupBy("video_id").agg(best).select("video_id", F.col("b.v").alias("total"), F.col("b.p").cast("array<bigint>").alias("path")).unionByName(_too_short(events, n))
+
+
+def _too_short(events: DataFrame, n: int) -> DataFrame:
+    """What videos of fewer frames than events get; the frames that are gathered are fewer than n."""
+    few = events.groupBy("video_id").agg(F.count("*").alias("c")).where(F.col("c") < n).select("video_id")
+    own = events.join(few, "video_id").groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("pts_ms", "frame_idx"))).alias("f"))
+    frames = F.transform("f", lambda x: x["frame_idx"].cast("bigint"))
+    return own.select("video_id", F.lit(None).cast("double").alias("total"), F.slice(F.concat(frames, F.array_repeat(F.element_at(frames, -1), n)), 1, n).alias("path"))
 
 
 def segmental_dp(events: DataFrame, n: int, longest: int = 5, length_cost: float = 0.02, free_ms: int = FREE_MS, penalty: float = PENALTY) -> DataFrame:
-    """(video_id, total) where each event takes a run of up to `longest` frames: the mean of its scores less length_cost for
-    each frame after the first, runs strictly in order, gaps (end to next start) penalised as in monotonic_dp."""
+    """(video_id, total, path) where each event takes a run of up to `longest` frames: the mean of its scores less length_cost
+    for each frame after the first, runs strictly in order, gaps (end to next start) penalised as in monotonic_dp. path has
+    for each event the frame in the middle of its run, the earlier of two. Of equal totals, earlier frames win. Videos of
+    fewer frames than events, which have no runs, take their frames in order, the last one again, and total is null."""
     order = Window.partitionBy("video_id").orderBy("pts_ms")
-    base = events.withColumn("k", F.row_number().over(order))
+    state = events.withColumn("k", F.row_number().over(order))
     for i in range(1, n + 1):
-        base = base.withColumn(f"c{i}", F.sum(f"e{i}").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    state = None
+        state = state.withColumn(f"c{i}", F.sum(f"e{i}").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    t = F.col("pts_ms") / 1000.0
+    none = F.array().cast("array<bigint>")
     for i in range(1, n + 1):
-        if state is None:
-            now = base.withColumn("into", F.lit(0.0))
+        if i == 1:
+            now = state.withColumn("into", F.struct(F.lit(0.0).alias("v"), F.lit(0).cast("bigint").alias("o"), none.alias("p")))
         else:
-            w = Window.partitionBy("video_id").orderBy("pts_ms")
-            t = F.col("pts_ms") / 1000.0
-            near = F.max("dp").over(w.rangeBetween(-free_ms, -1))
-            far = F.max(F.col("dp") + penalty * t).over(w.rangeBetween(Window.unboundedPreceding, -free_ms - 1)) - penalty * (t - free_ms / 1000.0)
-            now = state.withColumn("into", F.greatest(near, far))
-        # A run that starts `back` frames before its end comes from the predecessor of its start.
+            of = lambda v: F.when(F.col("dp").isNotNull(), F.struct(v.alias("v"), (-F.col("pts_ms")).alias("o"), F.col("path").alias("p")))
+            now = state.withColumn("near", F.max(of(F.col("dp"))).over(order.rangeBetween(-free_ms, -1))).withColumn("far", F.max(of(F.col("dp") + penalty * t)).over(order.rangeBetween(Window.unboundedPreceding, -free_ms - 1)))
+            far = F.col("far.v") - penalty * (t - free_ms / 1000.0)
+            later = F.col("near.v").isNull() | (far >= F.col("near.v"))  # the far one is the earlier one
+            now = now.withColumn("into", F.when(F.col("far").isNotNull() & later, F.struct(far.alias("v"), F.col("far.o").alias("o"), F.col("far.p").alias("p"))).otherwise(F.col("near"))).drop("near", "far")
+        # A run that starts `back` frames before its end comes from the predecessor of its start; longer ones win ties.
         runs = []
         for back in range(longest):
             lagged = F.lag("into", back).over(order) if back else F.col("into")
             before = F.coalesce(F.lag(f"c{i}", back + 1).over(order), F.lit(0.0))
-            runs.append(F.when(F.col("k") > back, lagged + (F.col(f"c{i}") - before) / (back + 1) - length_cost * back))
-        state = now.withColumn("dp", F.greatest(*runs)).drop("into")
-    return state.where(F.col("dp").isNotNull()).groupBy("video_id").agg(F.max("dp").alias("total"))
+            middle = F.lag("frame_idx", back - back // 2).over(order) if back else F.col("frame_idx")
+            score = lagged["v"] + (F.col(f"c{i}") - before) / (back + 1) - length_cost * back
+            runs.append(F.when((F.col("k") > back) & lagged.isNotNull(), F.struct(score.alias("v"), F.lit(back).alias("o"), F.concat(lagged["p"], F.array(middle.cast("bigint"))).alias("p"))))
+        now = now.withColumn("best", F.greatest(*runs))
+        state = now.withColumn("dp", F.col("best.v")).withColumn("path", F.col("best.p")).drop("into", "best")
+    best = F.max(F.struct(F.col("dp").alias("v"), (-F.col("pts_ms")).alias("o"), F.col("path").alias("p"))).alias("b")
+    long = state.where(F.col("dp").isNotNull()).groupBy("video_id").agg(best).select("video_id", F.col("b.v").alias("total"), F.col("b.p").alias("path"))
+    return long.unionByName(_too_short(events, n))
 
 
 def nms_peaks(frames: DataFrame, k: int = 3, reach_ms: int = 2000, score: str = "s") -> DataFrame:

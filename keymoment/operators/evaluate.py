@@ -43,11 +43,17 @@ def window_category(start: Column, end: Column) -> Column:
     return F.when(d <= 30, "SHORT").when(d <= 120, "MEDIUM").otherwise("LONG")
 
 
-def error_class(final: Column, video_rank: Column, near: Column, first: Column) -> Column:
-    """An ordered cascade: found first, found, near miss, right video late, right video, or lost."""
+# The classes of a query's outcome, in the order in which they are asked for.
+OUTCOMES = ("VIDEO_NOT_IN_TOP100", "VIDEO_LATE (>Top20)", "PERFECT_RANK_1", "PERFECT_IN_TOP5", "PARTIAL_HIT", "TEMPORAL_NEAR_MISS (<=25f)", "QA_ANSWER_MISMATCH", "FRAME_MISS")
+
+
+def error_class(video_rank: Column, perfect: Column, positive: Column, distance: Column, mismatch: Column) -> Column:
+    """The outcome of a query: from the right video's rank among videos, the ranks of the first perfect and first positive
+    rows, the least distance to the interval, and whether an answer was wrong at a right frame of the first 20 rows."""
+    lost, late, first, soon, some, near, answer, else_ = OUTCOMES
     return (
-        F.when(first == 1, "PERFECT").when(final >= 0.6, "GOOD").when(final > 0, "LATE").when(near <= 5, "NEAR_MISS_5").when(near <= 25, "NEAR_MISS_25")
-        .when(video_rank == 1, "WRONG_MOMENT").when(video_rank.isNotNull(), "VIDEO_LATE").otherwise("VIDEO_LOST")
+        F.when(video_rank.isNull(), lost).when(video_rank > 20, late).when(perfect == 1, first).when(perfect <= 5, soon).when(positive.isNotNull(), some)
+        .when(distance <= 25, near).when(F.coalesce(mismatch, F.lit(False)), answer).otherwise(else_)
     )
 
 
@@ -57,17 +63,20 @@ def score_bucket(final: Column) -> Column:
 
 
 def details(graded: DataFrame, truth: DataFrame) -> DataFrame:
-    """Per query: r_at_k, the right video's rank among videos, reciprocal rank, first hit, least distance and error class.
-    graded has query_id, rank, video_id, frame_idx, r; truth query_id, true_video, start_frame, end_frame."""
+    """Per query: r_at_k, the right video's rank among videos, reciprocal rank, first hit, first perfect row, least distance
+    and error class. graded has query_id, rank, video_id, frame_idx, r and, for questions, match (whether the answer is
+    right); truth query_id, true_video, start_frame, end_frame."""
     from keymoment.operators.ranking import video_order
 
     order = video_order(graded).join(truth.select("query_id", F.col("true_video").alias("video_id")), ["query_id", "video_id"]).select("query_id", "video_rank")
     d = frame_distance(F.col("frame_idx"), F.col("start_frame"), F.col("end_frame"))
-    own = graded.join(truth, "query_id").where("video_id = true_video").groupBy("query_id").agg(F.min(d).alias("least_distance"))
-    first = graded.groupBy("query_id").agg(F.min(F.when(F.col("r") > 0, F.col("rank"))).alias("first_hit"))
+    wrong = F.max((d == 0) & ~F.col("match") & (F.col("rank") <= 20)) if "match" in graded.columns else F.lit(False)
+    own = graded.join(truth, "query_id").where("video_id = true_video").groupBy("query_id").agg(F.min(d).alias("least_distance"), wrong.alias("mismatch"))
+    first = graded.groupBy("query_id").agg(F.min(F.when(F.col("r") > 0, F.col("rank"))).alias("first_hit"), F.min(F.when(F.col("r") >= 1, F.col("rank"))).alias("first_perfect"))
     out = r_at_k(graded).join(first, "query_id").join(order, "query_id", "left").join(own, "query_id", "left")
     out = out.withColumn("mrr", F.coalesce(1.0 / F.col("video_rank"), F.lit(0.0)))
-    return out.withColumn("error", error_class(F.col("final"), F.col("video_rank"), F.col("least_distance"), F.col("first_hit")))
+    error = error_class(F.col("video_rank"), F.col("first_perfect"), F.col("first_hit"), F.col("least_distance"), F.col("mismatch"))
+    return out.withColumn("error", error).drop("mismatch")
 
 
 def summary(per_query: DataFrame, task: str = "task_type") -> DataFrame:

@@ -42,9 +42,25 @@ def tnca_score(pool: DataFrame, transition: bool, lexical: list[str] = (), neigh
     return pool.withColumn("final", total)
 
 
+def intra_video(rows: DataFrame, signals: dict[str, float], objects: str | None = None, weights: tuple[float, float, float] = (0.55, 0.25, 0.20), without: tuple[float, float] = (0.65, 0.35)) -> DataFrame:
+    """Adds final to frames with s, smooth and, if there are cues, coverage: their weighted sum, and a bonus for each signal
+    (column -> weight) of a modality that the query calls for; objects weigh 0.10 in videos that have any of note."""
+    a, b, c = weights
+    final = a * F.col("s") + b * F.col("smooth") + c * F.col("coverage") if "coverage" in rows.columns else without[0] * F.col("s") + without[1] * F.col("smooth")
+    for name, w in signals.items():
+        final = final + w * F.coalesce(name, F.lit(0.0))
+    if objects:
+        some = F.max(F.coalesce(objects, F.lit(0.0))).over(Window.partitionBy("video_id")) > 0
+        final = final + F.when(some, 0.10 * F.coalesce(objects, F.lit(0.0))).otherwise(0.0)
+    return rows.withColumn("final", final)
+
+
 def rerank(base: DataFrame, scored: DataFrame, factor: float = 0.4) -> DataFrame:
-    """base + factor * (final - s) where scored(global_id, final, raw) has the frame."""
-    return base.join(scored, "global_id", "left").withColumn("reranked", F.col("s") + F.coalesce(factor * (F.col("final") - F.col("raw")), F.lit(0.0)))
+    """(global_id, reranked): base frames with s + factor * (final - raw) where scored(global_id, final, raw) has them; the
+    other frames of scored, those of candidate videos, come with their final score."""
+    both = base.select("global_id", "s").join(scored, "global_id", "full_outer")
+    moved = F.col("s") + F.coalesce(factor * (F.col("final") - F.col("raw")), F.lit(0.0))
+    return both.select("global_id", F.when(F.col("s").isNull(), F.col("final")).otherwise(moved).alias("reranked"))
 
 
 def propagate_answer(rows: DataFrame, answer: str = "answer") -> DataFrame:

@@ -33,6 +33,17 @@ def validate(lines: DataFrame, most: int = 100) -> DataFrame:
     return out.select("file", "rows", error.isNull().alias("valid"), F.coalesce(error, F.lit("")).alias("error"))
 
 
+def validate_folders(files: DataFrame, by: list[str]) -> DataFrame:
+    """Per folder of validate()'s files: how many there are, how many are valid, and whether all are."""
+    return files.groupBy(*by).agg(F.count("*").alias("files"), F.count_if("valid").alias("valid_files"), F.bool_and("valid").alias("all_valid"))
+
+
+def readable_boxes(boxes: DataFrame, text: str, least_w: int = 14, least_h: int = 12, least_chars: int = 2) -> DataFrame:
+    """Boxes (x1, y1, x2, y2) of text that are large enough to be read, with w and h."""
+    sized = boxes.withColumns({"w": F.col("x2") - F.col("x1"), "h": F.col("y2") - F.col("y1")})
+    return sized.where((F.col("w") >= least_w) & (F.col("h") >= least_h) & (F.char_length(F.trim(text)) >= least_chars))
+
+
 def upsert_keep_last(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key. An aggregate of structs: combined in each task before the shuffle, unlike a window."""
     rest = [c for c in log.columns if c not in key and c not in order]

@@ -24,13 +24,17 @@ def video_order(rows: DataFrame) -> DataFrame:
 
 
 def spread_per_video(rows: DataFrame, frames: DataFrame, k: int, videos: int = 10) -> DataFrame:
-    """Of the first videos each its keyframes nearest to its best frame, max(4, k // videos found) of them, in order."""
+    """Of the first videos each its keyframes nearest to its best frame, max(4, k // videos found) of them, in order; then the
+    rows that aren't among them, by rank, up to k."""
     order = video_order(rows).where(F.col("video_rank") <= videos)
     order = order.withColumn("each", F.greatest(F.lit(4), F.floor(F.lit(k) / F.count("*").over(_by()))))
     best = order.join(rows.select("query_id", "video_id", F.col("rank").alias("best_rank"), F.col("frame_idx").alias("best")), ["query_id", "video_id", "best_rank"])
     near = best.join(frames.select("video_id", "frame_idx"), "video_id").withColumn("d", F.abs(F.col("frame_idx") - F.col("best")))
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "video_id").orderBy("d", "frame_idx"))).where(F.col("r") <= F.col("each"))
-    return near.withColumn("place", F.row_number().over(_by().orderBy("video_rank", "r"))).where(F.col("place") <= k).select("query_id", "place", "video_id", "frame_idx")
+    near = near.select("query_id", "video_id", "frame_idx", F.col("video_rank").cast("bigint").alias("a"), F.col("r").cast("bigint").alias("b"))
+    every = near.unionByName(rows.select("query_id", "video_id", "frame_idx", F.lit(1 << 40).alias("a"), F.col("rank").cast("bigint").alias("b")))
+    every = every.groupBy("query_id", "video_id", "frame_idx").agg(F.min(F.struct("a", "b")).alias("o"))
+    return every.withColumn("place", F.row_number().over(_by().orderBy("o"))).where(F.col("place") <= k).select("query_id", "place", "video_id", "frame_idx")
 
 
 def dedup_sequence(rows: DataFrame, events: str = "events") -> DataFrame:
@@ -69,14 +73,28 @@ def aggregate_videos(rows: DataFrame, per_video: int, videos: int) -> DataFrame:
     return best.join(F.broadcast(top), "video_id")  # at most `videos` rows
 
 
-def diverse_hypotheses(frames: DataFrame, k: int = 5, apart_ms: int = 8000) -> DataFrame:
-    """(video_id, place, frame_idx): up to k greedy peaks of a video at least apart_ms from each other, by score.
-
-    Greedy, so written as k rounds, each an aggregate and a filter, as nms_peaks is."""
-    left, out = frames.select("video_id", "pts_ms", "frame_idx", "s"), None
-    for i in range(1, k + 1):
-        best = left.groupBy("video_id").agg(F.max(F.struct("s", (-F.col("pts_ms")).alias("o"), "frame_idx")).alias("b")).select("video_id", (-F.col("b.o")).alias("at"), F.col("b.frame_idx").alias("frame_idx"), F.col("b.s").alias("s"))
-        found = best.select("video_id", F.lit(i).alias("place"), "frame_idx", "s")
-        out = found if out is None else out.unionByName(found)
-        left = left.join(best.select("video_id", "at"), "video_id").where(F.abs(F.col("pts_ms") - F.col("at")) >= apart_ms).drop("at")
-    return out
+def diverse_hypotheses(frames: DataFrame, k: int = 100, apart_ms: int = 8000) -> DataFrame:
+    """The first k frames (video_id, pts_ms, frame_idx, global_id, s) of each video, hedged over moments: the best one, the
+    best near it, the best at least apart_ms away from the first, the second best near the first, the best near the second,
+    then all others by score. Each pick is an aggregate, so no task takes more of a video than its ordering at the end."""
+    rows = frames.select("video_id", "pts_ms", "frame_idx", "global_id", "s")
+    key = F.struct("s", (-F.col("global_id")).alias("o"), "pts_ms", "global_id")
+
+    def best(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("video_id").agg(F.max(key).alias(name))
+
+    one = rows.join(best(rows, "b1"), "video_id")
+    away = F.abs(F.col("pts_ms") - F.col("b1.pts_ms"))
+    near = best(one.where((away > 0) & (away <= apart_ms)), "n1")
+    two = best(one.where(away >= apart_ms), "b2")
+    marked = one.join(near, "video_id", "left").join(two, "video_id", "left")
+    off = F.abs(F.col("pts_ms") - F.col("b2.pts_ms"))
+    again = best(marked.where((away > 0) & (away <= apart_ms) & (F.col("global_id") != F.col("n1.global_id"))), "n1b")
+    other = best(marked.where((off > 0) & (off <= apart_ms)), "n2")
+    marked = marked.join(again, "video_id", "left").join(other, "video_id", "left")
+    place = F.lit(6)
+    for i, name in reversed(list(enumerate(("b1", "n1", "b2", "n1b", "n2"), 1))):
+        place = F.when(F.col("global_id") == F.col(f"{name}.global_id"), i).otherwise(place)
+    order = Window.partitionBy("video_id").orderBy("o", F.desc("s"), "global_id")
+    out = marked.withColumn("o", place).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return out.select("video_id", "place", "frame_idx", "global_id", "s")

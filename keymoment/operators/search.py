@@ -31,6 +31,11 @@ def knn_batch(frames: DataFrame, queries: dict[str, list[float]], k: int) -> Dat
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
+def pool_size(k: int) -> int:
+    """Frames that each event's vector, and the whole query's, bring in for sequence search."""
+    return max(500, 5 * k)
+
+
 def softmax_pool(similar: DataFrame, tau: float = 0.05, by: str = "video_id") -> DataFrame:
     """Per video: pooled (softmax-weighted mean of similarities), best (largest) and mixed (0.7 and 0.3 of them)."""
     top = similar.groupBy(by).agg(F.max("s").alias("best"))

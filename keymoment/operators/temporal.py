@@ -57,6 +57,27 @@ def keyframe_gap(frames: DataFrame, large: int = 75) -> DataFrame:
     return frames.withColumn("gap", gap).withColumn("large", F.col("gap") >= large)
 
 
+def gap_around(frames: DataFrame, at: DataFrame, large: int = 75, unknown: int = 100, fps: float = 25.0) -> DataFrame:
+    """For each (video_id, target) the greater distance of a frame number to the keyframes before and after the first one that
+    isn't under it (at the ends, to the first or last itself), in frames and seconds, and whether it is large. Videos of
+    fewer than two keyframes, or none, have an unknown gap, which counts as large.
+
+    Keyframes and targets are put in one order per video, and what lies before and after carried over; no pairs are made."""
+    n = F.count("*").over(Window.partitionBy("video_id"))
+    w = Window.partitionBy("video_id").orderBy("frame_idx")
+    keys = frames.select("video_id", F.col("frame_idx").cast("bigint").alias("frame_idx")).withColumns({"n": n, "before": F.lag("frame_idx").over(w), "after": F.lead("frame_idx").over(w)})
+    none = lambda name: F.lit(None).cast("bigint").alias(name)
+    marks = keys.select("video_id", F.col("frame_idx").alias("x"), F.lit(1).alias("kind"), "n", F.coalesce("before", "frame_idx").alias("lo"), F.coalesce("after", "frame_idx").alias("hi"), F.col("after").isNull().alias("last"))
+    both = at.select("video_id", F.col("target").cast("bigint").alias("x"), F.lit(0).alias("kind"), none("n"), none("lo"), none("hi"), F.lit(None).cast("boolean").alias("last")).unionByName(marks)
+    order = Window.partitionBy("video_id").orderBy("x", "kind")
+    mark = F.when(F.col("kind") == 1, F.struct("n", "lo", "hi"))
+    both = both.withColumn("next", F.first(mark, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))).withColumn("end", F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    around = F.coalesce("next", "end")
+    gap = F.when(around["n"] >= 2, F.greatest(F.col("x") - around["lo"], around["hi"] - F.col("x"))).otherwise(F.lit(unknown).cast("bigint"))
+    out = both.where("kind = 0").select("video_id", F.col("x").alias("target"), gap.alias("gap"), F.coalesce(around["n"] < 2, F.lit(True)).alias("few"))
+    return out.select("video_id", "target", "gap", (F.col("gap") / fps).alias("seconds"), (F.col("few") | (F.col("gap") >= large)).alias("large"))
+
+
 def surrounding(frames: DataFrame, at: DataFrame, count: int = 5) -> DataFrame:
     """For each (video_id, position) of at, count keyframes around it, moved inwards at the edges."""
     last = frames.groupBy("video_id").agg(F.max("keyframe_index").alias("last"))

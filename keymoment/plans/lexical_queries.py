@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keymoment.functions import text as X
-from keymoment.functions.vectors import blend, vector
+from keymoment.functions.vectors import blend, dot, vector
 from keymoment.operators import bm25, fusion, search, temporal
 from keymoment.plans.ladder import LADDER, run_ladder
-from keymoment.plans.registry import FRAMES, NEIGHBOR, OCR, TRANSCRIPTS, bm25_sql, clean, dot_sql, pool, query, sim, toks
+from keymoment.plans.registry import FRAMES, NEIGHBOR, OBJECTS, OCR, TRANSCRIPTS, bm25_sql, clean, dot_sql, pool, query, sim, toks
 
 OCR_QUERY = ["license", "version", "public", "the", "que"]
 ASR_QUERY = ["the", "der", "than", "reer", "ción"]
@@ -170,25 +170,43 @@ def additive_keyword_boost(t):
     return u.groupBy("global_id").agg(F.round(F.min_by("p", "o"), 6).alias("boosted"))
 
 
-_INTRA = f"""{FRAMES}, {sim()}, g AS (SELECT *, 0.2::DOUBLE * coalesce(lag(s) OVER w, s) + 0.6::DOUBLE * s + 0.2::DOUBLE * coalesce(lead(s) OVER w, s) AS smooth, max(s) OVER (PARTITION BY video_id ORDER BY pts_ms RANGE BETWEEN 6000 PRECEDING AND 6000 FOLLOWING) AS cue FROM sim WINDOW w AS (PARTITION BY video_id ORDER BY pts_ms)),
-fin AS (SELECT *, 0.55::DOUBLE * s + 0.25::DOUBLE * smooth + 0.20::DOUBLE * cue AS final FROM g)"""
+#: Cues of the reranked query, by vector.
+CUES = (5, 17)
+_GAUSS = "(SELECT a.global_id, sum(exp(0 - ((a.pts_ms - b.pts_ms) / 1000.0::DOUBLE) * ((a.pts_ms - b.pts_ms) / 1000.0::DOUBLE) / 32) * b.s) / sum(exp(0 - ((a.pts_ms - b.pts_ms) / 1000.0::DOUBLE) * ((a.pts_ms - b.pts_ms) / 1000.0::DOUBLE) / 32)) AS smooth FROM sim a JOIN sim b USING (video_id) GROUP BY 1)"
+_INTRA = f"""{FRAMES}, {sim()}, {sim('c1', CUES[0])}, {sim('c2', CUES[1])}, {OCR}, {OBJECTS}, gs AS {_GAUSS},
+cu AS (SELECT c1.global_id, (max(c1.s) OVER w + max(c2.s) OVER w) / 2 AS cue FROM c1 JOIN c2 USING (global_id) WINDOW w AS (PARTITION BY c1.video_id ORDER BY c1.pts_ms RANGE BETWEEN 6000 PRECEDING AND 6000 FOLLOWING)),
+oc AS (SELECT global_id, max(least(1.0::DOUBLE, len(list_intersect(['the', 'of', 'license', 'version', 'que'], {clean('ocr_text')})) / 5.0::DOUBLE)) AS ocr FROM ocr GROUP BY 1),
+ob AS (SELECT global_id, least(1.0::DOUBLE, count(*) FILTER (WHERE score > 0.7) / 10.0::DOUBLE) AS obj FROM objects GROUP BY 1),
+fin AS (SELECT sim.*, smooth, cue, 0.55::DOUBLE * s + 0.25::DOUBLE * smooth + 0.20::DOUBLE * cue + 0.35::DOUBLE * coalesce(ocr, 0) + CASE WHEN max(coalesce(obj, 0)) OVER (PARTITION BY video_id) > 0 THEN 0.10::DOUBLE * coalesce(obj, 0) ELSE 0 END AS final, 0.65::DOUBLE * s + 0.35::DOUBLE * smooth AS plain
+ FROM sim JOIN gs USING (global_id) JOIN cu USING (global_id) LEFT JOIN oc USING (global_id) LEFT JOIN ob USING (global_id))"""
 
 
 def _intra(t):
-    g = temporal.window_coverage(temporal.three_point_smooth(search.with_similarity(t.features, t.vector(7)).drop("embedding")), ["s"])
-    return g.withColumn("final", 0.55 * F.col("s") + 0.25 * F.col("smooth") + 0.20 * F.col("coverage"))
-
-
-@query(f"WITH {_INTRA} SELECT global_id, round(final, 6) AS final FROM fin")
+    """Frames with final: similarity, neighbours, cues, and what text in the picture and objects add."""
+    cue = [t.vector(v) for v in CUES]
+    frames = search.with_similarity(t.features, t.vector(7)).withColumns({f"c{i}": dot(F.col("embedding"), vector(v)) for i, v in enumerate(cue)}).drop("embedding")
+    words = F.array(*[F.lit(w) for w in ("the", "of", "license", "version", "que")])
+    overlap = F.least(F.lit(1.0), F.size(F.array_intersect(words, X.tokens_clean(F.col("ocr_text")))) / 5.0)
+    ocr = t.ocr.groupBy("global_id").agg(F.max(overlap).alias("ocr"))
+    objects = t.objects.groupBy("global_id").agg(F.least(F.lit(1.0), F.count_if(F.col("score") > 0.7) / 10.0).alias("obj"))
+    rows = frames.join(temporal.gaussian_smooth(frames, 4.0).select("global_id", "smooth"), "global_id")
+    rows = temporal.window_coverage(rows, ["c0", "c1"]).join(ocr, "global_id", "left").join(objects, "global_id", "left")
+    return fusion.intra_video(rows, {"ocr": 0.35}, "obj")
+
+
+@query(f"WITH {_INTRA} SELECT global_id, round(final, 5) AS final, round(plain, 5) AS without_cues FROM fin")
 def intra_video_final(t):
-    return _intra(t).select("global_id", r6("final"))
+    plain = fusion.intra_video(_intra(t).drop("coverage", "final"), {}).select("global_id", F.round("final", 5).alias("without_cues"))
+    return _intra(t).select("global_id", F.round("final", 5).alias("final")).join(plain, "global_id")
 
 
-@query(f"WITH {_INTRA}, b AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY s DESC, global_id) AS rank FROM sim) WHERE rank <= 100), top AS (SELECT DISTINCT video_id FROM b WHERE rank <= 25) SELECT b.global_id, round(b.s + CASE WHEN top.video_id IS NULL THEN 0 ELSE 0.4::DOUBLE * (fin.final - fin.s) END, 6) AS reranked FROM b JOIN fin USING (global_id) LEFT JOIN top ON top.video_id = b.video_id")
+@query(f"WITH {_INTRA}, b AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY s DESC, global_id) AS rank FROM sim) WHERE rank <= 100), top AS (SELECT video_id FROM b GROUP BY 1 ORDER BY min(rank) LIMIT 3) SELECT f.global_id, round(CASE WHEN b.global_id IS NULL THEN f.final WHEN top.video_id IS NULL THEN b.s ELSE b.s + 0.4::DOUBLE * (f.final - f.s) END, 5) AS reranked FROM fin f LEFT JOIN b USING (global_id) LEFT JOIN top ON top.video_id = f.video_id WHERE b.global_id IS NOT NULL OR top.video_id IS NOT NULL")
 def rerank_delta(t):
+    """With 3 candidate videos, as the standard tables have ten; 25 and 50 are those of single and question search."""
     b = search.knn_exact(t.features, t.vector(7), 100)
-    scored = _intra(t).join(b.where("rank <= 25").select("video_id").distinct(), "video_id", "left_semi").select("global_id", "final", F.col("s").alias("raw"))
-    return fusion.rerank(b, scored).select("global_id", r6("reranked"))
+    videos = b.groupBy("video_id").agg(F.min("rank").alias("first")).orderBy("first").limit(3).select("video_id")
+    scored = _intra(t).join(F.broadcast(videos), "video_id").select("global_id", "final", F.col("s").alias("raw"))
+    return fusion.rerank(b, scored).select("global_id", F.round("reranked", 5).alias("reranked"))
 
 
 @query(f"WITH {FRAMES}, {sim()}, {pool(100)}, x AS (SELECT global_id, rank, CASE WHEN rank <= 10 THEN s + 0.35::DOUBLE * ((global_id % 10) / 10.0::DOUBLE - 0.5) ELSE s END AS v FROM pool) SELECT global_id, CAST(row_number() OVER (ORDER BY rank > 10, CASE WHEN rank <= 10 THEN -v END, rank) AS BIGINT) AS place, round(v, 6) AS blended FROM x")
@@ -204,25 +222,38 @@ def answer_propagation(t):
     return fusion.propagate_answer(e)
 
 
-@query(f"WITH {_LISTS}, g AS (WITH {bm25_sql('spoken', 'seg_id', toks('transcript'), ASR_QUERY)} SELECT seg_id AS id, 0.90::DOUBLE + 0.01::DOUBLE * score AS x, 0 AS o FROM scored WHERE score > 1.0) SELECT o, id, round(x, 6) AS x FROM g UNION ALL SELECT 1, global_id, round(s, 6) FROM v JOIN sim USING (global_id) WHERE v.rank <= 50")
+@query(f"WITH {_LISTS}, g AS (WITH {bm25_sql('spoken', 'seg_id', toks('transcript'), ASR_QUERY)} SELECT seg_id AS id, 0.90::DOUBLE + 0.01::DOUBLE * score AS x, 0 AS o FROM scored WHERE score > 3.5) SELECT o, id, round(x, 6) AS x FROM g UNION ALL SELECT 1, global_id, round(s, 6) FROM v JOIN sim USING (global_id) WHERE v.rank <= 50")
 def speech_grounding(t):
-    g = asr_hits(t).where("score > 1.0").select(F.lit(0).alias("o"), F.col("seg_id").alias("id"), F.round(0.90 + 0.01 * F.col("score"), 6).alias("x"))
+    g = asr_hits(t).where("score > 3.5").select(F.lit(0).alias("o"), F.col("seg_id").alias("id"), F.round(0.90 + 0.01 * F.col("score"), 6).alias("x"))
     return g.unionByName(search.knn_exact(t.features, t.vector(7), 50).select(F.lit(1).alias("o"), F.col("global_id").alias("id"), F.round("s", 6).alias("x")))
 
 
-_TEXTS = ["How many people walk, then run?", "E1: mở cửa E2: chạy ra", "Người đàn ông nói về biển hiệu \"COVID-19\"; sau đó rời đi", "A red car. A blue bus stops", "what colour is the sign", "nothing special here"]
-_VALUES = ", ".join(f"({i}, '{x}')" for i, x in enumerate(_TEXTS))
+_TEXTS = [
+    "Có bao nhiêu người, rồi chạy?", "E1: mở cửa phòng ngủ\nE2: chạy ra ngoài sân", "Người đàn ông nói về bảng hiệu \"COVID-19\" của Steven Spielberg; sau đó rời khỏi phòng", "A red car. A blue bus stops, then open the door",
+    "con số hiển thị trên cân là gì", "nothing special here", "chuỗi hành động: đầu tiên cô gái rót nước, tiếp theo cầm ly nước lên, cuối cùng uống hết ly nước", "một con chó và một con mèo, ở trong nhà", "MC nói với khán giả", "phóng viên  kể về logo trên áo",
+    "Event 1: first thing here\nEvent 2: second thing", "khoảnh khắc đầu tiên: biển số xe\nBước 2: xe chạy", "1) cut the bread\n2. hold it", "sự kiện 1: bật đèn; tắt đèn",
+]
+_VALUES = ", ".join(f"({i}, '{x.replace(chr(39), chr(39) * 2)}')" for i, x in enumerate(_TEXTS))
 
 
 def _texts(t):
     return t.spark.createDataFrame(list(enumerate(_TEXTS)), "id int, text string").unionByName(t.read("benchmark").select((F.col("item_id") + 100).cast("int").alias("id"), "text"))
 
 
-def _q(expr: str) -> str:
-    return f"WITH q AS (SELECT * FROM (VALUES {_VALUES}) v(id, text) UNION ALL SELECT CAST(item_id + 100 AS INTEGER), text FROM benchmark) SELECT id, {expr} FROM q"
+def _q(expr: str, more: str = "") -> str:
+    return f"WITH q AS (SELECT * FROM (VALUES {_VALUES}) v(id, text) UNION ALL SELECT CAST(item_id + 100 AS INTEGER), text FROM benchmark){more} SELECT id, {expr} FROM q"
+
+
+def _has(words, text: str = "lower(text)") -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
 
+def _list(x: str, more_than: int = 0) -> str:
+    """Parts without blanks around, of more characters than so many."""
+    return f"list_filter(list_transform({x}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > {more_than})"
 
-@query(_q(f"CASE WHEN regexp_matches(lower(text), '{X.QUESTION}') THEN 'qa' WHEN regexp_matches(lower(text), '{X.SEQUENCE}') THEN 'trake' ELSE 'kis' END AS task"))
+
+@query(_q(f"CASE WHEN {_has(X.QUESTION_WORDS)} THEN 'qa' WHEN {_has(X.SEQUENCE_MARKS)} THEN 'trake' ELSE 'kis' END AS task"))
 def task_detect(t):
     return _texts(t).select("id", X.task_of(F.col("text")).alias("task"))
 
@@ -232,7 +263,7 @@ def is_count_query(t):
     return _texts(t).select("id", X.is_count(F.col("text")).alias("is_count"))
 
 
-@query(_q(" OR ".join(f"contains(lower(text), '{w}')" for w in X.SEQUENCE_WORDS) + " AS transition"))
+@query(_q(f"{_has(X.TRANSITION_WORDS)} AS transition"))
 def transition_flag(t):
     return _texts(t).select("id", X.has_transition(F.col("text")).alias("transition"))
 
@@ -242,28 +273,69 @@ def action_verb_flag(t):
     return _texts(t).select("id", X.has_action(F.col("text")).alias("acts"))
 
 
-@query(_q("array_to_string(list_slice(list_filter(list_transform(regexp_split_to_array(text, '[,;.]'), lambda x: trim(x)), lambda x: length(x) > 3), 1, 4), '|') AS cues"))
+@query(_q(f"array_to_string(list_slice({_list("regexp_split_to_array(text, '[,;.]')", 3)}, 1, 4), '|') AS cues"))
 def cue_split(t):
     return _texts(t).select("id", F.array_join(X.cues(F.col("text")), "|").alias("cues"))
 
 
-@query(_q(f"array_to_string(list_slice(list_filter({clean('text')}, lambda w: length(w) > 3), 1, 5), ' ') AS keywords"))
+_LOUD = X.WRITTEN.replace("'", "''")
+_SAID5 = "list_slice(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: length(w) > 3), 1, 5)"
+_LINES5 = f"list_filter({_list('string_split(text, chr(10))')}, lambda x: regexp_matches(x, '^[eE][0-9]+[:\\s\\-.]') OR contains(lower(x), '{X.EVENT_WORD}'))"
+_PARTS5 = _list(f"regexp_split_to_array(text, '{X.EVENT_BREAKS}')", 10)
+
+
+@query(_q(f"""round(v / (v + o + a), 6) AS visual, round(o / (v + o + a), 6) AS ocr, round(a / (v + o + a), 6) AS asr, array_to_string(CASE WHEN has_ocr THEN {_SAID5} ELSE [] END, ' ') AS ocr_keywords, array_to_string(CASE WHEN has_asr THEN {_SAID5} ELSE [] END, ' ') AS asr_keywords,
+array_to_string(CASE WHEN len({_LINES5}) > 0 THEN {_LINES5} WHEN trake AND len({_PARTS5}) > 0 THEN {_PARTS5} ELSE [text] END, '|') AS events""").replace(" FROM q", f""" FROM (SELECT *, CASE WHEN has_ocr OR has_asr THEN 0.5::DOUBLE ELSE 0.9::DOUBLE END AS v, CASE WHEN has_ocr THEN 0.4::DOUBLE ELSE 0.05::DOUBLE END AS o, CASE WHEN has_asr THEN 0.4::DOUBLE ELSE 0.05::DOUBLE END AS a FROM
+(SELECT *, regexp_matches(lower(text), '{_LOUD}') AS has_ocr, regexp_matches(lower(text), '{X.SPOKEN}') AS has_asr, {_has(X.SEQUENCE_MARKS)} AND NOT {_has(X.QUESTION_WORDS)} AS trake FROM q))"""))
 def refine_fallback(t):
-    return _texts(t).select("id", F.array_join(X.keywords(F.col("text")), " ").alias("keywords"))
+    x = _texts(t).select("id", X.refine(F.col("text"), X.task_of(F.col("text"))).alias("x"))
+    return x.select("id", *[F.round(f"x.{n}", 6).alias(n) for n in ("visual", "ocr", "asr")], *[F.array_join(f"x.{n}", " ").alias(n) for n in ("ocr_keywords", "asr_keywords")], F.array_join("x.events", "|").alias("events"))
 
 
-_MARK = r"(?i)\be[0-9]+\s*[:.)-]"
+_EDGED = "[^\\p{L}\\p{N}_]"
+_CUT = f"string_split(regexp_replace(chr(10) || text, '{X.EVENT_LINE}', chr(1), 'g'), chr(1))"
+_EV = _list(f"({_CUT})[2:]")
+_GO = _list(f"regexp_split_to_array(regexp_replace(text, '({_EDGED})(và|tiếp tục|cuối cùng)({_EDGED})', '\\1,\\3', 'g'), '[,;]')")
 
 
-@query(_q(rf"array_to_string(CASE WHEN regexp_matches(text, '{_MARK}') AND len(list_filter(list_transform(regexp_split_to_array(text, '{_MARK}'), lambda x: trim(x)), lambda x: length(x) > 0)) >= 2 THEN list_filter(list_transform(regexp_split_to_array(text, '{_MARK}'), lambda x: trim(x)), lambda x: length(x) > 0) WHEN len(list_filter(list_transform(regexp_split_to_array(text, '[.;\n]+'), lambda x: trim(x)), lambda x: length(x) > 3)) >= 2 THEN list_filter(list_transform(regexp_split_to_array(text, '[.;\n]+'), lambda x: trim(x)), lambda x: length(x) > 3) ELSE [trim(text)] END, '|') AS events"))
+@query(_q(f"array_to_string(CASE WHEN len({_EV}) >= 2 THEN {_EV} WHEN len({_GO}) >= 2 THEN {_GO} ELSE [text, text] END, '|') AS events"))
 def event_split(t):
     return _texts(t).select("id", F.array_join(X.split_events(F.col("text")), "|").alias("events"))
 
 
-@query(_q(f"""CASE WHEN contains(text, '"') OR regexp_matches(lower(text), '{X.WRITTEN}') THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END AS ocr_weight, CASE WHEN regexp_matches(lower(text), '{X.SPEECH}') THEN 1.2::DOUBLE ELSE 0.0::DOUBLE END AS asr_weight"""))
+_AT = _list("regexp_split_to_array(text, 'E[0-9]+:|E[0-9]+\\s+|;\\s*|sau đó|tiếp theo|kế đến')", 10)
+
+
+@query(_q(f"array_to_string(CASE WHEN len({_AT}) >= 2 THEN {_AT} ELSE [text, text, text] END, '|') AS events"))
+def event_split_at_words(t):
+    return _texts(t).select("id", F.array_join(X.split_events_at_words(F.col("text")), "|").alias("events"))
+
+
+_MARK = "(?i)^((sự kiện|event|bước|e)\\s*[0-9]+[:.-]|[0-9]+[.)])\\s*"
+_NUMBERED = _list(f"list_transform(list_filter({_list('string_split(text, chr(10))')}, lambda x: regexp_matches(x, '{_MARK}')), lambda x: regexp_replace(x, '{_MARK}', ''))")
+_BROKEN = _list("regexp_split_to_array(text, '[\n;]')", 8)
+
+
+@query(_q(f"array_to_string(CASE WHEN len({_NUMBERED}) > 0 THEN {_NUMBERED} WHEN len({_BROKEN}) >= 2 THEN {_BROKEN} ELSE ['Sự kiện 1', 'Sự kiện 2', 'Sự kiện 3'] END, '|') AS events"))
+def event_split_of_lines(t):
+    return _texts(t).select("id", F.array_join(X.split_events_of_lines(F.col("text")), "|").alias("events"))
+
+
+_GATE_WORDS = lambda words: f"(^|{_EDGED})({'|'.join(words)})($|{_EDGED})"
+_QUOTES = X.QUOTED.replace("'", "''")
+# Words with accents aren't names to the pattern; RE2 bounds words in ASCII only, so they are taken out first.
+_NAMED = "list_filter(regexp_extract_all(regexp_replace(text, '[\\p{L}\\p{N}_]*[À-ɏḀ-ỿ][\\p{L}\\p{N}_]*', 'x', 'g'), '\\b[A-Z][a-zA-Z0-9\\-_]{2,}\\b(?:\\s+[A-Z][a-zA-Z0-9\\-_]+)*'), lambda x: lower(x) NOT IN (" + ", ".join(f"'{w}'" for w in X.NO_NAMES) + "))"
+_SPEAKS = f"(^|{_EDGED})({'|'.join(X.SPEAKERS)})\\s+({'|'.join(X.SPEAKER_VERBS)})($|{_EDGED})"
+_HEARD = "list_filter(regexp_split_to_array(regexp_replace(text, '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1 AND lower(w) NOT IN (" + ", ".join(f"'{w}'" for w in X.NO_SPEECH) + "))"
+
+
+@query(_q("CASE WHEN o THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END AS ocr_weight, CASE WHEN a THEN 1.2::DOUBLE ELSE 0.0::DOUBLE END AS asr_weight, NOT o AND NOT a AS pure_visual, quoted, CASE WHEN a THEN heard ELSE '' END AS asr_keywords").replace(" FROM q", f""" FROM (SELECT *, array_to_string(regexp_extract_all(text, '{_QUOTES}', 1), '|') AS quoted,
+(SELECT string_agg(w, ' ' ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(list_slice({_HEARD}, 1, 8)) AS w, generate_subscripts(list_slice({_HEARD}, 1, 8), 1) AS i) GROUP BY w)) AS heard,
+regexp_matches(text, '{_QUOTES}') OR len({_NAMED}) > 0 OR regexp_matches(lower(text), '{_GATE_WORDS(X.OCR_WORDS)}') AS o, regexp_matches(lower(text), '{_GATE_WORDS(X.ASR_WORDS)}') OR regexp_matches(lower(text), '{_SPEAKS}') AS a FROM q)"""))
 def modality_gate(t):
-    low = F.lower(F.col("text"))
-    return _texts(t).select("id", F.when(F.col("text").contains('"') | low.rlike(X.WRITTEN), 1.5).otherwise(0.0).alias("ocr_weight"), F.when(low.rlike(X.SPEECH), 1.2).otherwise(0.0).alias("asr_weight"))
+    x = _texts(t).select("id", "text", X.gate(F.col("text")).alias("x"))
+    quoted = F.regexp_extract_all(F.col("text"), F.lit(X.QUOTED), F.lit(1))
+    return x.select("id", F.col("x.ocr").alias("ocr_weight"), F.col("x.asr").alias("asr_weight"), "x.pure_visual", F.array_join(quoted, "|").alias("quoted"), F.array_join("x.asr_keywords", " ").alias("asr_keywords"))
 
 
 @query("WITH w AS (SELECT o_orderkey, (o_orderkey % 3)::DOUBLE AS a, (o_orderkey % 2)::DOUBLE AS b, 0.0::DOUBLE AS c FROM orders) SELECT o_orderkey, round(CASE WHEN a + b + c <= 1e-6 THEN 0.8::DOUBLE ELSE a / (a + b + c) END, 6) AS wa, round(CASE WHEN a + b + c <= 1e-6 THEN 0.1::DOUBLE ELSE b / (a + b + c) END, 6) AS wb FROM w")
@@ -277,3 +349,13 @@ def weight_normalize(t):
 def json_salvage(t):
     said = F.concat(F.lit("Sure:\n```json\n"), F.to_json(F.struct(F.col("event_type").alias("kind"), (F.col("event_id") % 7).cast("int").alias("n"))), F.lit("\n``` done"))
     return t.read("events").select("event_id", X.salvage_json(said, "kind string, n int").alias("x")).select("event_id", "x.kind", "x.n")
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN event_type || '|' || event_type || '|' || event_type ELSE event_type || '|b|c' END AS prompts, CASE WHEN event_id % 3 > 0 THEN event_id % 2 = 0 END AS is_qa FROM events")
+def json_salvage_broken(t):
+    """Analyses that no JSON parser reads: cut off behind the prompts."""
+    k = F.col("event_id") % 3
+    prompts = F.when(k == 0, "").when(k == 1, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).otherwise(F.concat(F.lit('"'), F.col("event_type"), F.lit('", "b", "c", "d"')))
+    said = F.concat(F.lit('{"visual_prompts": ['), prompts, F.lit('], "is_qa": '), F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"), F.lit(', "ocr_keywords": ['))
+    x = t.read("events").select("event_id", X.salvage_prompts(said).alias("x"))
+    return x.select("event_id", F.array_join("x.visual_prompts", "|").alias("prompts"), "x.is_qa")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from keymoment.functions.text import answers_match, normalize_answer
+from keymoment.functions.text import STOP_WORDS, answers_match, normalize_answer
 from keymoment.operators import evaluate as E
 from keymoment.operators import quality, ranking, search, temporal
 from keymoment.plans.registry import FRAMES, OBJECTS, OCR, PREDICTED, TRANSCRIPTS, TRUTH, pool, query, sim
@@ -132,10 +132,11 @@ def unique_video_order(t):
     return ranking.video_order(ranked(t)).select("video_id", F.col("best_rank").cast("long").alias("best_rank"), F.col("video_rank").cast("long").alias("video_rank"))
 
 
-@query(f"""{_POOL}, o AS (SELECT video_id, min(rank) AS br, row_number() OVER (ORDER BY min(rank)) AS vr FROM pool GROUP BY 1 QUALIFY vr <= 10), b AS (SELECT o.*, p.frame_idx AS best, greatest(4, 100 // (SELECT count(*) FROM o)) AS each FROM o JOIN pool p ON p.rank = o.br),
-n AS (SELECT b.*, f.frame_idx, row_number() OVER (PARTITION BY b.video_id ORDER BY abs(f.frame_idx - best), f.frame_idx) AS r FROM b JOIN frames f USING (video_id) QUALIFY r <= each) SELECT row_number() OVER (ORDER BY vr, r) AS place, video_id, frame_idx FROM n QUALIFY place <= 100""")
+@query(f"""{_POOL}, o AS (SELECT video_id, min(rank) AS br, row_number() OVER (ORDER BY min(rank)) AS vr FROM pool GROUP BY 1 QUALIFY vr <= 3), b AS (SELECT o.*, p.frame_idx AS best, greatest(4, 20 // (SELECT count(*) FROM o)) AS each FROM o JOIN pool p ON p.rank = o.br),
+n AS (SELECT b.*, f.frame_idx, row_number() OVER (PARTITION BY b.video_id ORDER BY abs(f.frame_idx - best), f.frame_idx) AS r FROM b JOIN frames f USING (video_id) QUALIFY r <= each) SELECT row_number() OVER (ORDER BY a, b) AS place, video_id, frame_idx FROM (SELECT video_id, frame_idx, min(o).a AS a, min(o).b AS b FROM (SELECT video_id, frame_idx, {{'a': vr, 'b': r}} AS o FROM n UNION ALL SELECT video_id, frame_idx, {{'a': 1000, 'b': rank}} FROM pool) GROUP BY ALL) QUALIFY place <= 20""")
 def spread_per_video(t):
-    return ranking.spread_per_video(ranked(t), t.features, 100).select(F.col("place").cast("long").alias("place"), "video_id", "frame_idx")
+    """Three videos of six keyframes each, and two more rows."""
+    return ranking.spread_per_video(ranked(t), t.features, 20, 3).select(F.col("place").cast("long").alias("place"), "video_id", "frame_idx")
 
 
 @query(f"{_POOL}, x AS (SELECT rank, video_id, global_id // 40 AS ev FROM pool) SELECT rank, video_id, ev FROM x QUALIFY row_number() OVER (PARTITION BY video_id, ev ORDER BY rank) = 1")
@@ -162,7 +163,7 @@ def candidate_topup(t):
     return ranking.top_up(a, b, 8).select("video_id", F.col("place").cast("long").alias("place"))
 
 
-_G = f"{PREDICTED}, graded AS (SELECT p.query_id, p.rank, p.video_id, p.frame_idx, t.true_video, t.start_frame, t.end_frame, CASE WHEN p.video_id = t.true_video AND p.frame_idx BETWEEN t.start_frame AND t.end_frame THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS r FROM predicted p JOIN truth t USING (query_id))"
+_G = f"{PREDICTED}, graded AS (SELECT p.query_id, p.rank, p.video_id, p.frame_idx, t.true_video, t.start_frame, t.end_frame, CASE WHEN p.video_id = t.true_video AND p.frame_idx BETWEEN t.start_frame AND t.end_frame THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS r, rank % 2 = 1 AS match FROM predicted p JOIN truth t USING (query_id))"
 _R = f"{_G}, atk AS (SELECT query_id, " + ", ".join(f"coalesce(max(r) FILTER (WHERE rank <= {k}), 0.0::DOUBLE) AS r_{k}" for k in E.DEPTHS) + " FROM graded GROUP BY 1), fin AS (SELECT *, (r_1 + r_5 + r_20 + r_50 + r_100) / 5 AS final FROM atk)"
 
 
@@ -172,6 +173,7 @@ def _truth(t):
 
 def graded(t):
     p = t.predictions.join(F.broadcast(_truth(t)), "query_id")  # a row a query
+    p = p.withColumn("match", F.col("rank") % 2 == 1)  # whether the answer is right, of questions
     return p.withColumn("r", E.r_kis(F.col("video_id"), F.col("true_video"), F.col("frame_idx"), F.col("start_frame"), F.col("end_frame")))
 
 
@@ -187,7 +189,7 @@ def r_score_kis(t):
 
 @query(f"WITH {_G} SELECT query_id, rank, CASE WHEN r > 0 AND (rank % 4 = 0 OR rank % 2 = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS r FROM graded")
 def r_score_qa(t):
-    match = F.when(F.col("rank") % 4 == 0, F.lit(None).cast("boolean")).otherwise(answers_match(F.lit("Blue car"), F.when(F.col("rank") % 2 == 1, F.lit("blue  CAR!")).otherwise(F.lit("white"))))
+    match = F.when(F.col("rank") % 4 == 0, F.lit(None).cast("boolean")).otherwise(answers_match(F.lit("Blue car"), F.when(F.col("rank") % 2 == 1, F.lit("the CAR is blue!")).otherwise(F.lit("white"))))
     r = E.r_qa(F.col("video_id"), F.col("true_video"), F.col("frame_idx"), F.col("start_frame"), F.col("end_frame"), match)
     return graded(t).select("query_id", F.col("rank").cast("long").alias("rank"), r.alias("r"))
 
@@ -206,13 +208,14 @@ def r_at_k_final(t):
 
 
 _D = f"""{_R}, vo AS (SELECT query_id, video_id, true_video, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS video_rank FROM graded GROUP BY query_id, video_id, true_video), vr AS (SELECT query_id, video_rank FROM vo WHERE video_id = true_video),
-di AS (SELECT query_id, min(greatest(start_frame - frame_idx, 0, frame_idx - end_frame)) AS least_distance FROM graded WHERE video_id = true_video GROUP BY 1), fh AS (SELECT query_id, min(rank) FILTER (WHERE r > 0) AS first_hit FROM graded GROUP BY 1),
-det AS (SELECT fin.*, video_rank, coalesce(1.0::DOUBLE / video_rank, 0.0) AS mrr, least_distance, first_hit, CASE WHEN first_hit = 1 THEN 'PERFECT' WHEN final >= 0.6 THEN 'GOOD' WHEN final > 0 THEN 'LATE' WHEN least_distance <= 5 THEN 'NEAR_MISS_5' WHEN least_distance <= 25 THEN 'NEAR_MISS_25'
- WHEN video_rank = 1 THEN 'WRONG_MOMENT' WHEN video_rank IS NOT NULL THEN 'VIDEO_LATE' ELSE 'VIDEO_LOST' END AS error FROM fin LEFT JOIN vr USING (query_id) LEFT JOIN di USING (query_id) LEFT JOIN fh USING (query_id))"""
+di AS (SELECT query_id, min(greatest(start_frame - frame_idx, 0, frame_idx - end_frame)) AS least_distance, bool_or(frame_idx BETWEEN start_frame AND end_frame AND NOT match AND rank <= 20) AS mismatch FROM graded WHERE video_id = true_video GROUP BY 1),
+fh AS (SELECT query_id, min(rank) FILTER (WHERE r > 0) AS first_hit, min(rank) FILTER (WHERE r >= 1) AS first_perfect FROM graded GROUP BY 1),
+det AS (SELECT fin.*, video_rank, coalesce(1.0::DOUBLE / video_rank, 0.0) AS mrr, least_distance, first_hit, CASE WHEN video_rank IS NULL THEN 'VIDEO_NOT_IN_TOP100' WHEN video_rank > 20 THEN 'VIDEO_LATE (>Top20)' WHEN first_perfect = 1 THEN 'PERFECT_RANK_1' WHEN first_perfect <= 5 THEN 'PERFECT_IN_TOP5'
+ WHEN first_hit IS NOT NULL THEN 'PARTIAL_HIT' WHEN least_distance <= 25 THEN 'TEMPORAL_NEAR_MISS (<=25f)' WHEN mismatch THEN 'QA_ANSWER_MISMATCH' ELSE 'FRAME_MISS' END AS error FROM fin LEFT JOIN vr USING (query_id) LEFT JOIN di USING (query_id) LEFT JOIN fh USING (query_id))"""
 
 
 def _details(t):
-    return E.details(graded(t).select("query_id", "rank", "video_id", "frame_idx", "r"), _truth(t).select("query_id", "true_video", "start_frame", "end_frame"))
+    return E.details(graded(t).select("query_id", "rank", "video_id", "frame_idx", "r", "match"), _truth(t).select("query_id", "true_video", "start_frame", "end_frame"))
 
 
 @query(f"WITH {_D} SELECT query_id, video_rank, round(mrr, 6) AS mrr, first_hit, least_distance FROM det")
@@ -261,7 +264,7 @@ def window_category(t):
     return t.ground_truth.select("query_id", E.window_category(F.col("start_frame"), F.col("end_frame")).alias("category"))
 
 
-_NORM = "trim(regexp_replace(regexp_replace(trim(lower(coalesce({}, ''))), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+_NORM = "regexp_replace(regexp_replace(trim(lower(coalesce({}, ''))), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g')"
 
 
 @query(f"SELECT doc_id, {_NORM.format('text')} AS answer FROM documents")
@@ -269,13 +272,18 @@ def normalize_answers(t):
     return t.read("documents").select("doc_id", normalize_answer(F.col("text")).alias("answer"))
 
 
-_FAST = "SELECT doc_id, a, b, a <> '' AND b <> '' AND (a = b OR contains(a, b) OR contains(b, a)) AS fast FROM (SELECT doc_id, " + _NORM.format("source") + " AS a, " + _NORM.format("CASE WHEN doc_id % 2 = 0 THEN upper(source) || '!' ELSE lang END") + " AS b FROM documents)"
+_CORE = "list_distinct(list_filter(string_split({}, ' '), lambda w: w <> '' AND w NOT IN (" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")))"
+_SAID = "CASE doc_id % 6 WHEN 0 THEN upper(source) || '!' WHEN 1 THEN lang WHEN 2 THEN 'màu ' || coalesce(source, '') || ' xanh' WHEN 3 THEN 'xanh đậm' WHEN 4 THEN 'tháp cao, màu xanh' ELSE ' ' END"
+_TRUE = "CASE WHEN doc_id % 6 < 3 THEN source WHEN doc_id % 6 = 3 THEN 'màu xanh' ELSE 'người xanh ở tháp' END"
+_FAST = f"SELECT doc_id, a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a) OR (least(len(x), len(y)) > 0 AND (len(list_intersect(x, y)) >= 2 OR (least(len(x), len(y)) = 1 AND len(list_intersect(x, y)) = 1)))) AS fast FROM (SELECT doc_id, a, b, {_CORE.format('a')} AS x, {_CORE.format('b')} AS y FROM (SELECT doc_id, {_NORM.format(_TRUE)} AS a, {_NORM.format(_SAID)} AS b FROM documents))"
 
 
 @query(f"SELECT doc_id, fast FROM ({_FAST})")
 def qa_fast_match(t):
-    d = t.read("documents").withColumn("said", F.when(F.col("doc_id") % 2 == 0, F.concat(F.upper("source"), F.lit("!"))).otherwise(F.col("lang")))
-    return d.select("doc_id", answers_match(F.col("source"), F.col("said")).alias("fast"))
+    k = F.col("doc_id") % 6
+    said = F.when(k == 0, F.concat(F.upper("source"), F.lit("!"))).when(k == 1, F.col("lang")).when(k == 2, F.concat(F.lit("màu "), F.coalesce("source", F.lit("")), F.lit(" xanh"))).when(k == 3, "xanh đậm").when(k == 4, "tháp cao, màu xanh").otherwise(" ")
+    truth = F.when(k < 3, F.col("source")).when(k == 3, "màu xanh").otherwise("người xanh ở tháp")
+    return t.read("documents").select("doc_id", answers_match(truth, said).alias("fast"))
 
 
 @query(f"SELECT doc_id, fast OR coalesce(l.quality = 1, false) AS judged FROM ({_FAST}) f LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id)")
@@ -294,10 +302,13 @@ _LINES = """lines AS (SELECT 'f' || (o_orderkey // 64) AS file, o_orderkey AS ro
 CASE WHEN o_orderkey // 64 % 5 <> 0 THEN 'V001,' || (o_orderkey % 1000) || CASE WHEN o_orderkey % 7 > 1 AND o_orderkey % 2 = 1 THEN ',"yes"' ELSE '' END ELSE CASE o_orderkey % 7 WHEN 0 THEN 'video,frame' WHEN 1 THEN 'V001.mp4,5' WHEN 2 THEN 'V001,-4,"x"' WHEN 3 THEN 'V001,7' WHEN 4 THEN 'V002,12,""' WHEN 5 THEN 'V003,1,"ok"' ELSE 'V004,abc' END END AS line FROM orders)"""
 
 
-@query(f"""WITH {_LINES}, e AS (SELECT *, split_part(line, ',', 1) AS v, string_split(line, ',') AS p, CASE WHEN task = 'trake' THEN list_slice(string_split(line, ','), 2, NULL) ELSE list_slice(string_split(line, ','), 2, 2) END AS fr, regexp_extract(line, '^[^,]*,[^,]*,"?(.*?)"?$', 1) AS an FROM lines),
+_VALIDATED = f"""WITH {_LINES}, e AS (SELECT *, split_part(line, ',', 1) AS v, string_split(line, ',') AS p, CASE WHEN task = 'trake' THEN list_slice(string_split(line, ','), 2, NULL) ELSE list_slice(string_split(line, ','), 2, 2) END AS fr, regexp_extract(line, '^[^,]*,[^,]*,"?(.*?)"?$', 1) AS an FROM lines),
 c AS (SELECT *, CASE WHEN starts_with(lower(line), 'video') THEN 'HEADER' WHEN trim(v) = '' THEN 'NO_VIDEO' WHEN ends_with(lower(v), '.mp4') THEN 'EXTENSION' WHEN (task = 'kis' AND len(p) <> 2) OR (task = 'qa' AND len(p) < 3) OR (task = 'trake' AND len(p) < 2) THEN 'COLUMNS'
 WHEN len(list_filter(fr, lambda x: NOT regexp_full_match(trim(x), '-?[0-9]+'))) > 0 THEN 'FRAME' WHEN len(list_filter(fr, lambda x: starts_with(trim(x), '-'))) > 0 THEN 'NEGATIVE' WHEN task = 'qa' AND trim(an) = '' THEN 'NO_ANSWER' WHEN task = 'qa' AND length(an) > 100 THEN 'LONG_ANSWER' END AS err FROM e)
-SELECT file, count(*) AS rows, coalesce(CASE WHEN count(*) > 100 THEN 'TOO_MANY_ROWS' ELSE arg_min(err, row_no) FILTER (WHERE err IS NOT NULL) END, '') AS error, coalesce(CASE WHEN count(*) > 100 THEN 'TOO_MANY_ROWS' ELSE arg_min(err, row_no) FILTER (WHERE err IS NOT NULL) END, '') = '' AS valid FROM c GROUP BY 1""")
+SELECT file, count(*) AS rows, coalesce(CASE WHEN count(*) > 100 THEN 'TOO_MANY_ROWS' ELSE arg_min(err, row_no) FILTER (WHERE err IS NOT NULL) END, '') AS error, coalesce(CASE WHEN count(*) > 100 THEN 'TOO_MANY_ROWS' ELSE arg_min(err, row_no) FILTER (WHERE err IS NOT NULL) END, '') = '' AS valid FROM c GROUP BY 1"""
+
+
+@query(_VALIDATED)
 def validate_submission(t):
     k = F.col("o_orderkey")
     task = F.when(k % 7 == 0, "kis").when(k % 7 == 1, "trake").when(k % 2 == 0, "kis").otherwise("qa")
@@ -374,12 +385,11 @@ def object_person_match(t):
     return t.read("events").select(persons.alias("persons"), said.alias("said"), bonus.alias("bonus")).groupBy("persons", "said", "bonus").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT file FROM (SELECT 'f' || (o_orderkey // 64) AS file, o_orderkey // 64 % 5 = 0 AS bad FROM orders) WHERE NOT bad")
+@query(f"WITH f AS ({_VALIDATED}) SELECT split_part(file, 'f', 2)::BIGINT % 5 AS folder, count(*) AS files, count(*) FILTER (WHERE valid) AS valid_files, bool_and(valid) AS all_valid FROM f GROUP BY 1")
 def validate_directory(t):
-    """Files without a fault in the submissions of validate_submission that have none by construction."""
-    k = F.col("o_orderkey")
-    lines = t.read("orders").where("o_orderkey div 64 % 5 <> 0").select(F.concat(F.lit("f"), F.expr("o_orderkey div 64").cast("string")).alias("file"), k.alias("row_no"), F.lit("kis").alias("task"), F.concat(F.lit("V001,"), (k % 1000).cast("string")).alias("line"))
-    return quality.validate(lines).where("valid").select("file")
+    """Every file of validate_submission, in five folders; a folder is valid if all its files are."""
+    files = validate_submission(t).withColumn("folder", F.substring("file", 2, 20).cast("long") % 5)
+    return quality.validate_folders(files, ["folder"])
 
 
 @query(f"WITH {FRAMES} SELECT global_id, pts_time FROM frames WHERE pts_time BETWEEN 100 AND 300")
@@ -397,9 +407,10 @@ def asr_min_len(t):
     return t.read("conversations").where(F.length(F.trim("text")) > 2).select("conv_id", "turn")
 
 
-@query("SELECT event_id FROM events WHERE event_id % 40 >= 14 AND event_id % 30 >= 12 AND length(event_type) >= 2")
+@query("SELECT event_id, w, h FROM (SELECT event_id, event_type, event_id % 40 AS w, event_id % 30 AS h FROM events) WHERE w >= 14 AND h >= 12 AND length(trim(event_type)) >= 2")
 def min_box_filter(t):
-    return t.read("events").where("event_id % 40 >= 14 AND event_id % 30 >= 12 AND length(event_type) >= 2").select("event_id")
+    boxes = t.read("events").select("event_id", (F.col("event_id") % 100).alias("x1"), (F.col("event_id") % 100 + F.col("event_id") % 40).alias("x2"), F.lit(5).alias("y1"), (F.col("event_id") % 30 + 5).alias("y2"), "event_type")
+    return quality.readable_boxes(boxes, "event_type").select("event_id", "w", "h")
 
 
 @query("SELECT item_id, CASE WHEN len(regexp_split_to_array(trim(text), '\\s+')) > 35 THEN 'scene' ELSE 'text' END AS used FROM benchmark")

@@ -104,9 +104,14 @@ def cue_window_coverage(t):
     return temporal.window_coverage(f.drop("embedding"), ["c1", "c2"]).select("global_id", r6("coverage"))
 
 
-@query(f"""WITH {FRAMES}, g AS (SELECT global_id, greatest(coalesce(frame_idx - lag(frame_idx) OVER w, 0), coalesce(lead(frame_idx) OVER w - frame_idx, 0)) AS gap FROM frames WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)) SELECT global_id, gap, gap >= 75 AS large FROM g""")
+@query(f"""WITH {FRAMES}, f AS (SELECT video_id, list(frame_idx ORDER BY frame_idx) AS k, count(*) AS n FROM frames WHERE video_id <> 'V003' OR keyframe_index = 1 GROUP BY 1), a AS (SELECT video_id, x AS target FROM (SELECT DISTINCT video_id FROM frames UNION ALL SELECT 'VXXX'), (VALUES (0), (350), (12345), (1000000)) v(x)),
+p AS (SELECT a.*, k, n, least(1 + len(list_filter(k, lambda x: x < target)), n) AS i FROM a LEFT JOIN f USING (video_id)),
+g AS (SELECT video_id, target, CASE WHEN n >= 2 THEN greatest(target - k[greatest(i - 1, 1)], k[least(i + 1, n)] - target) ELSE 100 END AS gap, n FROM p) SELECT video_id, target, gap, gap / 25.0::DOUBLE AS seconds, CASE WHEN n >= 2 THEN gap >= 75 ELSE true END AS large FROM g""")
 def keyframe_gap(t):
-    return temporal.keyframe_gap(t.features).select("global_id", "gap", "large")
+    """V003 is taken to have one keyframe, VXXX none."""
+    f = t.frames.where("video_id <> 'V003' OR keyframe_index = 1").select("video_id", "frame_idx")
+    at = t.features.select("video_id").distinct().unionByName(t.spark.range(1).select(F.lit("VXXX").alias("video_id"))).withColumn("target", F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 350, 12345, 1_000_000)])))
+    return temporal.gap_around(f, at)
 
 
 @query(f"""WITH {FRAMES}, l AS (SELECT video_id, max(keyframe_index) AS last FROM frames GROUP BY 1), a AS (SELECT video_id, p, greatest(1, least(p - 2, last - 4)) AS first FROM l, (VALUES (1), (20), (1000)) v(p))
@@ -134,15 +139,15 @@ def monotonic_dp(t):
     return align.monotonic_dp(events(t), 3).select("video_id", r6("total"), F.array_join(F.col("path").cast("array<string>"), "-").alias("path"))
 
 
-_RUNS = """r{i} AS (SELECT a.video_id, a.k AS first, b.k AS last, a.pts_ms AS t0, b.pts_ms AS t1, (SELECT avg(c.e{i}) FROM ix c WHERE c.video_id = a.video_id AND c.k BETWEEN a.k AND b.k) - 0.02::DOUBLE * (b.k - a.k) AS v
-  FROM ix a JOIN ix b ON a.video_id = b.video_id AND b.k BETWEEN a.k AND a.k + 4)"""
-_RUN_DP = """g{i} AS (SELECT r.video_id, r.last, r.t1, max(r.v + p.dp - 0.001::DOUBLE * greatest(0, (r.t0 - p.t1) / 1000.0::DOUBLE - 240)) AS dp FROM r{i} r JOIN g{j} p ON p.video_id = r.video_id AND p.last < r.first GROUP BY ALL)"""
+_RUNS = """r{i} AS (SELECT a.video_id, a.k AS first, b.k AS last, a.pts_ms AS t0, b.pts_ms AS t1, m.frame_idx AS mid, (SELECT avg(c.e{i}) FROM ix c WHERE c.video_id = a.video_id AND c.k BETWEEN a.k AND b.k) - 0.02::DOUBLE * (b.k - a.k) AS v
+  FROM ix a JOIN ix b ON a.video_id = b.video_id AND b.k BETWEEN a.k AND a.k + 4 JOIN ix m ON m.video_id = a.video_id AND m.k = (a.k + b.k) // 2)"""
+_RUN_DP = """g{i} AS (SELECT r.video_id, r.last, r.t1, max(r.v + p.dp - 0.001::DOUBLE * greatest(0, (r.t0 - p.t1) / 1000.0::DOUBLE - 240)) AS dp, arg_max(p.path || '-' || r.mid, r.v + p.dp - 0.001::DOUBLE * greatest(0, (r.t0 - p.t1) / 1000.0::DOUBLE - 240)) AS path FROM r{i} r JOIN g{j} p ON p.video_id = r.video_id AND p.last < r.first GROUP BY r.video_id, r.last, r.t1)"""
 
 
 @query(f"""{E3}, ix AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY pts_ms) AS k FROM ev), {_RUNS.format(i=1)}, {_RUNS.format(i=2)}, {_RUNS.format(i=3)},
-g1 AS (SELECT video_id, last, t1, max(v) AS dp FROM r1 GROUP BY ALL), {_RUN_DP.format(i=2, j=1)}, {_RUN_DP.format(i=3, j=2)} SELECT video_id, round(max(dp), 6) AS total FROM g3 GROUP BY 1""")
+g1 AS (SELECT video_id, last, t1, max(v) AS dp, arg_max(CAST(mid AS VARCHAR), v) AS path FROM r1 GROUP BY ALL), {_RUN_DP.format(i=2, j=1)}, {_RUN_DP.format(i=3, j=2)} SELECT video_id, round(max(dp), 6) AS total, arg_max(path, dp) AS path FROM g3 GROUP BY 1""")
 def segmental_dp(t):
-    return align.segmental_dp(events(t), 3).select("video_id", r6("total"))
+    return align.segmental_dp(events(t), 3).select("video_id", r6("total"), F.array_join(F.col("path").cast("array<string>"), "-").alias("path"))
 
 
 _CAL = f"""{E3}, long AS (SELECT video_id, pts_ms, unnest([1, 2, 3]) AS event, unnest([e1, e2, e3]) AS s FROM ev), best AS (SELECT video_id, event, max(s) AS s FROM long GROUP BY ALL),
@@ -174,9 +179,9 @@ def trake_final_score(t):
     return out.select("video_id", F.col("v_rank").cast("long").alias("v_rank"), F.round(3.0 / F.col("v_rank") + F.col("total") / 3 + F.col("top_mean"), 6).alias("score"))
 
 
-@query(f"""WITH {FRAMES}, r AS (SELECT f.video_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {dot_sql('f.embedding', 'q.embedding')} DESC, f.global_id) AS rank FROM frames f, embeddings q WHERE q.vec_id IN (3, 42, 99, 7)) SELECT DISTINCT video_id FROM r WHERE rank <= 25""")
+@query(f"""WITH {FRAMES}, r AS (SELECT f.video_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {dot_sql('f.embedding', 'q.embedding')} DESC, f.global_id) AS rank FROM frames f, embeddings q WHERE q.vec_id IN (3, 42, 99, 7)) SELECT DISTINCT video_id FROM r WHERE rank <= 500""")
 def trake_video_pool(t):
-    return search.knn_batch(t.features, {str(v): t.vector(v) for v in (*EVENTS, 7)}, 25).select("video_id").distinct()
+    return search.knn_batch(t.features, {str(v): t.vector(v) for v in (*EVENTS, 7)}, search.pool_size(100)).select("video_id").distinct()
 
 
 @query(f"{WITH}, {pool(100)} SELECT CAST(rank AS BIGINT) AS rank, video_id, frame_idx || '-' || (frame_idx + 25) || '-' || (frame_idx + 50) AS events FROM pool")
@@ -199,6 +204,12 @@ def video_aggregate(t):
     return ranking.aggregate_videos(rows, 4, 5).select("video_id", "global_id", F.col("r").cast("long").alias("r"), r6("v_score"))
 
 
-@query()
+_PEAK = "p{i} AS (SELECT s.video_id, arg_max(s.pts_ms, s.s) AS t, arg_max(s.global_id, s.s) AS id, max(s.s) AS v FROM sim s {joins} {where} GROUP BY 1)"
+_PEAKS = ", ".join(_PEAK.format(i=i, joins=" ".join(f"JOIN p{j} USING (video_id)" for j in range(1, i)), where="WHERE " + " AND ".join(f"abs(s.pts_ms - p{j}.t) >= 8000" for j in range(1, i)) if i > 1 else "") for i in (1, 2))
+_NEARS = ", ".join(f"n{i} AS (SELECT s.video_id, s.global_id AS id, row_number() OVER (PARTITION BY s.video_id ORDER BY s.s DESC, s.global_id) AS k FROM sim s JOIN p{i} USING (video_id) WHERE abs(s.pts_ms - p{i}.t) > 0 AND abs(s.pts_ms - p{i}.t) <= 8000 QUALIFY k <= 2)" for i in (1, 2))
+
+
+@query(f"""{WITH}, {_PEAKS}, {_NEARS}, picked AS (SELECT video_id, id, 1 AS o FROM p1 UNION ALL SELECT video_id, id, 2 FROM n1 WHERE k = 1 UNION ALL SELECT video_id, id, 3 FROM p2 UNION ALL SELECT video_id, id, 4 FROM n1 WHERE k = 2 UNION ALL SELECT n2.video_id, n2.id, 5 FROM n2 WHERE k = 1),
+first AS (SELECT video_id, id, min(o) AS o FROM picked GROUP BY ALL) SELECT s.video_id, s.frame_idx, row_number() OVER (PARTITION BY s.video_id ORDER BY coalesce(o, 6), s.s DESC, s.global_id) AS place FROM sim s LEFT JOIN first ON first.id = s.global_id QUALIFY place <= 40""")
 def diverse_hypotheses(t):
-    return ranking.diverse_hypotheses(similar(t)).select("video_id", "place", "frame_idx", r6("s"))
+    return ranking.diverse_hypotheses(similar(t), 40).select("video_id", "frame_idx", F.col("place").cast("long").alias("place"))

@@ -26,7 +26,7 @@ def test_tokens_and_accents(spark):
 
 
 def test_answers(spark):
-    for a, b, want in [("Blue", "blue", True), ("blue", "a blue car", True), ("red car", "blue", False), ("", "x", False), ("the tall green tower", "tower, green", True)]:
+    for a, b, want in [("Blue", "blue", True), ("blue", "a blue car", True), ("red car", "blue", False), ("", "x", False), ("tháp cao màu xanh", "xanh, tháp", True), ("người", "con", False)]:
         assert one(spark, X.answers_match(F.lit(a), F.lit(b))) is want
 
 
@@ -88,14 +88,51 @@ def test_alignment_against_the_recurrence(spark):
     for r in align.monotonic_dp(f, 3).collect():
         assert r["total"] == pytest.approx(want[r["video_id"]][0]) and r["path"] == want[r["video_id"]][1]
     one_frame = f.where("video_id = 'V0'").limit(1)
-    assert align.monotonic_dp(one_frame, 3).count() == 0
+    for solve in (align.monotonic_dp, align.segmental_dp):
+        (r,) = solve(one_frame, 3).collect()
+        assert r["total"] is None and r["path"] == [one_frame.first()["frame_idx"]] * 3
 
 
-def test_diverse_hypotheses_keep_their_distance(spark):
-    rng = random.Random(2)
-    f = spark.createDataFrame([("V", i * 1000, i, rng.random()) for i in range(60)], "video_id string, pts_ms bigint, frame_idx int, s double")
+def test_runs_against_the_recurrence(spark):
+    rng = random.Random(4)
+    m, n, rows, want = 12, 3, [], {}
+    for v in range(6):
+        t = sorted(rng.sample(range(900), m))
+        s = [[rng.random() for _ in range(n)] for _ in t]
+        rows += [(f"V{v}", x * 1000, x * 25, *y) for x, y in zip(t, s, strict=True)]
+        best = {}
+        for i in range(n):
+            now = {}
+            for a in range(m):
+                into = (0.0, []) if i == 0 else max(((d - 0.001 * max(0, t[a] - t[e] - 240), p) for e, (d, p) in best.items() if e < a), default=None, key=lambda x: x[0])
+                for e in range(a, min(m, a + 5)) if into else ():
+                    x = into[0] + sum(s[k][i] for k in range(a, e + 1)) / (e - a + 1) - 0.02 * (e - a)
+                    if e not in now or x > now[e][0]:
+                        now[e] = (x, [*into[1], t[(a + e) // 2] * 25])
+            best = now
+        want[f"V{v}"] = max(best.values(), key=lambda x: x[0])
+    f = spark.createDataFrame(rows, "video_id string, pts_ms bigint, frame_idx int, e1 double, e2 double, e3 double")
+    for r in align.segmental_dp(f, n).collect():
+        assert r["total"] == pytest.approx(want[r["video_id"]][0]) and r["path"] == want[r["video_id"]][1]
+
+
+def test_diverse_hypotheses_come_in_their_order(spark):
+    s = {0: 0.9, 4: 0.7, 7: 0.8, 20: 0.6, 21: 0.5, 40: 0.55}
+    f = spark.createDataFrame([("V", t * 1000, t, t, v) for t, v in s.items()], "video_id string, pts_ms bigint, frame_idx int, global_id int, s double")
     got = sorted((r["place"], r["frame_idx"]) for r in ranking.diverse_hypotheses(f).collect())
-    assert len(got) == 5 and all(abs(a[1] - b[1]) >= 8 for i, a in enumerate(got) for b in got[:i])
+    assert [x for _, x in got] == [0, 7, 20, 4, 21, 40] and [p for p, _ in got] == [1, 2, 3, 4, 5, 6]
+    assert ranking.diverse_hypotheses(f, 2).count() == 2
+
+
+def test_query_analysis(spark):
+    assert one(spark, X.decompose(F.lit("người đi bộ, mặc áo đỏ"))) == ["người đi bộ", "mặc áo đỏ"]
+    assert one(spark, X.decompose(F.lit("một con chó và một con mèo"))) == ["một con chó", "một con mèo"]
+    assert one(spark, X.answers_match(F.lit("màu xanh"), F.lit("xanh đậm"))) is True
+    g = one(spark, X.gate(F.lit('Bảng "FANA" ở Lausanne và Steven Spielberg, MC nói')))
+    assert g["ocr_keywords"] == ["FANA", "Lausanne", "Steven Spielberg"] and (g["ocr"], g["asr"]) == (1.5, 1.2)
+    assert one(spark, X.gate(F.lit("một con mèo nằm ngủ")))["pure_visual"] is True
+    r = one(spark, X.refine(F.lit("E1: rót nước\nE2: uống hết"), F.lit("trake")))
+    assert r["events"] == ["E1: rót nước", "E2: uống hết"] and round(r["visual"], 6) == 0.9
 
 
 def test_bm25_on_empty_and_absent(spark):
