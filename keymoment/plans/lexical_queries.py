@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keymoment.functions import text as X
-from keymoment.functions.vectors import blend, dot, vector
+from keymoment.functions.vectors import blend, vector
 from keymoment.operators import bm25, fusion, search, temporal
 from keymoment.plans.ladder import LADDER, run_ladder
 from keymoment.plans.registry import FRAMES, NEIGHBOR, OBJECTS, OCR, TRANSCRIPTS, bm25_sql, clean, dot_sql, pool, query, sim, toks
@@ -183,8 +183,7 @@ fin AS (SELECT sim.*, smooth, cue, 0.55::DOUBLE * s + 0.25::DOUBLE * smooth + 0.
 
 def _intra(t):
     """Frames with final: similarity, neighbours, cues, and what text in the picture and objects add."""
-    cue = [t.vector(v) for v in CUES]
-    frames = search.with_similarity(t.features, t.vector(7)).withColumns({f"c{i}": dot(F.col("embedding"), vector(v)) for i, v in enumerate(cue)}).drop("embedding")
+    frames = search.with_similarities(t.features, {"s": t.vector(7)} | {f"c{i}": t.vector(v) for i, v in enumerate(CUES)})
     words = F.array(*[F.lit(w) for w in ("the", "of", "license", "version", "que")])
     overlap = F.least(F.lit(1.0), F.size(F.array_intersect(words, X.tokens_clean(F.col("ocr_text")))) / 5.0)
     ocr = t.ocr.groupBy("global_id").agg(F.max(overlap).alias("ocr"))

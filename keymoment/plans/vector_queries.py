@@ -21,8 +21,7 @@ def similar(t, vec: int = 7):
 
 
 def events(t):
-    f = t.features
-    return f.select("video_id", "pts_ms", "frame_idx", "global_id", *[dot(F.col("embedding"), vector(t.vector(v))).alias(f"e{i}") for i, v in enumerate(EVENTS, 1)])
+    return search.with_similarities(t.features, {f"e{i}": t.vector(v) for i, v in enumerate(EVENTS, 1)})
 
 
 @query(f"WITH {FRAMES} SELECT global_id, video_id, CAST(keyframe_index AS INTEGER) AS keyframe_index, pts_time, frame_idx FROM frames")
@@ -43,7 +42,7 @@ def knn_exact(t):
 
 @query(f"WITH {FRAMES} SELECT 'e' || q.vec_id AS query_id, f.global_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {dot_sql('f.embedding', 'q.embedding')} DESC, f.global_id) AS rank FROM frames f, embeddings q WHERE q.vec_id IN (3, 42, 99) QUALIFY rank <= 50")
 def knn_batch(t):
-    return search.knn_batch(t.features, {f"e{v}": t.vector(v) for v in EVENTS}, 50).select("query_id", "global_id", F.col("rank").cast("long").alias("rank"))
+    return search.knn_batch(t.features, t.vectors(EVENTS), 50).select("query_id", "global_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {FRAMES}, m AS (SELECT list_transform(list_zip(a.embedding, b.embedding), lambda z: 0.7::DOUBLE * z[1] + 0.3::DOUBLE * z[2]) AS v FROM (SELECT embedding FROM embeddings WHERE vec_id = 7) a, (SELECT embedding FROM embeddings WHERE vec_id = 11) b),
@@ -100,8 +99,8 @@ def row_minmax_norm(t):
 
 @query(f"""WITH {FRAMES}, {sim('a', 5)}, {sim('b', 17)} SELECT a.global_id, round((max(a.s) OVER w + max(b.s) OVER w) / 2, 6) AS coverage FROM a JOIN b USING (global_id) WINDOW w AS (PARTITION BY a.video_id ORDER BY a.pts_ms RANGE BETWEEN 6000 PRECEDING AND 6000 FOLLOWING)""")
 def cue_window_coverage(t):
-    f = t.features.withColumn("c1", dot(F.col("embedding"), vector(t.vector(5)))).withColumn("c2", dot(F.col("embedding"), vector(t.vector(17))))
-    return temporal.window_coverage(f.drop("embedding"), ["c1", "c2"]).select("global_id", r6("coverage"))
+    f = search.with_similarities(t.features, {"c1": t.vector(5), "c2": t.vector(17)})
+    return temporal.window_coverage(f, ["c1", "c2"]).select("global_id", r6("coverage"))
 
 
 @query(f"""WITH {FRAMES}, f AS (SELECT video_id, list(frame_idx ORDER BY frame_idx) AS k, count(*) AS n FROM frames WHERE video_id <> 'V003' OR keyframe_index = 1 GROUP BY 1), a AS (SELECT video_id, x AS target FROM (SELECT DISTINCT video_id FROM frames UNION ALL SELECT 'VXXX'), (VALUES (0), (350), (12345), (1000000)) v(x)),
@@ -181,7 +180,7 @@ def trake_final_score(t):
 
 @query(f"""WITH {FRAMES}, r AS (SELECT f.video_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {dot_sql('f.embedding', 'q.embedding')} DESC, f.global_id) AS rank FROM frames f, embeddings q WHERE q.vec_id IN (3, 42, 99, 7)) SELECT DISTINCT video_id FROM r WHERE rank <= 500""")
 def trake_video_pool(t):
-    return search.knn_batch(t.features, {str(v): t.vector(v) for v in (*EVENTS, 7)}, search.pool_size(100)).select("video_id").distinct()
+    return search.knn_batch(t.features, t.vectors((*EVENTS, 7)), search.pool_size(100)).select("video_id").distinct()
 
 
 @query(f"{WITH}, {pool(100)} SELECT CAST(rank AS BIGINT) AS rank, video_id, frame_idx || '-' || (frame_idx + 25) || '-' || (frame_idx + 50) AS events FROM pool")
@@ -193,7 +192,7 @@ def trake_baseline(t):
 @query(f"""WITH {FRAMES}, {sim('a', 5)}, {sim('b', 17)}, x AS (SELECT * FROM (SELECT 5 AS cue, *, row_number() OVER (ORDER BY s DESC, global_id) AS rank FROM a) WHERE rank <= 100 UNION ALL SELECT * FROM (SELECT 17, *, row_number() OVER (ORDER BY s DESC, global_id) AS rank FROM b) WHERE rank <= 100)
 SELECT video_id, count(DISTINCT cue) / 2.0::DOUBLE AS coverage, round(max(s), 6) AS best FROM x GROUP BY 1""")
 def cue_coverage_count(t):
-    x = search.knn_batch(t.features, {str(v): t.vector(v) for v in (5, 17)}, 100)
+    x = search.knn_batch(t.features, t.vectors((5, 17)), 100)
     return x.groupBy("video_id").agg((F.count_distinct("query_id") / F.lit(2.0)).alias("coverage"), F.round(F.max("s"), 6).alias("best"))
 
 

@@ -46,6 +46,10 @@ class Tables:
     def vector(self, vec_id: int) -> list[float]:
         return list(self.read("embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0])
 
+    def vectors(self, ids: tuple[int, ...]) -> DataFrame:
+        """(query_id, vector) of some rows, named e<id>."""
+        return self.read("embeddings").where(F.col("vec_id").isin(*ids)).select(F.concat(F.lit("e"), F.col("vec_id").cast("string")).alias("query_id"), F.col("embedding").alias("vector"))
+
     @cached_property
     def n(self) -> int:
         return self.read("embeddings").count()
@@ -91,7 +95,5 @@ class Tables:
         """For each video's first vector the 100 nearest frames."""
         from keymoment.operators.search import knn_batch
 
-        firsts = self.ground_truth.select("query_id", F.col("first_id").alias("global_id")).join(self.features.select("global_id", "embedding"), "global_id")
-        # One query a video, as in a batch of queries.
-        queries = {r["query_id"]: list(r["embedding"]) for r in firsts.select("query_id", "embedding").collect()}
-        return knn_batch(self.features, queries, 100)
+        firsts = self.ground_truth.select("query_id", F.col("first_id").alias("global_id")).join(self.features.select("global_id", F.col("embedding").alias("vector")), "global_id")
+        return knn_batch(self.features, firsts, 100)
