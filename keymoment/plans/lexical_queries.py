@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keymoment.functions import text as X
 from keymoment.functions.vectors import blend, vector
-from keymoment.operators import bm25, fusion, search, temporal
+from keymoment.operators import bm25, bm25_index, fusion, search, temporal
 from keymoment.plans.ladder import LADDER, run_ladder
 from keymoment.plans.registry import FRAMES, NEIGHBOR, OBJECTS, OCR, TRANSCRIPTS, bm25_sql, clean, dot_sql, pool, query, sim, toks
 
@@ -19,17 +19,20 @@ JOINED = "array_to_string(list_sort({}), ' ')"
 
 
 def spoken(t):
-    return t.transcripts.withColumn("seg_id", F.col("conv_id") * 100 + F.col("turn"))
+    return t.segments
 
 
-def ocr_hits(t, k: int | None = None):
-    s = bm25.bm25(t.ocr, "doc_id", X.tokens_dual(F.col("ocr_text")), OCR_QUERY)
-    return bm25.top_hits(s, "doc_id", k) if k else s
+def _hits(t, index: str, doc: str, tokens: list[str], k: int | None):
+    s = bm25_index.score(t.spark, t.index(index), bm25_index.asked(t.spark, {"q": tokens})).select(F.col("doc").alias(doc), "score")
+    return bm25.top_hits(s, doc, k) if k else s
+
+
+def ocr_hits(t, k: int | None = None, tokens: list[str] = OCR_QUERY):
+    return _hits(t, "ocr", "doc_id", tokens, k)
 
 
 def asr_hits(t, k: int | None = None):
-    s = bm25.bm25(spoken(t), "seg_id", X.tokens_dual(F.col("transcript")), ASR_QUERY)
-    return bm25.top_hits(s, "seg_id", k) if k else s
+    return _hits(t, "asr", "seg_id", ASR_QUERY, k)
 
 
 @query(f"SELECT doc_id, {JOINED.format(toks('text'))} AS tokens FROM documents")
@@ -63,6 +66,15 @@ def bm25_asr(t):
     return asr_hits(t, 100).join(spoken(t), "seg_id").select("seg_id", F.expr("(start_frame + end_frame) div 2").alias("frame_idx"), r6("score"))
 
 
+@query(f"WITH {bm25_sql('documents', 'doc_id', toks('text'), OCR_QUERY)}, v AS (SELECT token, df, raw FROM raw) SELECT count(*) AS tokens, sum(df) AS postings, round(avg(raw), 6) AS mean, round((SELECT avg(len(toks)) FROM tk), 6) AS avgdl FROM v")
+def bm25_index_at_rest(t):
+    """What the stored index holds."""
+    path = t.index("ocr")
+    v, c = t.spark.read.parquet(f"{path}/vocabulary"), t.spark.read.parquet(f"{path}/corpus")
+    n = t.spark.read.parquet(f"{path}/postings").agg(F.count("*").alias("postings"))
+    return v.agg(F.count("*").alias("tokens")).join(n).join(c).select("tokens", "postings", r6("mean"), r6("avgdl"))
+
+
 @query(f"WITH {bm25_sql('part', 'p_partkey', toks('p_name'), ['red', 'blue', 'green', 'part'])} SELECT p_partkey, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, p_partkey) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 50")
 def bm25_meta(t):
     s = bm25.bm25(t.read("part"), "p_partkey", X.tokens_dual(F.col("p_name")), ["red", "blue", "green", "part"])
@@ -84,14 +96,14 @@ _TWO = [["license"], ["version", "public"], ["license", "version", "public"]]
 def multi_keyword_max(t):
     every = None
     for i, q in enumerate(_TWO):
-        hits = bm25.top_hits(bm25.bm25(t.ocr, "doc_id", X.tokens_dual(F.col("ocr_text")), q), "doc_id", 20 if i == 2 else 10).select("doc_id", "score")
+        hits = ocr_hits(t, 20 if i == 2 else 10, q).select("doc_id", "score")
         every = hits if every is None else every.unionByName(hits)
     return every.groupBy("doc_id").agg(F.max("score").alias("best")).orderBy(F.desc("best"), "doc_id").limit(25).select("doc_id", r6("best"))
 
 
-_LEX = f"""o AS (WITH {bm25_sql('documents', 'doc_id', toks('text'), OCR_QUERY)} SELECT * FROM scored WHERE score > 0),
+_LEX = f"""o AS (WITH {bm25_sql('documents', 'doc_id', toks('text'), OCR_QUERY)} SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 200),
 om AS (SELECT global_id, max(score / (SELECT max(score) FROM o)) AS ocr_frame FROM o JOIN ocr USING (doc_id) GROUP BY 1), ov AS (SELECT video_id, max(ocr_frame) AS ocr_video FROM om JOIN frames USING (global_id) GROUP BY 1),
-sg AS (WITH {bm25_sql('spoken', 'seg_id', toks('transcript'), ASR_QUERY)} SELECT * FROM scored WHERE score > 0),
+sg AS (WITH {bm25_sql('spoken', 'seg_id', toks('transcript'), ASR_QUERY)} SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, seg_id LIMIT 200),
 am AS (SELECT f.global_id, max(g.score / (SELECT max(score) FROM sg)) AS asr_frame FROM sg g JOIN spoken USING (seg_id) JOIN frames f ON f.video_id = spoken.video_id AND f.frame_idx = (start_frame + end_frame) // 2 GROUP BY 1),
 av AS (SELECT video_id, max(g.score / (SELECT max(score) FROM sg)) AS asr_video FROM sg g JOIN spoken USING (seg_id) GROUP BY 1)"""
 
@@ -114,8 +126,8 @@ _LADDER_SQL = {
 
 def _support(t):
     f = t.features.select("global_id", "video_id", "frame_idx")
-    o = fusion.max_normalised(ocr_hits(t).where("score > 0")).join(t.ocr.select("doc_id", "global_id"), "doc_id").join(f, "global_id")
-    a = fusion.max_normalised(asr_hits(t).where("score > 0")).join(spoken(t).select("seg_id", "video_id", F.expr("(start_frame + end_frame) div 2").alias("frame_idx")), "seg_id")
+    o = fusion.max_normalised(ocr_hits(t, 200)).join(t.ocr.select("doc_id", "global_id"), "doc_id").join(f, "global_id")
+    a = fusion.max_normalised(asr_hits(t, 200)).join(spoken(t).select("seg_id", "video_id", F.expr("(start_frame + end_frame) div 2").alias("frame_idx")), "seg_id")
     a = a.join(f, ["video_id", "frame_idx"], "left")
     return {"ocr": fusion.lexical_support(o, "ocr"), "asr": (fusion.lexical_support(a.where("global_id IS NOT NULL"), "asr")[0], fusion.lexical_support(a, "asr")[1])}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from functools import cached_property
 
@@ -15,6 +16,14 @@ def video_id(label) -> Column:
     return F.concat(F.lit("V"), F.lpad(label.cast("string"), 3, "0"))
 
 
+def _signature(spark: SparkSession, path: str) -> str:
+    """What changes when a table's files do: a hash of their names, lengths and times."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    said = "|".join(sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files))
+    return hashlib.md5(said.encode()).hexdigest()
+
+
 class Tables:
     """Frames, features, OCR, speech, detections, videos, ground truth and predictions, derived from the tables of a folder."""
 
@@ -54,6 +63,24 @@ class Tables:
     def n(self) -> int:
         return self.read("embeddings").count()
 
+    def index(self, name: str) -> str:
+        """The folder of the BM25 index of "ocr" or "asr", built on first use and again when the table's files change."""
+        from keymoment.functions.text import tokens_dual
+        from keymoment.operators.bm25_index import write_index
+
+        table, doc, text = {"ocr": ("documents", "doc_id", "ocr_text"), "asr": ("conversations", "seg_id", "transcript")}[name]
+        path = f"{self.shared}/bm25/{self.spark.sparkContext.applicationId}/{name}-{_signature(self.spark, f'{self.folder}/{table}.parquet')}"
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/corpus/_SUCCESS")  # written last
+        if not done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done):
+            docs = self.ocr if name == "ocr" else self.spread(self.segments)
+            write_index(docs, doc, tokens_dual(F.col(text)), path)
+        return path
+
+    @property
+    def segments(self) -> DataFrame:
+        """transcripts with a number for each."""
+        return self.transcripts.withColumn("seg_id", F.col("conv_id") * 100 + F.col("turn"))
+
     @property
     def frames(self) -> DataFrame:
         """global_id, video_id, keyframe_index, pts_ms, pts_time, fps, frame_idx, embedding."""
