@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from keymoment.plans import base_queries, lexical_queries, rank_queries, registry, vector_queries
+from keymoment.plans import api_queries, base_queries, lexical_queries, rank_queries, registry, vector_queries
 
-MODULES = (vector_queries, lexical_queries, rank_queries, base_queries)
+MODULES = (vector_queries, lexical_queries, rank_queries, base_queries, api_queries)
 
 
 def queries():

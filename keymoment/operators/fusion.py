@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF = 60
@@ -31,11 +31,11 @@ def lexical_support(hits: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return frame, hits.groupBy("video_id").agg(F.max("norm").alias(f"{name}_video"))
 
 
-def tnca_score(pool: DataFrame, transition: bool, lexical: list[str] = (), neighbour: bool = True) -> DataFrame:
+def tnca_score(pool: DataFrame, transition: bool | Column, lexical: list[str] = (), neighbour: bool = True) -> DataFrame:
     """s + weight * neighbor + s * bonus; bonus 0.15 for each lexical signal over 0.1, the signal being the greater of the
     frame's and 0.8 times the video's."""
     s = F.col("s")
-    total = s + (F.lit(0.15 if transition else 0.075) * F.col("neighbor") if neighbour else F.lit(0.0))
+    total = s + (F.when(F.lit(transition) if isinstance(transition, bool) else transition, 0.15).otherwise(0.075) * F.col("neighbor") if neighbour else F.lit(0.0))
     for name in lexical:
         signal = F.greatest(F.coalesce(f"{name}_frame", F.lit(0.0)), 0.8 * F.coalesce(f"{name}_video", F.lit(0.0)))
         total = total + s * F.when(signal > 0.1, 0.15 * signal).otherwise(0.0)

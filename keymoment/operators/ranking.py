@@ -43,10 +43,10 @@ def dedup_sequence(rows: DataFrame, events: str = "events") -> DataFrame:
 
 
 def pad_to(rows: DataFrame, k: int, n: int = 3) -> DataFrame:
-    """Rows up to k for each query: the missing ones at frames 100 * place + 400 * i of the top video."""
+    """Rows up to k for each query: the missing ones at frames 100 * (place - 1) + 400 * i of the top video."""
     top = rows.groupBy("query_id").agg(F.count("*").alias("had"), F.min_by("video_id", "rank").alias("video_id"))
     more = top.where(F.col("had") < k).withColumn("rank", F.explode(F.sequence(F.col("had") + 1, F.lit(k).cast("bigint"))))
-    events = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("rank") * 100 + i * 400)
+    events = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (F.col("rank") - 1) * 100 + i * 400)
     return rows.select("query_id", F.col("rank").cast("bigint").alias("rank"), "video_id", "events").unionByName(more.select("query_id", "rank", "video_id", events.alias("events")))
 
 

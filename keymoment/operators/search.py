@@ -89,7 +89,16 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[list[str], np.ndarray]]:
         block = list(islice(rows, many))
 
 
-def _nearest(frames: DataFrame, ids: list[str], vectors: np.ndarray, k: int) -> DataFrame:
+def all_similarities(frames: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, ..., s) of all frames with all queries(query_id, vector): for a few queries, whose callers thin the frames."""
+    found = None
+    for ids, vectors in _blocks(queries):
+        part = _nearest(frames, ids, vectors, None)
+        found = part if found is None else found.unionAll(part)
+    return _nearest(frames.where("false"), [], np.zeros((0, 1)), None) if found is None else found
+
+
+def _nearest(frames: DataFrame, ids: list[str], vectors: np.ndarray, k: int | None) -> DataFrame:
     """(query_id, ..., s): of each batch of frames the k best of each query, so that little is left to be ranked."""
     kept = [c for c in frames.columns if c != "embedding"]
     at_id = kept.index("global_id")
@@ -103,7 +112,7 @@ def _nearest(frames: DataFrame, ids: list[str], vectors: np.ndarray, k: int) ->
             own = batch.column(at_id).to_numpy(zero_copy_only=False)
             for j, name in enumerate(names):
                 best = np.flatnonzero(~np.isnan(s[:, j]))
-                if len(best) > k:
+                if k is not None and len(best) > k:
                     edge = np.partition(s[best, j], len(best) - k)[len(best) - k]
                     best = best[s[best, j] >= edge]
                 best = best[np.lexsort((own[best], -s[best, j]))[:k]]

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def neighbor_max(hits: DataFrame, reach_ms: int = 30_000, score: str = "s") -> DataFrame:
+def neighbor_max(hits: DataFrame, reach_ms: int = 30_000, score: str = "s", by: tuple[str, ...] = ("video_id",)) -> DataFrame:
     """Adds neighbor: the best score of other hits of the video within reach, or the hit's own without any. Hits at the
     same time aren't each other's neighbours."""
-    w = Window.partitionBy("video_id").orderBy("pts_ms")
+    w = Window.partitionBy(*by).orderBy("pts_ms")
     around = F.greatest(F.max(score).over(w.rangeBetween(-reach_ms, -1)), F.max(score).over(w.rangeBetween(1, reach_ms)))
     return hits.withColumn("neighbor", F.coalesce(around, F.col(score)))
 

@@ -12,9 +12,14 @@ from keymoment.operators import fusion, search, temporal
 
 @dataclass(frozen=True)
 class Config:
+    """What a configuration adds: a second language's vector, temporal neighbours, text and speech, answers of questions,
+    alignment of sequences. Translation, decomposition and speech grounding change what queries come with, not the plan."""
+
     dual: bool = False
     neighbour: bool = False
     lexical: tuple[str, ...] = ()
+    answers: bool = False
+    alignment: bool = False
 
     @property
     def pool(self) -> int | None:
@@ -22,7 +27,8 @@ class Config:
         return 200 if self.neighbour or self.lexical else None
 
 
-LADDER = {"a0": Config(), "a1": Config(True), "a2": Config(True, True), "a3": Config(True, True, ("ocr", "asr"))}
+LADDER = {"a0": Config(), "a1": Config(True), "a2": Config(True, True), "a3": Config(True, True, ("ocr", "asr")), "a4": Config(True, True, ("ocr", "asr"), True)}
+LADDER |= {name: Config(True, True, ("ocr", "asr"), True, True) for name in ("a5", "a6", "a6_1", "a6_2", "a6_4", "a7")}
 
 
 def run_ladder(frames: DataFrame, query: list[float], config: Config, support: dict[str, tuple[DataFrame, DataFrame]], k: int, transition: bool) -> DataFrame:

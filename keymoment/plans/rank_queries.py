@@ -145,7 +145,7 @@ def dedup_sequence(t):
     return ranking.dedup_sequence(x).select(F.col("rank").cast("long").alias("rank"), "video_id", F.col("events").alias("ev"))
 
 
-@query(f"WITH {FRAMES}, {sim()}, {pool(60)}, x AS (SELECT rank, video_id, CAST(frame_idx AS VARCHAR) AS events FROM pool UNION ALL SELECT r, (SELECT video_id FROM pool WHERE rank = 1), (r * 100) || '-' || (r * 100 + 400) || '-' || (r * 100 + 800) FROM range(61, 101) g(r)) SELECT rank, video_id, events FROM x")
+@query(f"WITH {FRAMES}, {sim()}, {pool(60)}, x AS (SELECT rank, video_id, CAST(frame_idx AS VARCHAR) AS events FROM pool UNION ALL SELECT r, (SELECT video_id FROM pool WHERE rank = 1), ((r - 1) * 100) || '-' || ((r - 1) * 100 + 400) || '-' || ((r - 1) * 100 + 800) FROM range(61, 101) g(r)) SELECT rank, video_id, events FROM x")
 def pad_to_k(t):
     x = ranked(t, 60).withColumn("events", F.array("frame_idx"))
     return ranking.pad_to(x, 100).select("rank", "video_id", F.array_join(F.col("events").cast("array<string>"), "-").alias("events"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -55,6 +56,10 @@ class Tables:
     def vector(self, vec_id: int) -> list[float]:
         return list(self.read("embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0])
 
+    def work(self) -> str:
+        """A new folder for tables on the way to a result, in the shared one."""
+        return f"{self.shared}/work/{self.spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
     def vectors(self, ids: tuple[int, ...]) -> DataFrame:
         """(query_id, vector) of some rows, named e<id>."""
         return self.read("embeddings").where(F.col("vec_id").isin(*ids)).select(F.concat(F.lit("e"), F.col("vec_id").cast("string")).alias("query_id"), F.col("embedding").alias("vector"))
