@@ -48,11 +48,12 @@ def asked(spark: SparkSession, tokens: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "query_id string, token string, c int")
 
 
-def score(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
+def score(spark: SparkSession, path: str, queries: DataFrame, doc_type: str = "bigint") -> DataFrame:
     """(query_id, doc, score) of the documents with a token of queries(query_id, token, c), a query set.
 
     A token in more than half of the documents has negative idf and gets EPSILON times the mean of the vocabulary."""
-    words, postings = spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/postings")
+    words = spark.read.schema("token string, df bigint, raw double, bucket int").parquet(f"{path}/vocabulary")
+    postings = spark.read.schema(f"token string, doc {doc_type}, tf int, dl int, bucket int").parquet(f"{path}/postings")
     names = queries.select("token", bucket("token").alias("b")).distinct().limit(NAMED + 1).collect()
     if len(names) <= NAMED:
         folders, tokens = sorted({r["b"] for r in names}), [r["token"] for r in names]

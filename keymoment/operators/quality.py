@@ -10,7 +10,7 @@ def line_error(line: Column, task: Column) -> Column:
     """The first fault of a submission line, null for a good one. Tasks: kis (video,frame), qa (video,frame,"answer"), trake
     (video,frame,...)."""
     p = F.split(line, ",")
-    answer = F.regexp_extract(line, r'^[^,]*,[^,]*,"?(.*?)"?$', 1)
+    answer = F.replace(F.regexp_extract(line, r'^[^,]*,[^,]*,"?(.*?)"?$', 1), F.lit('""'), F.lit('"'))
     frames = F.when(task == "trake", F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(1)))).otherwise(F.slice(p, 2, 1))
     number = F.forall(frames, lambda x: F.trim(x).rlike(r"^-?[0-9]+$"))
     return (

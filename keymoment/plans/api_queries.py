@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import io
+import json
 import unicodedata
-import uuid
+import zipfile
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from keymoment.operators import quality
 from keymoment.plans import lexical_queries as L
 from keymoment.plans import search_api
 from keymoment.plans.registry import FRAMES, NEIGHBOR, OCR, dot_sql, query, sim
 from keymoment.plans.vector_queries import E3, EVENTS
+from keymoment.sources import readers
 
 # Queries of the batch: id, task, text, vector, vector of a translation, keywords of text and speech, answer.
 BATCH = (
@@ -111,3 +116,159 @@ def search_sequences_plain(t):
     """A configuration without alignment."""
     out = search_api.run(_corpus(t), _batch(t, [("s1", "trake", "E1 E2 E3", 7, 11, [], [], None, list(EVENTS))]), "a4")
     return out.select("rank", "video_id", F.array_join(F.col("events").cast("array<string>"), "-").alias("events"))
+
+
+# Readers and writers: the standard tables are written in a raw format and read back.
+
+
+def _zipped(files: dict[str, str]) -> bytes:
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in files.items():
+            z.writestr(name, text)
+    return made.getvalue()
+
+
+@query(f"WITH {FRAMES}, l AS (SELECT video_id, max(pts_time) + 2 AS length FROM frames GROUP BY 1) SELECT row_number() OVER (ORDER BY video_id, keyframe_index) - 1 AS global_id, video_id, CAST(keyframe_index AS INTEGER) AS keyframe_index, CAST(frame_idx AS INTEGER) AS frame_idx, CAST(keyframe_index - 1 AS INTEGER) AS clip_row, round(least(1.0::DOUBLE, pts_time / length), 6) AS position_ratio FROM frames JOIN l USING (video_id)")
+def scan_keyframe_maps(t):
+    """A zip of CSV files, one a video."""
+    maps: dict[str, list[str]] = {}
+    for r in t.frames.select("video_id", "keyframe_index", "pts_time", "fps", "frame_idx").orderBy("video_id", "keyframe_index").toLocalIterator():
+        maps.setdefault(f"map-keyframes/{r['video_id']}.csv", ["n,pts_time,fps,frame_idx"]).append(f"{r['keyframe_index']},{r['pts_time']},{r['fps']},{r['frame_idx']}")
+    folder = t.work()
+    readers.put(t.spark, f"{folder}/maps.zip", _zipped({k: "\r\n".join(v) + "\r\n" for k, v in maps.items()}))
+    lengths = t.features.groupBy("video_id").agg((F.max("pts_ms") / 1000.0 + 2).alias("length"))
+    return readers.read_keyframe_maps(t.spark, folder, lengths).select("global_id", "video_id", "keyframe_index", "frame_idx", "clip_row", F.round("position_ratio", 6).alias("position_ratio"))
+
+
+@query("WITH v AS (SELECT label, max(vec_id) * 2.0::DOUBLE + 2 AS length FROM embeddings GROUP BY 1) SELECT 'V' || lpad(CAST(label AS VARCHAR), 3, '0') AS video_id, CASE WHEN label % 3 = 0 THEN 'Author ' || label ELSE '' END AS author, CASE WHEN label % 2 = 0 THEN length ELSE 0.0::DOUBLE END AS length, 'video ' || label || ' text ' || CASE WHEN label % 2 = 0 THEN 'k l' ELSE '' END AS search_text FROM v")
+def scan_media_info(t):
+    """A zip of JSON files, one a video, with fields missing."""
+    files = {}
+    for r in t.read("embeddings").groupBy("label").agg(F.max("vec_id").alias("last")).orderBy("label").collect():  # a row a video
+        info = {"title": f"Video {r['label']}", "description": "Text"} | ({"keywords": ["K", "l"], "length": 2.0 * r["last"] + 2} if r["label"] % 2 == 0 else {}) | ({"author": f"Author {r['label']}"} if r["label"] % 3 == 0 else {"author": None})
+        files[f"media-info/V{r['label']:03}.json"] = json.dumps(info)
+    folder = t.work()
+    readers.put(t.spark, f"{folder}/info.zip", _zipped(files))
+    return readers.read_media_info(t.spark, folder).select("video_id", "author", "length", "search_text")
+
+
+@query(f"WITH {FRAMES}, e AS (SELECT event_id, event_type, event_id % (SELECT count(*) FROM embeddings) AS global_id, event_id % 100 / 100.0::DOUBLE AS score FROM events) SELECT video_id, CAST(keyframe_index AS INTEGER) AS keyframe_index, CAST(row_number() OVER (PARTITION BY global_id ORDER BY event_id) - 1 AS INTEGER) AS detection_rank, event_type AS entity, CAST(event_id % 600 AS INTEGER) AS class_label, round(score, 4) AS score, round(score / 2, 4) AS bbox_0 FROM e JOIN frames USING (global_id)")
+def scan_objects(t):
+    """A zip of JSON files, one a frame, of parallel arrays."""
+    score = (F.col("event_id") % 100) / 100.0
+    e = t.read("events").select("event_id", (F.col("event_id") % t.n).alias("global_id"), F.col("event_type").alias("entity"), score.alias("score")).join(t.frames.select("global_id", "video_id", "keyframe_index"), "global_id")
+    one = e.groupBy("video_id", "keyframe_index").agg(F.sort_array(F.collect_list(F.struct("event_id", "entity", "score"))).alias("d"))  # events of one frame
+    text = F.to_json(F.struct(
+        F.transform("d", lambda x: x["score"].cast("string")).alias("detection_scores"), F.transform("d", lambda x: F.concat(F.lit("/m/"), x["entity"])).alias("detection_class_names"), F.transform("d", lambda x: x["entity"]).alias("detection_class_entities"),
+        F.transform("d", lambda x: F.array(*[(x["score"] / 2).cast("string")] * 4)).alias("detection_boxes"), F.transform("d", lambda x: (x["event_id"] % 600).cast("string")).alias("detection_class_labels"),
+    ))
+    files = {f"objects/{r['video_id']}/{r['keyframe_index']:04}.json": r["j"] for r in one.select("video_id", "keyframe_index", text.alias("j")).toLocalIterator()}
+    folder = t.work()
+    readers.put(t.spark, f"{folder}/objects.zip", _zipped(files))
+    return readers.read_detections(t.spark, folder).select("video_id", "keyframe_index", "detection_rank", "entity", "class_label", F.round("score", 4).alias("score"), F.round("bbox_0", 4).alias("bbox_0"))
+
+
+@query(f"WITH {FRAMES} SELECT video_id, CAST(keyframe_index - 1 AS INTEGER) AS row, len(embedding) AS width, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM frames")
+def scan_vectors(t):
+    """.npy files, one a video."""
+    folder, own = t.work(), {}
+    for r in t.frames.select("video_id", "keyframe_index", "embedding").orderBy("video_id", "keyframe_index").toLocalIterator():
+        own.setdefault(r["video_id"], []).append(r["embedding"])
+    for name, rows in own.items():
+        made = io.BytesIO()
+        np.save(made, np.array(rows, np.float32))
+        readers.put(t.spark, f"{folder}/{name}.npy", made.getvalue())
+    v = readers.read_npy_vectors(t.spark, folder)
+    return v.select("video_id", "row", F.size("embedding").cast("long").alias("width"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
+_NAME = "'query-' || item_id || CASE item_id % 3 WHEN 0 THEN '-kis' WHEN 1 THEN '-qa' ELSE '-trake' END"
+_TASKED = "CASE item_id % 3 WHEN 0 THEN 'kis' WHEN 1 THEN 'qa' ELSE 'trake' END"
+
+
+def _items(t):
+    task = F.element_at(F.array(F.lit("kis"), F.lit("qa"), F.lit("trake")), (F.col("item_id") % 3 + 1).cast("int"))
+    return t.read("benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text"), task.alias("task"))
+
+
+@query(f"SELECT {_NAME} AS query_id, {_TASKED} AS task_type, trim(coalesce(text, '')) AS text FROM benchmark")
+def scan_query_texts(t):
+    """Text files, one a query."""
+    folder = t.work()
+    for r in _items(t).toLocalIterator():
+        readers.put(t.spark, f"{folder}/query-{r['item_id']}-{r['task']}.txt", f" {r['text']} ".encode())
+    return readers.read_query_texts(t.spark, folder)
+
+
+@query(f"SELECT {_NAME} AS query_id, {_TASKED} AS task_type, coalesce(text, '') AS text FROM benchmark")
+def scan_query_json(t):
+    """One file of test cases, whose ids don't tell the task."""
+    folder = t.work()
+    cases = [{"query_id": f"query-{r['item_id']}", "task_type": r["task"].upper(), "query_text": r["text"]} for r in _items(t).collect()]  # a query set
+    readers.put(t.spark, f"{folder}/all.json", json.dumps({"test_cases": cases}, ensure_ascii=False).encode())
+    return readers.read_query_json(t.spark, f"{folder}/all.json")
+
+
+@query("SELECT 'http://host/' || event_type || '/' || event_id AS url FROM events WHERE event_id % 3 > 0")
+def scan_urls(t):
+    """A list with comments and blank lines."""
+    line = F.when(F.col("event_id") % 6 == 0, "").when(F.col("event_id") % 3 == 0, "# a comment").otherwise(F.concat(F.lit("http://host/"), "event_type", F.lit("/"), F.col("event_id").cast("string"), F.lit(" ")))
+    folder = t.work()
+    t.read("events").select(line.alias("value")).write.text(folder)
+    return readers.read_urls(t.spark, folder)
+
+
+@query("SELECT doc_id, coalesce(text, '') AS text, 0.0::DOUBLE AS confidence, '' AS note FROM documents")
+def scan_optional_columns(t):
+    """A Parquet table without some of the columns asked for."""
+    folder = t.work()
+    t.read("documents").select("doc_id", "text").write.parquet(folder)
+    return readers.read_optional(t.spark, folder, {"doc_id": "bigint", "text": "string", "confidence": "double", "note": "string"})
+
+
+@query(f"WITH {FRAMES} SELECT global_id, video_id || '_K' AS video_id, video_id AS prefix FROM frames WHERE video_id IN ('V001', 'V004')")
+def scan_partitioned(t):
+    """A table in folders by prefix of the video; two of them are read."""
+    folder = t.work()
+    readers.write_partitioned(t.features.select("global_id", F.concat("video_id", F.lit("_K")).alias("video_id")), folder)
+    return t.spark.read.parquet(folder).where(F.col("prefix").isin("V001", "V004")).select("global_id", "video_id", "prefix")
+
+
+@query("SELECT video_id, start_frame, end_frame, turn, transcript FROM (SELECT *, row_number() OVER (PARTITION BY video_id, start_frame, end_frame ORDER BY conv_id DESC, turn DESC, transcript DESC) AS r FROM (SELECT 'V' || lpad(CAST(conv_id % 10 AS VARCHAR), 3, '0') AS video_id, (conv_id % 20) * 100 + turn * 25 AS start_frame, (conv_id % 20) * 100 + turn * 25 + 75 AS end_frame, conv_id, turn, text AS transcript FROM conversations)) WHERE r = 1")
+def upsert_speech(t):
+    """Speech segments keyed by (video, start, end), the last one of each."""
+    start = (F.col("conv_id") % 20) * 100 + F.col("turn") * 25
+    rows = t.transcripts.select("video_id", start.alias("start_frame"), (start + 75).alias("end_frame"), "conv_id", "turn", "transcript")
+    out = quality.upsert_keep_last(rows, ["video_id", "start_frame", "end_frame"], ["conv_id", "turn"])
+    return out.select("video_id", "start_frame", "end_frame", "turn", "transcript")
+
+
+_ANSWERS = f"WITH {FRAMES}, {sim()}, {L.pool(60)}, l AS (SELECT 'query-' || (global_id % 4) || CASE global_id % 4 WHEN 0 THEN '-kis' WHEN 1 THEN '-qa' WHEN 2 THEN '-trake' ELSE '-kis' END AS file, rank, video_id || ',' || frame_idx || CASE global_id % 4 WHEN 1 THEN ',\"say \"\"x\"\" ' || rank || '\"' WHEN 2 THEN ',' || (frame_idx + 25) ELSE '' END AS line FROM pool)"
+
+
+def _submitted(t, folder: str) -> int:
+    task = F.element_at(F.array(*[F.lit(x) for x in ("kis", "qa", "trake", "kis")]), (F.col("global_id") % 4 + 1).cast("int"))
+    rows = L.search.knn_exact(t.features, t.vector(7), 60).withColumn("task_type", task)
+    rows = rows.withColumn("query_id", F.concat(F.lit("query-"), (F.col("global_id") % 4).cast("string"), F.lit("-"), "task_type"))
+    frames = F.when(F.col("task_type") == "trake", F.array(F.col("frame_idx"), F.col("frame_idx") + 25)).otherwise(F.array("frame_idx"))
+    rows = rows.select("query_id", "rank", "task_type", F.concat("video_id", F.lit(".mp4")).alias("video_id"), frames.alias("frames"), F.concat(F.lit(' say "x" '), F.col("rank").cast("string"), F.lit(" ")).alias("answer"))
+    return readers.write_submissions(readers.submission_lines(rows), folder)
+
+
+@query(f"{_ANSWERS} SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY rank) - 1 AS INTEGER) AS row_no, line FROM l")
+def write_submission_files(t):
+    """A CSV file for each query, read back."""
+    folder = t.work()
+    _submitted(t, folder)
+    return readers.read_submissions(t.spark, folder)
+
+
+@query(f"{_ANSWERS} SELECT 'submission/' || file || '.csv' AS member, count(*) AS lines FROM l GROUP BY 1")
+def package_submission(t):
+    """The zip of all files, as all are valid."""
+    folder = t.work()
+    _submitted(t, f"{folder}/csv")
+    readers.package_submissions(t.spark, f"{folder}/csv", f"{folder}/zip/all.zip")
+    members = readers.read_members(t.spark, f"{folder}/zip", ".csv")
+    return members.select(F.col("name").alias("member"), F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).cast("long").alias("lines"))

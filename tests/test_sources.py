@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from keymoment.operators import search
@@ -64,12 +65,17 @@ def test_queries_and_submissions(spark, tmp_path):
     lines = readers.submission_lines(rows)
     said = {r["query_id"]: r["line"] for r in lines.collect()}
     assert said["q2"] == "V2,1,2,3" and said["q1"].startswith('V1,5,"say ""x""') and said["q1"].endswith('"')
-    assert readers.package_submissions(lines, str(tmp_path / "s.zip")) == 2
+    named = lines.withColumn("query_id", F.when(F.col("query_id") == "q1", "q1-qa").otherwise("q2-trake"))
+    assert readers.write_submissions(named, f"file://{tmp_path}/out") == 2
+    assert readers.package_submissions(spark, f"file://{tmp_path}/out/*.csv", f"file://{tmp_path}/s.zip") == 2
     with zipfile.ZipFile(io.BytesIO((tmp_path / "s.zip").read_bytes())) as z:
-        assert z.namelist() == ["submission/q1.csv", "submission/q2.csv"]
+        assert z.namelist() == ["submission/q1-qa.csv", "submission/q2-trake.csv"]
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub/q9.csv").write_text("V1,1\n\nV1,2,3\n")
     assert [r["line"] for r in readers.read_submissions(spark, f"file://{tmp_path}/sub").orderBy("row_no").collect()] == ["V1,1", "V1,2,3"]
+    with pytest.raises(ValueError, match="q9: COLUMNS"):
+        readers.package_submissions(spark, f"file://{tmp_path}/sub/*.csv", f"file://{tmp_path}/no.zip")
+    assert not (tmp_path / "no.zip").exists()
     readers.write_partitioned(spark.createDataFrame([("L01_V1",), ("L02_V1",)], "video_id string"), f"file://{tmp_path}/part")
     assert {p.name for p in (tmp_path / "part").glob("prefix=*")} == {"prefix=L01", "prefix=L02"}
 
@@ -87,13 +93,42 @@ def test_stream_keeps_the_last_row(spark, tmp_path):
 def test_plans(spark):
     t = Tables(spark, FOLDER)
     p = plan(search.knn_exact(t.features, t.vector(7), 10))
-    assert "TakeOrderedAndProject" in p and "Python" not in p
-    p = plan(search.knn_batch(t.features, {"a": t.vector(1), "b": t.vector(2)}, 10))
+    assert "TakeOrderedAndProject" in p and "MapInArrow" in p
+    p = plan(search.knn_batch(t.features, t.vectors((1, 2)), 10))
     assert p.index("WindowGroupLimit") and "Cartesian" not in p and "NestedLoop" not in p
     p = plan(t.read("documents").where(F.col("source") == "src1").select("doc_id"))
     assert "PushedFilters: [IsNotNull(source), EqualTo(source,src1)]" in p and "text" not in re.search(r"ReadSchema: (.*)", p).group(1)
 
 
+def test_postings_are_read_by_token(spark, tmp_path):
+    from keymoment.operators import bm25_index
+    from keymoment.functions import text as X
+
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, "beta beta"), (4, "gamma gamma")], "id bigint, text string")
+    path = f"file://{tmp_path}/index"
+    bm25_index.write_index(docs, "id", X.tokens_clean(F.col("text")), path)
+    found = bm25_index.score(spark, path, bm25_index.asked(spark, {"a": ["gamma", "alpha"], "b": ["beta"], "c": ["nothing"]}))
+    assert {(r["query_id"], r["doc"]) for r in found.collect()} == {("a", 1), ("a", 4), ("b", 1), ("b", 3)}
+    from keymoment.operators.bm25 import bm25
+
+    whole = {r["id"]: r["score"] for r in bm25(docs, "id", X.tokens_clean(F.col("text")), ["gamma", "alpha"]).collect()}
+    assert {r["doc"]: r["score"] for r in found.where("query_id = 'a'").collect()} == whole
+    p = plan(found)
+    assert "PartitionFilters: [isnotnull(bucket" in p or "PartitionFilters: [bucket" in p
+    empty = f"file://{tmp_path}/empty"
+    bm25_index.write_index(docs.where("false"), "id", X.tokens_clean(F.col("text")), empty)
+    assert bm25_index.score(spark, empty, bm25_index.asked(spark, {"a": ["beta"]})).count() == 0
+
+
+def test_engines(spark):
+    with pytest.raises(ValueError, match="unknown engine"):
+        search.dimension("other")
+    made = search.encode(spark.createDataFrame([("q", "a"), ("r", None)], "query_id string, text string"), lambda said: np.ones((len(said), 512)), "clip")
+    assert [len(r["vector"]) for r in made.collect()] == [512, 512]
+    with pytest.raises(Exception, match="have 512 values, not 3"):
+        search.encode(made.select("text"), lambda said: np.ones((len(said), 3)), "clip").collect()
+
+
 def test_nothing_else_needs_the_training_data_operators():
     for f in (ROOT / "keymoment").rglob("*.py"):
         if "llm" not in f.parts:
