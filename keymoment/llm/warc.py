@@ -30,7 +30,7 @@ MEMBER_BYTES = 8 << 20
 #: One date for all records, so that reruns write the same archives.
 DATE = "2024-01-01T00:00:00Z"
 _END = "\r\n\r\n"
-_HEADERS = 1 << 16
+_HEADERS, _SLICE = 1 << 16, 1 << 14
 PARSED = "page_id bigint, record_id string, record_type string, refers_to string, payload_bytes bigint, payload_digest string, url string"
 
 
@@ -89,7 +89,7 @@ def members(record: bytes) -> bytes:
     """A record as gzip: one member, or several if it is long, without the last byte, which is 0."""
     out = b""
     for k in range(0, len(record), MEMBER_BYTES):
-        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        z = zlib.compressobj(4, zlib.DEFLATED, 31)
         out += z.compress(record[k : k + MEMBER_BYTES]) + z.flush()
     return out[:-1]
 
@@ -145,23 +145,31 @@ def parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
             pass
         if len(data) - at < size:
             raise ValueError("the archive ends within a record")
-        yield head, bytes(data[at : at + size])
+        yield head, bytes(memoryview(data)[at : at + size])
         at += size + 4
 
 
 def inflated(data: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
-    """The content of gzip data of one or more members, in pieces; other data as it is."""
+    """The content of gzip data of one or more members, in pieces; other data as it is. What follows a member is handed on
+    in small slices, as a copy of all the rest for each member would cost the square of the archive."""
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    while data:
-        z = zlib.decompressobj(31)
-        while data and not z.eof:
-            yield z.decompress(data, piece)
-            data = z.unused_data if z.eof else z.unconsumed_tail
-            if not data and not z.eof:
-                yield z.flush()
+    view, at, left, z = memoryview(data), 0, b"", None
+    while left or at < len(view):
+        if not left:
+            left, at = view[at : at + _SLICE], at + _SLICE
+        z = z or zlib.decompressobj(31)
+        while True:
+            if out := z.decompress(left, piece):
+                yield out
+            left = z.unconsumed_tail
+            if z.eof or not left:
                 break
+        if z.eof:
+            left, z = z.unused_data, None
+    if z and (out := z.flush()):
+        yield out
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
