@@ -126,8 +126,10 @@ _LADDER_SQL = {
 
 def _support(t):
     f = t.features.select("global_id", "video_id", "frame_idx")
-    o = fusion.max_normalised(ocr_hits(t, 200)).join(t.ocr.select("doc_id", "global_id"), "doc_id").join(f, "global_id")
-    a = fusion.max_normalised(asr_hits(t, 200)).join(spoken(t).select("seg_id", "video_id", F.expr("(start_frame + end_frame) div 2").alias("frame_idx")), "seg_id")
+    few = lambda hits: t.spark.createDataFrame(hits.toArrow())  # noqa: E731, 200 rows: scored once, whatever reads them
+    share = lambda hits: few(hits).withColumn("norm", F.col("score") / F.greatest(F.max("score").over(Window.partitionBy()), F.lit(1e-6)))  # noqa: E731, of 200 rows
+    o = share(ocr_hits(t, 200)).join(t.ocr.select("doc_id", "global_id"), "doc_id").join(f, "global_id")
+    a = share(asr_hits(t, 200)).join(spoken(t).select("seg_id", "video_id", F.expr("(start_frame + end_frame) div 2").alias("frame_idx")), "seg_id")
     a = a.join(f, ["video_id", "frame_idx"], "left")
     return {"ocr": fusion.lexical_support(o, "ocr"), "asr": (fusion.lexical_support(a.where("global_id IS NOT NULL"), "asr")[0], fusion.lexical_support(a, "asr")[1])}
 

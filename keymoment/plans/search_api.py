@@ -67,6 +67,7 @@ def _support(corpus: Corpus, queries: DataFrame, name: str) -> tuple[DataFrame,
         at = hits.join(corpus.ocr_docs, "doc").join(place, "global_id")
     else:
         at = hits.join(corpus.asr_docs, "doc").join(place, ["video_id", "frame_idx"], "left")
+    at = corpus.keep(at, f"{name}-hits")
     frame = at.where("global_id IS NOT NULL").groupBy("query_id", "global_id").agg(F.max("norm").alias(f"{name}_frame"))
     return frame, at.groupBy("query_id", "video_id").agg(F.max("norm").alias(f"{name}_video"))
 
@@ -123,10 +124,11 @@ def _aligned(corpus: Corpus, queries: DataFrame, n: int, k: int) -> DataFrame:
     key = F.concat("query_id", F.lit("\x1f"), "video_id").alias("video_id")
     rows = sims.groupBy("query_id", "video_id", "pts_ms", "frame_idx", "global_id").agg(*pick).select(key, "pts_ms", "frame_idx", "global_id", *[f"e{i}" for i in range(n + 1)])
     rows = corpus.keep(rows, f"similar-{n}")
-    peaks = None
-    for i in range(1, n + 1):
-        p = align.nms_peaks(rows, score=f"e{i}").select("video_id", F.lit(i).alias("event"), ((F.col("p1") + F.col("p2") + F.col("p3")) / 3).alias("peak"))
-        peaks = p if peaks is None else peaks.unionByName(p)
+    # The peaks of all events at once, a video's event being a video of its own to them.
+    long = rows.select("video_id", "pts_ms", F.posexplode(F.array(*[f"e{i}" for i in range(1, n + 1)])).alias("event", "s"))
+    long = long.withColumn("video_id", F.concat("video_id", F.lit("\x1e"), F.col("event").cast("string")))
+    peaks = align.nms_peaks(long.select("video_id", "pts_ms", "s"))
+    peaks = peaks.select(F.split("video_id", "\x1e")[0].alias("video_id"), F.split("video_id", "\x1e")[1].alias("event"), ((F.col("p1") + F.col("p2") + F.col("p3")) / 3).alias("peak"))
     query = F.split("video_id", "\x1f")[0]
     peaks = temporal.minmax_norm(peaks.withColumn("query_id", query), "peak", ("query_id", "event"), "p", "one")
     scored = align.coverage_score(peaks, search.top_mean(rows.withColumn("s", F.col("e0")))).select("video_id", query.alias("query_id"), "coverage")
