@@ -91,6 +91,7 @@ def groups(rows: DataFrame, scratch: Scratch, id_col: str, text_col: str, digest
     kept = (F.col("file") == F.col("best.file")) & (F.col("row") == F.col("best.row"))
     columns = ["id", F.col("best.id").alias("keep_id"), "n", kept.alias("kept"), F.coalesce("sha", "digest").alias("sha"), "file", "row"]
     if odd.isEmpty():
+        scratch.drop("stream", "updates", "hits", "collisions")
         return made.join(state, "digest").select(*columns)
     split = bodies.join(odd, "digest", "left_semi").select("file", "row", sha256(F.concat(F.lit("part "), "text")).alias("part"))
     split = scratch.keep(made.join(split, ["file", "row"]), "split")
@@ -119,4 +120,6 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     scratch = Scratch(docs.sparkSession)
     rows = located(docs, scratch)
     gone = groups(rows, scratch, id_col, text_col, digest, files_per_batch).where("NOT kept").select("file", "row")
-    return without(rows, scratch.keep(gone, "gone"))
+    gone = scratch.keep(gone, "gone")
+    scratch.drop_but("located", "gone")
+    return without(rows, gone)

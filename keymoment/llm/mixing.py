@@ -145,6 +145,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(described(located(docs, scratch), seed, id_col, text_col, source_col).drop("whole"), "sizes")
     out = _taken(rows, plan(rows, scratch, weights, share, most))
+    scratch.drop_but("sizes", "goal")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

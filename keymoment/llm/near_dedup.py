@@ -263,4 +263,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = located(docs, scratch)
     out = near_duplicate_rows(rows, scratch, id_col, text_col, percent)
     gone = out.where(F.col("class").isNotNull() & ~(F.col("file").eqNullSafe(F.col("best.file")) & F.col("row").eqNullSafe(F.col("best.row"))))
-    return without(rows, scratch.keep(gone.select("file", "row"), "gone"))
+    gone = scratch.keep(gone.select("file", "row"), "gone")
+    scratch.drop_but("located", "gone")
+    return without(rows, gone)

@@ -201,7 +201,8 @@ class Trainer:
         weight = np.where((cls == 1) & (said < 0) & (self.round > 3), 0.05, 1.0)
         for label in (0, 1):
             weight[cls == label] *= 0.5 * len(bag) / weight[cls == label].sum()
-        for chunk in np.array_split(self.rng.permutation(len(bag)), max(1, len(bag) // 64)):
+        # Steps of 64 bags, and 16 steps at least, so that few texts train as well.
+        for chunk in np.array_split(self.rng.permutation(len(bag)), max(len(bag) // 64, min(16, len(bag)))):
             ids = [bag[i][0] for i in chunk]
             sizes = np.array([max(1, len(x)) for x in ids], np.float32)
             flat, owner = np.concatenate(ids), np.repeat(np.arange(len(chunk)), [len(x) for x in ids])

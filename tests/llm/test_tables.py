@@ -280,6 +280,55 @@ def test_pipeline_is_its_stages_done_plainly(spark):
         assert abs(got - target) <= max(sizes)
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    voc = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    said = lambda n: " ".join(rng.choices(voc, k=n))
+    leak, twin = said(30), said(80)
+    rows = [(i, said(40), f"s{i % 3}") for i in range(60)]
+    rows += [(None, said(40), None), (None, said(40), None), (5, said(40), "s1"), (100, twin, "s0"), (101, twin, "s0"), (None, f"{twin} more", "s0"), (102, None, "s0"), (103, "", "s0"), (104, " ", "s0")]
+    rows += [(105, f"{said(20)} {leak} {said(20)}", "s2"), (106, f"zorgak {said(10)}", "s2"), (107, "w " * 50_000, "s1")] + [(200 + i, f"zorgak {said(20)}", "s0") for i in range(0, 60, 2)]
+    names = ("row", "whole", "file", "class", "label")
+    docs = spark.createDataFrame([(i, t, "en", s, 0, *["x"] * len(names)) for i, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{n}` string" for n in names))
+
+    def run(folder, docs, bench, labels):
+        for name, df in (("documents", docs), ("benchmark", bench), ("labels", labels)):
+            df.write.parquet(f"{tmp_path}/{folder}/{name}.parquet")
+        return corpus_pipeline.run(spark, f"{tmp_path}/{folder}")
+
+    bench = spark.createDataFrame([(1, leak), (2, None), (3, "")], "item_id bigint, text string")
+    labels = spark.createDataFrame([(i, 0, 0) for i in range(60)] + [(200 + i, 0, 1) for i in range(0, 60, 2)] + [(None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    out = run("all", docs, bench, labels)
+    assert out.columns == [*docs.columns, "copies"]
+    left = [(r["doc_id"], r["text"]) for r in out.collect()]
+    texts = [t for _, t in left]
+    assert len(set(texts)) == len(texts) and all(texts) and not any(leak in t for t in texts)
+    assert [i for i, t in left if "zorgak" in t] == []
+    assert sum(t.startswith(twin) for t in texts) <= 1 and len(left) > 30
+    # Empty tables, and no labels, go through.
+    assert run("none", docs.where("false"), bench.where("false"), labels.where("false")).count() == 0
+    assert run("plain", docs.where("doc_id < 60"), bench.where("false"), labels.where("false")).count() > 30
+
+
+def test_near_pairs_at_the_threshold_are_all_found(spark, tmp_path):
+    rng = random.Random(12)
+    rows, want = [], 0
+    for k in range(150):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 200))]
+        v, left = list(w), int(0.07 * len(w) / 5)
+        for at in rng.sample(range(len(w)), max(1, left)):
+            v[at] = "changed"
+        a, b = shingle_set(" ".join(w)), shingle_set(" ".join(v))
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        want += 100 * len(a & b) >= 85 * len(a | b)
+    out = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(stored(spark, rows, tmp_path)).collect()}
+    linked = sum(out[2 * k + 1] == 2 * k for k in range(150))
+    assert want >= 60 and linked == want
+    assert [(i, c) for i, _, c in plain_components(rows)] == sorted(out.items())
+
+
 def test_held_out_labels_are_told_by_the_id():
     assert [i for i in range(30) if zlib.crc32(str(i).encode()) % 5 == 0]
 
