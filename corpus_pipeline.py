@@ -46,6 +46,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.take_mix(docs)
 
 
+#: Rows of whole texts that go to a Python worker at once, while the stages run.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_exact),
@@ -64,10 +68,15 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     before = None
-    for name, stage in STAGES:
-        with scratch.lent(f"{name}-work"):
-            docs = scratch.keep(stage(spark, docs, sf_dir), name)
-        if before:
-            scratch.drop(before)
-        before = name
+    had = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        for name, stage in STAGES:
+            with scratch.lent(f"{name}-work"):
+                docs = scratch.keep(stage(spark, docs, sf_dir), name)
+            if before:
+                scratch.drop(before)
+            before = name
+    finally:
+        spark.conf.unset(_BATCH) if had is None else spark.conf.set(_BATCH, had)
     return docs
