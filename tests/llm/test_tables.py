@@ -312,6 +312,30 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert run("plain", docs.where("doc_id < 60"), bench.where("false"), labels.where("false")).count() > 30
 
 
+def test_pipeline_stages_send_texts_in_small_batches_whoever_runs_them(spark, monkeypatch):
+    import corpus_pipeline
+    from keymoment.llm import common
+
+    folder, key = "/root/testdata/sf0.001", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    keep, seen, had = common.Scratch.keep, [], spark.conf.get(key, None)
+    monkeypatch.setattr(common.Scratch, "keep", lambda self, df, name: seen.append(spark.conf.get(key)) or keep(self, df, name))
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("toxicity", "near_dedup", "decontamination"):
+            seen.clear()
+            out = stage(spark, docs, folder)
+            # What the caller runs, under its own settings, has no Python in it.
+            assert "MapInArrow" not in out._jdf.queryExecution().toString() and out.columns == docs.columns
+            assert seen and set(seen) == {str(corpus_pipeline.BATCH_ROWS)} and spark.conf.get(key, None) == had
+            left[name] = sorted(tuple(r) for r in out.collect())
+    rows = [tuple(r) for r in docs.collect()]
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    assert left["toxicity"] == sorted(r for r in rows if toxicity.probability((r[1] or "").encode(), model) < 0.5)
+    clean = {r["doc_id"] for r in decontaminate.mark_leaks(docs, items, min_words=1).where("size(leaks) = 0").collect()}
+    assert left["decontamination"] == sorted(r for r in rows if r[0] in clean) and 0 < len(clean) < len(rows)
+
+
 def test_near_pairs_at_the_threshold_are_all_found(spark, tmp_path):
     rng = random.Random(12)
     rows, want = [], 0
