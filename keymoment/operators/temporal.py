@@ -57,6 +57,16 @@ def keyframe_gap(frames: DataFrame, large: int = 75) -> DataFrame:
     return frames.withColumn("gap", gap).withColumn("large", F.col("gap") >= large)
 
 
+def _across(rows: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    """(video_id, b, prior, later) of rows in buckets b: the greatest hi of the video's earlier buckets, the least lo of its
+    later ones. A bucket is one row here, so a video's order is one of buckets, and its rows meet in their bucket alone."""
+    ends = rows.groupBy("video_id", "b").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"))
+    back = Window.unboundedPreceding, -1
+    prior = F.max("hi").over(Window.partitionBy("video_id").orderBy("b").rowsBetween(*back))
+    later = F.min("lo").over(Window.partitionBy("video_id").orderBy(F.desc("b")).rowsBetween(*back))
+    return ends.select("video_id", "b", prior.alias("prior"), later.alias("later"))
+
+
 def gap_around(frames: DataFrame, at: DataFrame, large: int = 75, unknown: int = 100, fps: float = 25.0) -> DataFrame:
     """For each (video_id, target) the greater distance of a frame number to the keyframes before and after the first one that
     isn't under it (at the ends, to the first or last itself), in frames and seconds, and whether it is large. Videos of
@@ -104,20 +114,22 @@ def overlapping(spans: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
     return spans.where((F.col("start_ms") <= end_ms) & (F.col("end_ms") >= start_ms))
 
 
-def nearest_segment(frames: DataFrame, spans: DataFrame) -> DataFrame:
-    """As-of join both ways: for each frame the segment of its video whose start is nearest, the earlier on a tie.
-
-    Frames and starts are put in one order per video and the last start before and first start after carried over:
-    no pairs are made."""
-    both = frames.select("video_id", F.col("pts_ms").alias("t"), "global_id", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("start")).unionByName(
-        spans.select("video_id", F.col("start_ms").alias("t"), F.lit(None).cast("bigint").alias("global_id"), F.lit(0).alias("kind"), F.col("start_ms").alias("start"))
-    )
-    w = Window.partitionBy("video_id").orderBy("t", "kind")
-    both = both.withColumn("before", F.last("start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("after", F.first("start", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    d1, d2 = F.col("t") - F.col("before"), F.col("after") - F.col("t")
-    near = F.when(F.col("after").isNull() | (d1 <= d2), F.col("before")).otherwise(F.coalesce("after", "before"))
-    return both.where("kind = 1").select("video_id", "global_id", F.col("t").alias("pts_ms"), near.alias("start_ms"))
+def nearest_segment(frames: DataFrame, spans: DataFrame, bucket_ms: int = 600_000) -> DataFrame:
+    """As-of join both ways: for each frame the segment of its video whose start is nearest, the earlier on a tie. global_id
+    may be of any type.
+
+    Frames and starts are put in one order per video and time bucket and the last start before and first start after carried
+    over, from other buckets by their ends: no pairs are made, no task gets a whole video, and no window ends unbounded,
+    for which Spark would go through the rest of the video for each row."""
+    starts = spans.where("video_id IS NOT NULL").select("video_id", F.col("start_ms").cast("bigint").alias("t"), F.lit(None).cast(frames.schema["global_id"].dataType).alias("global_id"), F.lit(0).alias("kind"), F.col("start_ms").cast("bigint").alias("start"))
+    both = frames.select("video_id", F.col("pts_ms").alias("t"), "global_id", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("start")).unionByName(starts).withColumn("b", F.floor(F.col("t") / bucket_ms))
+    by = Window.partitionBy("video_id", "b")
+    own = both.withColumn("before", F.max("start").over(by.orderBy("t"))).withColumn("after", F.min("start").over(by.orderBy(F.desc("t")))).where("kind = 1")
+    own = own.join(_across(both, F.col("start"), F.col("start")), ["video_id", "b"], "left")
+    before, after = F.coalesce("before", "prior"), F.coalesce("after", "later")
+    d1, d2 = F.col("t") - before, after - F.col("t")
+    near = F.when(after.isNull() | (d1 <= d2), before).otherwise(F.coalesce(after, before))
+    return own.select("video_id", "global_id", F.col("t").alias("pts_ms"), F.when(F.col("t").isNotNull(), near).alias("start_ms"))
 
 
 def nearest_frame(frames: DataFrame, at: DataFrame, column: str = "frame_idx") -> DataFrame:

@@ -370,10 +370,9 @@ def blind_spot_decision(t):
 
 @query(f"WITH {FRAMES}, {TRANSCRIPTS} SELECT conv_id, turn, coalesce((SELECT min(abs(f.pts_ms - s.start_ms)) FROM frames f WHERE f.video_id = s.video_id) > 800, true) AS blind FROM transcripts s")
 def asr_blind_spot_check(t):
-    marks = t.transcripts.select("conv_id", "turn", "video_id", F.col("start_ms").alias("t"))
-    f = t.features.select("video_id", F.col("pts_ms").alias("start_ms"))
-    near = temporal.nearest_segment(marks.select((F.col("conv_id") * 100 + F.col("turn")).alias("global_id"), "video_id", F.col("t").alias("pts_ms")), f)
-    return near.select(F.expr("global_id div 100").alias("conv_id"), (F.col("global_id") % 100).alias("turn"), F.coalesce(F.abs(F.col("start_ms") - F.col("pts_ms")) > 800, F.lit(True)).alias("blind"))
+    marks = t.transcripts.select(F.struct("conv_id", "turn").alias("global_id"), "video_id", F.col("start_ms").alias("pts_ms"))
+    near = temporal.nearest_segment(marks, t.features.select("video_id", F.col("pts_ms").alias("start_ms")))
+    return near.select("global_id.conv_id", "global_id.turn", F.coalesce(F.abs(F.col("start_ms") - F.col("pts_ms")) > 800, F.lit(True)).alias("blind"))
 
 
 @query("WITH c AS (SELECT event_id % 7 AS persons, event_id % 6 AS said FROM events) SELECT persons, said, CASE WHEN persons = said THEN 0.5::DOUBLE WHEN abs(persons - said) = 1 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS bonus, count(*) AS n FROM c GROUP BY ALL")
