@@ -67,24 +67,28 @@ def _across(rows: DataFrame, lo: Column, hi: Column) -> DataFrame:
     return ends.select("video_id", "b", prior.alias("prior"), later.alias("later"))
 
 
-def gap_around(frames: DataFrame, at: DataFrame, large: int = 75, unknown: int = 100, fps: float = 25.0) -> DataFrame:
+def gap_around(frames: DataFrame, at: DataFrame, large: int = 75, unknown: int = 100, fps: float = 25.0, bucket: int = 15_000) -> DataFrame:
     """For each (video_id, target) the greater distance of a frame number to the keyframes before and after the first one that
     isn't under it (at the ends, to the first or last itself), in frames and seconds, and whether it is large. Videos of
     fewer than two keyframes, or none, have an unknown gap, which counts as large.
 
-    Keyframes and targets are put in one order per video, and what lies before and after carried over; no pairs are made."""
-    n = F.count("*").over(Window.partitionBy("video_id"))
-    w = Window.partitionBy("video_id").orderBy("frame_idx")
-    keys = frames.select("video_id", F.col("frame_idx").cast("bigint").alias("frame_idx")).withColumns({"n": n, "before": F.lag("frame_idx").over(w), "after": F.lead("frame_idx").over(w)})
-    none = lambda name: F.lit(None).cast("bigint").alias(name)
-    marks = keys.select("video_id", F.col("frame_idx").alias("x"), F.lit(1).alias("kind"), "n", F.coalesce("before", "frame_idx").alias("lo"), F.coalesce("after", "frame_idx").alias("hi"), F.col("after").isNull().alias("last"))
-    both = at.select("video_id", F.col("target").cast("bigint").alias("x"), F.lit(0).alias("kind"), none("n"), none("lo"), none("hi"), F.lit(None).cast("boolean").alias("last")).unionByName(marks)
-    order = Window.partitionBy("video_id").orderBy("x", "kind")
-    mark = F.when(F.col("kind") == 1, F.struct("n", "lo", "hi"))
-    both = both.withColumn("next", F.first(mark, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))).withColumn("end", F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    around = F.coalesce("next", "end")
-    gap = F.when(around["n"] >= 2, F.greatest(F.col("x") - around["lo"], around["hi"] - F.col("x"))).otherwise(F.lit(unknown).cast("bigint"))
-    out = both.where("kind = 0").select("video_id", F.col("x").alias("target"), gap.alias("gap"), F.coalesce(around["n"] < 2, F.lit(True)).alias("few"))
+    Keyframes and targets are put in one order per video and bucket of frame numbers, and what lies before and after carried
+    over; no pairs are made. Frames that run up to the end are taken in descending order: Spark goes through all that is
+    left of a window for each row of one that ends unbounded."""
+    keys = frames.where("video_id IS NOT NULL AND frame_idx IS NOT NULL").select("video_id", F.col("frame_idx").cast("bigint").alias("x"), F.floor(F.col("frame_idx") / bucket).alias("b"))
+    w = Window.partitionBy("video_id", "b").orderBy("x")
+    keys = keys.withColumns({"lag": F.lag("x").over(w), "lead": F.lead("x").over(w)}).join(_across(keys, F.col("x"), F.col("x")), ["video_id", "b"])
+    mark = F.struct("x", F.coalesce("lag", "prior", "x").alias("lo"), F.coalesce("lead", "later", "x").alias("hi"))
+    marks = keys.select("video_id", "b", "x", mark.alias("mark"))
+    x = F.col("target").cast("bigint")
+    both = at.select("video_id", F.floor(x / bucket).alias("b"), x.alias("x"), F.lit(None).cast(marks.schema["mark"].dataType).alias("mark")).unionByName(marks)
+    # Of keyframes of one number, the first in order has the least mark.
+    after = F.min("mark").over(Window.partitionBy("video_id", "b").orderBy(F.desc("x")))
+    own = both.withColumn("after", after).where("mark IS NULL").join(_across(both, F.col("mark"), F.col("mark")).select("video_id", "b", "later"), ["video_id", "b"], "left")
+    own = own.join(marks.groupBy("video_id").agg(F.count("*").alias("n"), F.max("mark").alias("end")), "video_id", "left")
+    around = F.coalesce("after", "later", "end")
+    gap = F.when(F.col("n") >= 2, F.greatest(F.col("x") - around["lo"], around["hi"] - F.col("x"))).otherwise(F.lit(unknown).cast("bigint"))
+    out = own.select("video_id", F.col("x").alias("target"), gap.alias("gap"), F.coalesce(F.col("n") < 2, F.lit(True)).alias("few"))
     return out.select("video_id", "target", "gap", (F.col("gap") / fps).alias("seconds"), (F.col("few") | (F.col("gap") >= large)).alias("large"))
 
 
