@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -55,24 +56,34 @@ def strip_accents(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, *_accents())).otherwise(text)
 
 
-def _clean(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}_\s]", " ")
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), value being computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _found(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+#: What words are of, the ASCII letters first, and a whole word with a hyphen: no part of one is tried twice.
+_LETTER = r"[a-z0-9_\p{L}\p{M}\p{N}]"
+_HYPHEN = r"(?<![a-z0-9])[a-z0-9]++-[a-z0-9]+"
 
 
 def tokens_dual(text: Column) -> Column:
     """The set of tokens: words of two letters or more, digits, some one-letter words; words with a hyphen also whole and
     joined; each also without accents. Input is taken to be in composed form (NFC)."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    whole = F.flatten(F.transform(F.regexp_extract_all(low, F.lit("[a-z0-9]+-[a-z0-9]+"), F.lit(0)), lambda w: F.array(w, F.replace(w, F.lit("-"), F.lit("")))))
-    words = F.filter(F.split(_clean(low), r"\s+"), lambda w: (F.length(w) > 1) | w.rlike("^[0-9]$") | w.isin(*SINGLES))
-    # Marks don't bound words, so the plain words are those of the text without accents: one pass, not one a word.
-    plain = F.filter(F.split(_clean(strip_accents(low)), r"\s+"), lambda w: F.length(w) > 1)
-    return F.array_distinct(F.concat(whole, words, plain))
+    whole = F.flatten(F.transform(_found(low, _HYPHEN), lambda w: F.array(w, F.replace(w, F.lit("-"), F.lit("")))))
+    # Marks don't bound words, so a text's plain words are its words without accents; those of ASCII alone are there already.
+    plain = lambda words: F.filter(F.transform(F.filter(words, lambda w: F.octet_length(w) > F.char_length(w)), lambda w: F.translate(w, *_accents())), lambda w: F.length(w) > 1)
+    words = _let(_found(low, f"{_LETTER}{_LETTER}+|[0-9{''.join(SINGLES)}]"), lambda w: F.concat(w, plain(F.array_distinct(w))))
+    return F.array_distinct(F.concat(F.when(F.contains(low, F.lit("-")), whole).otherwise(F.array().cast("array<string>")), words))
 
 
 def tokens_clean(text: Column) -> Column:
     """The list of words, repeats kept."""
-    return F.filter(F.split(_clean(F.lower(F.coalesce(text, F.lit("")))), r"\s+"), lambda w: F.length(w) > 0)
+    return _found(F.lower(F.coalesce(text, F.lit(""))), f"{_LETTER}+")
 
 
 def normalize_answer(text: Column) -> Column:

@@ -37,7 +37,7 @@ def asr_hits(t, k: int | None = None):
 
 @query(f"SELECT doc_id, {JOINED.format(toks('text'))} AS tokens FROM documents")
 def tokenize_dual(t):
-    return t.read("documents").select("doc_id", F.array_join(F.array_sort(X.tokens_dual(F.col("text"))), " ").alias("tokens"))
+    return t.read("documents").select("doc_id", F.array_join(F.sort_array(X.tokens_dual(F.col("text"))), " ").alias("tokens"))
 
 
 @query("SELECT doc_id, replace(strip_accents(lower(coalesce(text, ''))), 'đ', 'd') AS plain FROM documents")
