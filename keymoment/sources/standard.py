@@ -78,7 +78,7 @@ class Tables:
         done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/corpus/_SUCCESS")  # written last
         if not done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done):
             docs = self.ocr if name == "ocr" else self.spread(self.segments)
-            write_index(docs, doc, tokens_dual(F.col(text)), path)
+            write_index(docs, doc, tokens_dual(F.col(text)), path, sets=True)
         return path
 
     @property
