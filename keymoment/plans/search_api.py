@@ -7,6 +7,7 @@ What models say comes in as columns, so a batch is one plan whatever the models
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -23,12 +24,13 @@ SUPPORT = 200
 
 @dataclass(frozen=True)
 class Corpus:
-    """frames: global_id, video_id, pts_ms, frame_idx, embedding. ocr and asr: folders of BM25 indexes; ocr_docs (doc,
-    global_id) and asr_docs (doc, video_id, frame_idx) say where their documents lie."""
+    """frames: global_id, video_id, pts_ms, frame_idx, embedding. ocr and asr: folders of BM25 indexes, or functions that
+    tell them, called when a batch searches text; ocr_docs (doc, global_id) and asr_docs (doc, video_id, frame_idx) say
+    where their documents lie."""
 
     frames: DataFrame
-    ocr: str | None = None
-    asr: str | None = None
+    ocr: str | Callable[[], str] | None = None
+    asr: str | Callable[[], str] | None = None
     ocr_docs: DataFrame | None = None
     asr_docs: DataFrame | None = None
     #: A folder that driver and executors share, for tables that several steps read; without one they are made again.
@@ -42,10 +44,14 @@ class Corpus:
 
 
 def run(corpus: Corpus, queries: DataFrame, config: str = "a7", k: int = 100) -> DataFrame:
-    """(query_id, task_type, rank, video_id, frame_idx, events, answer, score): k rows at most for each query."""
+    """(query_id, task_type, rank, video_id, frame_idx, events, answer, score): k rows at most for each query. What only the
+    other sort of queries needs isn't planned, nor are its indexes built."""
     c = LADDER[config]
-    parts = [_moments(corpus, queries.where("task_type <> 'trake'"), c, k), _sequences(corpus, queries.where("task_type = 'trake'"), c, k)]
-    return parts[0].unionByName(parts[1])
+    asked = {r["s"] for r in queries.select((F.col("task_type") == "trake").alias("s")).distinct().collect()}  # of a query set
+    parts = [_sequences(corpus, queries.where("task_type = 'trake'"), c, k)] if True in asked else []
+    if False in asked or not parts:
+        parts = [_moments(corpus, queries.where("task_type <> 'trake'"), c, k), *parts]
+    return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
 
 
 def _query_vectors(queries: DataFrame, dual: bool) -> DataFrame:
@@ -58,7 +64,8 @@ def _support(corpus: Corpus, queries: DataFrame, name: str) -> tuple[DataFrame,
     words = queries.select("query_id", F.explode(X.tokens_dual(F.array_join(f"{name}_keywords", " "))).alias("token"))
     asked = words.groupBy("query_id", "token").agg(F.count("*").cast("int").alias("c"))
     spark = queries.sparkSession
-    hits = bm25_index.score(spark, getattr(corpus, name), asked).where("score > 0")
+    index = getattr(corpus, name)
+    hits = bm25_index.score(spark, index() if callable(index) else index, asked).where("score > 0")
     by = Window.partitionBy("query_id")
     hits = hits.withColumn("r", F.row_number().over(by.orderBy(F.desc("score"), "doc"))).where(F.col("r") <= SUPPORT)
     hits = hits.withColumn("norm", F.col("score") / F.greatest(F.max("score").over(by), F.lit(1e-6)))
