@@ -26,18 +26,33 @@ def read_optional(spark: SparkSession, path: str, columns: dict[str, str]) -> Da
     return df.select(*out)
 
 
+#: Members that are handed on together: so many, or of so many bytes, at most but for one longer than that.
+_MANY, _LONG = 1000, 4 << 20
+
+
 def _members(suffix: str):
+    def named(path: str, data: bytes) -> Iterator[tuple[str, str]]:
+        if path.lower().endswith(".zip"):
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                for name in sorted(z.namelist()):
+                    if name.lower().endswith(suffix):
+                        yield name, z.read(name).decode("utf-8", "replace")
+        elif path.lower().endswith(suffix):
+            yield path, data.decode("utf-8", "replace")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, texts, size = [], [], 0
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = content.as_buffer().to_pybytes()
-                if path.lower().endswith(".zip"):
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        for name in sorted(z.namelist()):
-                            if name.lower().endswith(suffix):
-                                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([z.read(name).decode("utf-8", "replace")])], ["name", "text"])
-                elif path.lower().endswith(suffix):
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data.decode("utf-8", "replace")])], ["name", "text"])
+                for name, text in named(path, content.as_buffer().to_pybytes()):
+                    if names and (len(names) >= _MANY or size + len(text) > _LONG):
+                        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(texts)], ["name", "text"])
+                        names, texts, size = [], [], 0
+                    names.append(name)
+                    texts.append(text)
+                    size += len(text)
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(texts)], ["name", "text"])
 
     return run
 
@@ -157,6 +172,42 @@ def put(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
+def write_files(files: DataFrame, path: str) -> None:
+    """Write a file for each row of files(name, value), names being single and without slashes, by the executors: Spark has
+    no sink for bytes, but its text sink writes strings as they are, and a line break behind, which the format must bear.
+    The driver moves them to their names; no content comes to it."""
+    spark, parts = files.sparkSession, f"{path}-parts"
+    files.select("name", F.col("value").cast("string").alias("value")).write.mode("overwrite").option("compression", "none").partitionBy("name").text(parts)
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    fs = new(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(new(path))
+    for folder in fs.listStatus(new(parts)):
+        if folder.isDirectory():
+            for f in fs.listStatus(folder.getPath()):
+                if f.getPath().getName().startswith("part-") and not fs.rename(f.getPath(), new(path, folder.getPath().getName().split("=", 1)[1])):
+                    raise OSError(f"could not write {folder.getPath().getName()} under {path}")
+    fs.delete(new(parts), True)
+
+
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made, z, first = io.BytesIO(), None, None
+    for batch in batches:
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if z is None:
+                z, first = zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED), batch.column(2)[0].as_py()
+                z.comment = b"\n"  # what the sink writes behind
+            z.writestr(name, text)
+    if z is not None:
+        z.close()
+        yield pa.RecordBatch.from_arrays([pa.array([f"{first:06}.zip"]), pa.array([made.getvalue()[:-1]], pa.binary())], ["name", "value"])
+
+
+def write_zips(members: DataFrame, path: str, files: int) -> None:
+    """Write members(name, text) to zip files under path, so many at most, each by one task."""
+    dealt = members.select("name", "text").repartition(files, "name").withColumn("at", F.spark_partition_id())
+    write_files(dealt.mapInArrow(_zipped, "name string, value binary"), path)
+
+
 def _files(lines: DataFrame, most: int) -> Iterator[tuple[str, bytes]]:
     """The name and content of a file for each query, one at a time: at most `most` rows each."""
     name, rows = None, []
